@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, lookalikes, mixture
+from strataloom.llm import bpe, docpairs, lookalikes, mixture
 from strataloom.session import cut, table
 
 
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "symbols"), table(spark, d, "file_snapshots"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pairs(spark, d).select("symbol_id").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -53,6 +61,8 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_mixture": p7_mixture,
