@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import bpe, docpairs, lookalikes, mixture
+from strataloom.llm import bpe, docpairs, lookalikes, mixture, syntax
 from strataloom.session import cut, table
 
 
@@ -17,6 +17,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pairs(spark, d).select("symbol_id").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.verdicts(table(spark, d, "file_snapshots")).where("not valid").select("file_id")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    judged = syntax.verdicts(table(spark, d, "file_snapshots"))
+    return syntax.rates(judged, table(spark, d, "files"), table(spark, d, "revision_file_changes"), table(spark, d, "coverage_samples"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -63,6 +72,8 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_mixture": p7_mixture,
