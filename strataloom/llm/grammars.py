@@ -223,14 +223,14 @@ _RUST_SHARED = """
 %class AssignOp = '=' '+=' '-=' '*=' '/=' '%=' '^=' '&=' '|=' '<<=' ;
 %class Close = '>' '>~' ;
 %class Lit = NUM STR CHAR 'true' 'false' ;
-%class Plain = ID LIFE NUM STR CHAR 'as' 'async' 'await' 'break' 'const' 'continue' 'crate' 'dyn' 'else' 'enum' 'extern' 'false' 'fn' 'for' 'if' 'impl' 'in' 'let'
+%class Plain = DOC IDOC ID LIFE NUM STR CHAR 'as' 'async' 'await' 'break' 'const' 'continue' 'crate' 'dyn' 'else' 'enum' 'extern' 'false' 'fn' 'for' 'if' 'impl' 'in' 'let'
   'loop' 'match' 'mod' 'move' 'mut' 'pub' 'ref' 'return' 'self' 'Self' 'static' 'struct' 'super' 'trait' 'true' 'type' 'unsafe' 'use' 'where' 'while' 'abstract' 'become'
   'box' 'do' 'final' 'macro' 'override' 'priv' 'try' 'typeof' 'unsized' 'virtual' 'yield' 'union' 'auto' 'default' 'macro_rules' 'raw' 'safe' '_'
   '+' '-' '*' '/' '%' '^' '!' '&' '|' '&&' '||' '<<' '+=' '-=' '*=' '/=' '%=' '^=' '&=' '|=' '<<=' '=' '==' '!=' '<' '<=' '@' '.' '..' '...' '..=' ',' ';' ':' '::'
   '->' '=>' '#' '$' '?' '~' '>' '>~' ;
 Rust = Inner* Item* ;
-Inner = '#' '!' '[' Tree* ']' ;
-Outer = '#' '[' Tree* ']' ;
+Inner = IDOC | '#' '!' '[' Tree* ']' ;
+Outer = DOC | '#' '[' Tree* ']' ;
 Tree = Plain | '(' Tree* ')' | '[' Tree* ']' | '{' Tree* '}' ;
 Group = '(' Tree* ')' | '[' Tree* ']' | '{' Tree* '}' ;
 Vis = 'pub' ('(' ('crate' | 'self' | 'super' | 'in' '::'? sep(Seg, '::')) ')')? ;

@@ -304,7 +304,7 @@ RUST_KEYWORDS = frozenset(
 )
 _RUST_ESC = r"\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\})"
 _RUST = re.compile(
-    r"\s+|//[^\n]*+|(?P<COM>/\*)"
+    r"\s+|(?P<DOC>///(?!/)[^\n]*+)|(?P<IDOC>//![^\n]*+)|//[^\n]*+|(?P<COM>/\*)"
     r'|(?P<RAW>(?:b|c)?r(?P<H>\#*)"[\s\S]*?"(?P=H))'
     rf'|(?P<STR>[bc]?"(?:[^"\\]|{_RUST_ESC}|\\\r?\n)*+")'
     rf"|(?P<CHAR>b?'(?:[^'\\\n\r\t]|{_RUST_ESC})')|(?P<LIFE>'(?:r\#)?[^\W\d]\w*(?!'))"
@@ -332,12 +332,15 @@ def rust_tokens(text: str) -> Tokens:
             continue
         if k == "COM":
             depth = 1
+            doc = "IDOC" if text.startswith("!", at) else "DOC" if text.startswith("*", at) and text[at + 1 : at + 2] not in ("*", "/") else None
             while depth:
                 c = _RUST_NEST.search(text, at)
                 if not c:
                     return ["ERR"], None
                 depth += 1 if c[0] == "/*" else -1
                 at = c.end()
+            if doc:
+                out.append(doc)
         elif k == "ID":
             t = m[0]
             out.append(t if t in RUST_KEYWORDS else "ID")
