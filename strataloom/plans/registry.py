@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import problems
+from strataloom.plans import catalog, problems
 
-PARTS = [problems]
+PARTS = [problems, catalog]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
