@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import catalog, problems
+from strataloom.plans import catalog, extraction, problems
 
-PARTS = [problems, catalog]
+PARTS = [problems, catalog, extraction]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

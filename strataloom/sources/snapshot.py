@@ -38,13 +38,17 @@ def decode_status(content: Column) -> Column:
     )
 
 
+def plain_path(col: str) -> Column:
+    """The file system path of a file source's URI (a plus sign is itself there, not a space)."""
+    return F.url_decode(F.replace(F.regexp_replace(col, r"^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B")))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """A source tree as ``path, content (bytes), content_bytes, modified``; excluded directories are skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    rel = relative_to(F.url_decode(plain), root)
+    rel = relative_to(plain_path("path"), root)
     inside = ~F.exists(F.split(rel, "/"), lambda d: d.isin(*EXCLUDED))
-    return raw.select(rel.alias("path"), "content", F.col("length").alias("content_bytes"), F.col("modificationTime").alias("modified")).where(inside)
+    return raw.where(inside).select(rel.alias("path"), "content", F.col("length").alias("content_bytes"), F.col("modificationTime").alias("modified"))
 
 
 def snapshots(files: DataFrame) -> DataFrame:
