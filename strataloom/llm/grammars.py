@@ -423,14 +423,16 @@ ForHead = ('var' | 'let' | 'const') (Id | Pattern){ann} ('in' Expr | 'of' Assign
         out += """
 Gt = '>' | '>~' ;
 Decorator = '@' (Paren | sep(Word, '.') TArgs? Args*) ;
-TypeDecl = 'declare'? (Interface | Alias | Enum | Namespace) | 'declare' ('async'? 'function' '*'? Id Function | 'abstract'? 'class' Id ClassRest | VarDeclare | 'global' NsBody | 'module' STR (NsBody | Eos)) ;
-VarDeclare = ('var' | 'let' | 'const') sep(VarDecl, ',') Eos ;
+TypeDecl = 'declare'? (Interface | Alias | Enum | Namespace) | 'declare' ('namespace' | 'module') sep(Id, '.') AmbientBody | 'declare' ('async'? 'function' '*'? Id Function | 'abstract'? 'class' Id ClassRest | VarDeclare | 'global' AmbientBody | 'module' STR (AmbientBody | Eos)) ;
+VarDeclare = ('var' | 'let' | 'const') sep(AmbientVar, ',') Eos ;
 Interface = 'interface' Id TParams? ('extends' sep(Type, ','))? ObjType ;
 Alias = 'type' Id TParams? '=' Type Eos ;
 Enum = 'const'? 'enum' Id '{' (sep(EnumMember, ',') ','?)? '}' ;
 EnumMember = PropName ('=' Assign)? ;
 Namespace = ('namespace' | 'module') sep(Id, '.') NsBody ;
 NsBody = '{' Module* '}' ;
+AmbientBody = '{' (Module | 'export'? ('const' | 'let' | 'var') sep(AmbientVar, ',') Eos)* '}' ;
+AmbientVar = Id (':' Type)? ;
 TParams = '<' sep(TParam, ',') ','? Gt ;
 TParam = ('const' | 'in' | 'out')* Id ('extends' Type)? ('=' Type)? ;
 TArgs = '<' sep(Type, ',') Gt ;
