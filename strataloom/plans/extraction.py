@@ -94,7 +94,7 @@ SELECT file_id, count(*) AS properties, count(DISTINCT k) AS names FROM k GROUP
 
 def go_functions(s: SparkSession, d: str) -> DataFrame:
     sym = family(extract(_files(s, d).where("language = 'go'"), "symbols"), "symbols")
-    return sym.where("kind in ('function', 'method')").groupBy("file_id").agg(F.count("*").alias("functions"))
+    return sym.where("kind in ('function', 'method') and signature like 'func%'").groupBy("file_id").agg(F.count("*").alias("functions"))
 
 
 ORACLE["go_functions"] = r"""
