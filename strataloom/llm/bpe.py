@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -287,7 +289,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULA
                 ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids.cast(out.field(1).type)], schema=out)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t")).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t"))).mapInArrow(run, schema)
 
 
 def count_column(df: DataFrame, keep: list[str], text: str, column: str = "tokens", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -304,7 +306,7 @@ def count_column(df: DataFrame, keep: list[str], text: str, column: str = "token
             n = [len(enc.encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], schema=out)
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("__t")).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("__t"))).mapInArrow(run, schema)
 
 
 def decode_column(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:

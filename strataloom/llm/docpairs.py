@@ -189,6 +189,9 @@ def strip_marks(doc: str) -> list[str]:
     out = []
     for line in _LINES.split(doc):
         line = line.strip().strip("﻿​")
+        if line[:1].isalnum() and line[-1:] not in ("/", '"', "'", ">"):
+            out.append(line)
+            continue
         for _ in range(4):
             bare = _CLOSE.sub("", _OPEN.sub("", line, count=1)).strip()
             if bare == line:
@@ -282,8 +285,10 @@ def says_something(doc: str | None, name: str | None) -> bool:
     return any(line_says(line, known) for line in strip_marks(doc))
 
 
-def description(doc: str, name: str | None) -> str:
-    """The lines that say something, without comment marks."""
+def description(doc: str | None, name: str | None) -> str:
+    """The lines that say something, without comment marks; empty where the documentation is trivial."""
+    if not doc:
+        return ""
     known = name_stems(name or "")
     return "\n".join(line for line in strip_marks(doc) if line_says(line, known))
 
@@ -307,7 +312,7 @@ _INDENT = regex.compile(
   (?<str>[rRbBuUfF]{0,2}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))
   (?<par>[(\[{](?:[^()\[\]{}"'\#]++|(?&str)|\#[^\n]*+|["']|(?&par))*+[)\]}])
 )(?<comment>(?:[ \t]*+\#[^\n]*+\n)*+)(?<ind>[ \t]*+)(?<signature>(?:@[^\n]*+\n\s*+)*+(?:async\s++)?def\s++\w++\s*+(?:\[[^\]]*+\])?(?&par)[^:\n]*+:)
-(?<body>(?:(?&par)|(?&str)|\#[^\n]*+|[^\n()\[\]{}"'\#]|["'(\[{)\]}]|\n(?=[ \t]*+(?:\r?\n|\#|$)|(?P=ind)[ \t]))*+)""",
+(?<body>(?:(?&par)|(?&str)|\#[^\n]*+|[^\n()\[\]{}"'\#]++|["'(\[{)\]}]|\n(?=[ \t]*+(?:\r?\n|\#|$)|(?P=ind)[ \t]))*+)""",
     regex.S | regex.X,
 )
 
@@ -400,10 +405,11 @@ def pairs(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
             for file_id, found, content in zip(*(b.column(i).to_pylist() for i in range(3))):
                 data = None if content is None else content.encode("utf-8")
                 for s in found:
-                    if not says_something(s["doc_comment"], s["name"]):
+                    told = description(s["doc_comment"], s["name"])
+                    if not told:
                         continue
                     row = {"symbol_id": s["symbol_id"], "file_id": file_id, "language": s["language"], "name": s["name"],
-                           "kind": s["kind"], "description": description(s["doc_comment"], s["name"])}
+                           "kind": s["kind"], "description": told}
                     if data is not None and 0 <= s["start"] <= s["body"] <= len(data):
                         c = capture(data, s["language"] or "", s["start"], s["body"], s["end"])
                         row |= {"comment": c["comment"] or s["doc_comment"], "signature": c["signature"], "body": c["body"], "cut_by": c["by"]}

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import spread
+
 # Letters and letter-like signs of the same shape as an ASCII letter (left) and that letter (right).
 LOOK = {
     # Cyrillic, capitals
@@ -124,7 +126,7 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
             for rb in got.to_batches():
                 yield pa.RecordBatch.from_arrays([rb.column(i).cast(out.field(i).type) for i in range(3)], schema=out)
 
-    src = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t")).where("__t is not null")
+    src = spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t")).where("__t is not null"))
     return src.mapInArrow(run, schema).withColumnRenamed(key, "doc_id")
 
 

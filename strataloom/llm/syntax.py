@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strataloom.llm import grammars as g
 from strataloom.llm import lexers
 from strataloom.llm.gll import Grammar
+from strataloom.session import spread
 
 #: Language to grammar, dialects (start symbols) and lexer.
 LANGUAGES: dict[str, tuple[str, tuple[str, ...], Callable]] = {
@@ -101,7 +102,7 @@ def verdicts(snapshots: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ok, pa.bool_()), b.column(4)], schema=schema)
 
     cols = [*(F.col(c).cast("string").alias(c) for c in ("file_id", "path", "language", "content")), F.sha2("content", 256).alias("rank")]
-    judged = snapshots.where("file_id is not null").select(*cols).mapInArrow(run, VERDICT + ", rank string")
+    judged = spread(snapshots.where("file_id is not null").select(*cols)).mapInArrow(run, VERDICT + ", rank string")
     best = F.max(F.struct("rank", "path", "language", "valid")).alias("v")
     return judged.groupBy("file_id").agg(best).select("file_id", "v.path", "v.language", "v.valid")
 
