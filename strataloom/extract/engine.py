@@ -28,6 +28,7 @@ from strataloom.extract.mask import Masked, mask
 from strataloom.functions.ids import SEPARATOR
 from strataloom.operators.reports import level_families
 from strataloom.operators.spans import KIND_RANK
+from strataloom.session import spread
 from strataloom.sources.languages import LANGUAGES
 
 #: Deepest nesting that is still counted.
@@ -476,7 +477,7 @@ def extract(snapshots: DataFrame, level: str = "full", text: str = "text") -> Da
     ``snapshots`` has file_id, path, language and the text column; rows without file_id, text or known language give empty
     arrays. A file whose extraction fails gives one diagnostic instead of failing the job.
     """
-    known = snapshots.where("file_id is not null").select("file_id", "path", "language", F.col(text).alias("text"))
+    known = spread(snapshots.where("file_id is not null").select("file_id", "path", "language", F.col(text).alias("text")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -10,6 +10,7 @@ from strataloom.artifact.store import enforce
 from strataloom.extract.engine import extract, family
 from strataloom.extract.patterns import PATTERNS
 from strataloom.operators import integrity
+from strataloom.operators.reports import LEVELS, level_families
 from strataloom.plans.catalog import _CLEAN, _EXT, _NAMES
 from strataloom.session import table
 
@@ -22,8 +23,10 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 
 def _family_query(name: str):
+    level = next(l for l in LEVELS if name in level_families(l))
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        return family(extract(_files(s, d), "full"), name)
+        return family(extract(_files(s, d), level), name)
 
     run.__name__ = f"extract_{name}"
     run.__doc__ = f"The {name} of every source file."

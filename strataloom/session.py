@@ -43,3 +43,36 @@ def utc_micros(df: DataFrame, col: str) -> Column:
     if kind == "timestamp_ntz":
         return F.unix_micros(F.concat(c.cast("string"), F.lit("Z")).try_cast("timestamp"))
     return F.unix_micros(c.try_cast("timestamp"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once a context: executors need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strataloom_shipped", False):
+        return
+    import zipfile
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    root = Path(__file__).resolve().parent
+    place = urlparse(shared_dir(spark))
+    folder = Path(place.path) if place.scheme in ("", "file") else Path(tempfile.mkdtemp())
+    folder.mkdir(parents=True, exist_ok=True)
+    # only the driver reads the archive: Spark itself hands it to the executors
+    archive = folder / f"strataloom-{sc.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._strataloom_shipped = True
+
+
+def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
+    """Spreads an input too small to keep all cores busy by its file splits, for work that is heavy on CPU.
+
+    Judged by the plan's own size estimate: beyond ``per_core`` bytes a core the scan's splits do, and nothing is
+    shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores * 2) if 0 < size < cores * per_core else df
