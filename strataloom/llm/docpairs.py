@@ -385,13 +385,15 @@ def pairs(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
         & F.col("body_start_byte").isNotNull() & F.col("doc_comment").isNotNull() & F.col("symbol_id").isNotNull()
     )
     span = F.coalesce("start_byte", "body_start_byte")
+    # rows that can meet no text stay alone: nulls never gather in one group
+    alone = F.when(F.col("file_id").isNull() | span.isNull(), F.xxhash64("symbol_id"))
     groups = wanted.select(
-        "file_id", F.floor(span / REGION).alias("region"),
+        "file_id", F.floor(span / REGION).alias("region"), alone.alias("alone"),
         F.struct(
             "symbol_id", "language", "name", "kind", "doc_comment", span.alias("start"),
             F.col("body_start_byte").alias("body"), F.coalesce("body_end_byte", "end_byte", "body_start_byte").alias("end"),
         ).alias("s"),
-    ).groupBy("file_id", "region").agg(F.collect_set("s").alias("symbols"))
+    ).groupBy("file_id", "region", "alone").agg(F.collect_set("s").alias("symbols"))
     text = snapshots.where("file_id is not null").groupBy(F.col("file_id").alias("fid")).agg(F.max("content").alias("content"))
     joined = groups.join(text, groups["file_id"] == text["fid"], "left").select("file_id", "symbols", "content")
 
