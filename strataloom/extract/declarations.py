@@ -111,7 +111,7 @@ DECLARATIONS["cpp"] = [
 DECLARATIONS["razor"] = [*DECLARATIONS["csharp"], ("import", r"^@using\s+(?P<name>[\w.]+)")]
 DECLARATIONS["python"] = [
     ("class", r"^[ \t]*class\s+(?P<name>\w+)(?:\((?P<sup>[^)]*)\))?"), ("function", r"^[ \t]*(?:async\s+)?def\s+(?P<name>\w+)\s*(?P<params>\([^)]*\))(?:\s*->\s*(?P<type>[^:\n]+))?"),
-    ("constant", r"^(?P<name>\p{Lu}[\p{Lu}\d_]+)\s*(?::[^=\n]+)?="), ("variable", r"^(?P<name>[a-z_]\w*)\s*(?::[^=\n]+)?=(?!=)"),
+    ("constant", r"^(?P<name>\p{Lu}[\p{Lu}\d_]+)\s*(?::[^=\n]+)?="), ("variable", r"^(?P<name>[\p{L}_]\w*)\s*(?::[^=\n]+)?=(?!=)"),
     ("import", r"^[ \t]*(?:from\s+(?P<name>[\w.]+)\s+import|import\s+(?P<name>[\w., ]+))"),
 ]
 #: What decides and what loops, for complexity.

@@ -192,4 +192,4 @@ def body_hash(body: Column) -> Column:
 def regex_complexity(pattern: Column) -> Column:
     """Quantifiers, classes, alternations and properties count one, groups with a question mark two."""
     n = lambda p: F.regexp_count(pattern, F.lit(p))
-    return n(r"[*+?]|\{\d") + n(r"\[") + n(r"\|") + n(r"\\p\{") + 2 * n(r"\(\?")
+    return n(r"(?<!\()[*+?]|\{\d") + n(r"\[") + n(r"\|") + n(r"\\p\{") + 2 * n(r"\(\?")

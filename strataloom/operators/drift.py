@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import cut
+
 CASTS = {"string": "string", "long": "bigint", "double": "double", "boolean": "boolean"}
 FIELDS = T.ArrayType(
     T.StructType([T.StructField("field", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
@@ -163,9 +165,11 @@ def changes(ingested: DataFrame, feed: str, batch: str, record: str) -> DataFram
         F.col(f"`{record}`").alias("record"), F.explode("_fields").alias("f"),
     ).where("feed is not null and batch_no is not null")
     base = base.select("feed", "batch_no", "record", "f.field", "f.kind", "f.value")
-    present = base.groupBy("feed", "batch_no", "field").agg(
-        F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds")
+    # one row a feed, batch and field: small beside the records, and read several times
+    present = cut(
+        base.groupBy("feed", "batch_no", "field").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
     )
+    # a batch without any field still is a batch
     batches = ingested.select(F.col(f"`{feed}`").alias("feed"), F.col(f"`{batch}`").cast("long").alias("batch_no")).distinct()
     now = present.select("feed", "batch_no", F.col("field").alias("k"), F.col("kinds").alias("new_kinds"), F.lit(True).alias("here"))
     before = present.select(
@@ -178,7 +182,7 @@ def changes(ingested: DataFrame, feed: str, batch: str, record: str) -> DataFram
         .when(F.col("here").isNull(), "removed")
         .when((F.col("old_kinds") != "") & (F.col("new_kinds") != "") & (F.col("old_kinds") != F.col("new_kinds")), "retyped")
     )
-    diff = diff.select("feed", "batch_no", "k", kind.alias("change_type")).where("change_type is not null")
+    diff = cut(diff.select("feed", "batch_no", "k", kind.alias("change_type")).where("change_type is not null"))
     # values of gone fields beside values of new ones, record by record
     valued = base.where("value is not null and record is not null")
     gone = valued.withColumn("batch_no", F.col("batch_no") + 1).join(
@@ -187,7 +191,7 @@ def changes(ingested: DataFrame, feed: str, batch: str, record: str) -> DataFram
     new = valued.join(diff.where("change_type = 'added'").withColumnRenamed("k", "field"), ["feed", "batch_no", "field"])
     gone = gone.select("feed", "batch_no", "record", F.col("field").alias("old_field"), F.col("value").alias("old")).distinct()
     new = new.select("feed", "batch_no", "record", F.col("field").alias("new_field"), F.col("value").alias("new")).distinct()
-    renamed = (
+    renamed = cut(
         gone.join(new, ["feed", "batch_no", "record"])
         .groupBy("feed", "batch_no", "old_field", "new_field")
         .agg(F.bool_and(F.col("old") == F.col("new")).alias("same"))
