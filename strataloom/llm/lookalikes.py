@@ -137,16 +137,16 @@ def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     texts (each once, however many copies it has) are paired, and documents joined to the paired texts, so copies
     never meet each other. Null texts and texts without a visible character are in no pair; null keys neither.
     """
-    doc = classes(df, key, text).where("doc_id is not null")
-    doc = doc.repartition("text_hash").persist()
+    doc = classes(df, key, text).where("doc_id is not null").distinct().persist()
     texts = doc.groupBy("text_hash").agg(F.first("class_id").alias("class_id"))
     several = texts.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
     texts = texts.join(several, "class_id", "left_semi")
     a = texts.select("class_id", F.col("text_hash").alias("a"))
     b = texts.select("class_id", F.col("text_hash").alias("b"))
     pairs = a.join(b, "class_id").where("a < b").select("a", "b")
-    da = doc.select(F.col("text_hash").alias("a"), F.col("doc_id").alias("x")).distinct()
-    db = doc.select(F.col("text_hash").alias("b"), F.col("doc_id").alias("y")).distinct()
+    inside = doc.join(texts.select("text_hash"), "text_hash", "left_semi")
+    da = inside.select(F.col("text_hash").alias("a"), F.col("doc_id").alias("x"))
+    db = inside.select(F.col("text_hash").alias("b"), F.col("doc_id").alias("y"))
     return (
         pairs.join(da, "a").join(db, "b").where("x <> y")
         .select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
