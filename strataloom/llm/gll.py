@@ -315,8 +315,15 @@ class Grammar:
                     acts.setdefault(k, []).append((POP,))
             return acts
 
+        # steps refer to the rows they lead to, so that running needs no lookup by state
+        def link(a: tuple) -> tuple:
+            if a[0] == CALL:
+                return (CALL, a[1], rows[a[1]], rows[a[2]])
+            return a if a[0] == POP else (a[0], rows[a[1]])
+
         for q in range(len(self.edges)):
-            rows[q] = {k: a[0] if len(a) == 1 else a for k, a in row(q).items()}
+            for k, a in row(q).items():
+                rows[q][k] = link(a[0]) if len(a) == 1 else [link(x) for x in a]
         self.rows = rows
 
     # -- recognition
@@ -327,45 +334,42 @@ class Grammar:
         ``may_end[i]`` allows an empty step (``<ASI>``) before token i.
         """
         starts = starts or self.starts
-        rows = self.rows
+        rows, size = self.rows, len(self.rows)
         kinds = [*kinds, END]
         last = len(kinds) - 1
-        # a stack node: [return steps (state, node), positions where it ended]
-        nodes: dict[tuple[int, int], list] = {}
-        roots = {}
+        # a stack node: [returns (row, node), positions where it ended], a root also its dialect
+        nodes: dict[int, list] = {}
         work: list[tuple] = []
         for s in starts:
-            root: list = [[], [], s]
-            roots[s] = root
-            work.append((self.first_state[s], root, 0, None))
+            work.append((rows[self.first_state[s]].get(kinds[0]), [[], [], s], 0))
         accepted: list[str] = []
         while work:
-            state, node, pos, act = work.pop()
-            while True:
-                if act is None:
-                    act = rows[state].get(kinds[pos])
-                    if act is None:
-                        break
-                    if act.__class__ is list:
-                        for a in act[1:]:
-                            work.append((state, node, pos, a))
-                        act = act[0]
+            act, node, pos = work.pop()
+            while act is not None:
+                if act.__class__ is list:
+                    for a in act[1:]:
+                        work.append((a, node, pos))
+                    act = act[0]
                 op = act[0]
                 if op == 0:
-                    state = act[1]
                     pos += 1
+                    act = act[1].get(kinds[pos])
                 elif op == 1:
-                    key = (act[1], pos)
+                    _, callee, row, ret = act
+                    key = pos * size + callee
                     child = nodes.get(key)
                     if child is None:
-                        nodes[key] = child = [[(act[2], node)], []]
-                        node, state = child, act[1]
+                        nodes[key] = child = [[(ret, node)], []]
+                        node = child
+                        act = row.get(kinds[pos])
                     else:
-                        ret = act[2]
-                        if not any(r == ret and p is node for r, p in child[0]):
+                        for r, p in child[0]:
+                            if r is ret and p is node:
+                                break
+                        else:
                             child[0].append((ret, node))
                             for at in child[1]:
-                                work.append((ret, node, at, None))
+                                work.append((ret.get(kinds[at]), node, at))
                         break
                 elif op == 2:
                     if pos in node[1]:
@@ -376,13 +380,14 @@ class Grammar:
                             accepted.append(node[2])
                         break
                     back = node[0]
+                    kind = kinds[pos]
                     if len(back) > 1:
                         for r, p in back[1:]:
-                            work.append((r, p, pos, None))
-                    state, node = back[0]
+                            work.append((r.get(kind), p, pos))
+                    row, node = back[0]
+                    act = row.get(kind)
+                elif may_end is not None and may_end[pos]:
+                    act = act[1].get(kinds[pos])
                 else:
-                    if may_end is None or not may_end[pos]:
-                        break
-                    state = act[1]
-                act = None
+                    break
         return accepted

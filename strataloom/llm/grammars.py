@@ -40,10 +40,7 @@ Exprs = sep(StarExpr, ',') ','? ;
 StarExpr = '*' Binary | Expr ;
 Named = Id ':=' Expr | Expr ;
 Expr = Lambda | Or ('if' Or 'else' Expr)? ;
-Or = sep(Not, LogicOp) ;
-LogicOp = 'and' | 'or' ;
-Not = 'not'* Compare ;
-Compare = sep(Binary, CompareOp) ;
+Or = 'not'* Unary ((BinaryOp | CompareOp) Unary | ('and' | 'or') 'not'* Unary)* ;
 CompareOp = '<' | '>' | '<=' | '>=' | '==' | '!=' | 'in' | 'not' 'in' | 'is' 'not'? ;
 Binary = sep(Unary, BinaryOp) ;
 BinaryOp = '+' | '-' | '*' | '/' | '//' | '%' | '**' | '@' | '&' | '|' | '^' | '<<' | '>>' ;
