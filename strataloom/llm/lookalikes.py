@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.session import spread
+from strataloom.session import cut, spread
 
 # Letters and letter-like signs of the same shape as an ASCII letter (left) and that letter (right).
 LOOK = {
@@ -105,7 +105,7 @@ def forms(df: DataFrame, key: str, text: str, column: str = "form") -> DataFrame
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Each visible text's class: ``doc_id, text_hash, class_id`` (SHA-256 of the text and of its form)."""
+    """Each visible text's class: ``doc_id, text_hash, class_id`` (128 bits of the SHA-256 of the text and of its form)."""
     schema = T.StructType([df.schema[key], T.StructField("text_hash", T.BinaryType()), T.StructField("class_id", T.BinaryType())])
     expr = form_sql("t")
 
@@ -120,7 +120,7 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             part = pa.table({"k": b.column(0), "t": b.column(1)})  # noqa: F841
             got = con.sql(
-                f"SELECT k, unhex(sha256(t)) AS h, unhex(sha256(f)) AS c FROM (SELECT k, t, {expr} AS f FROM part) "
+                f"SELECT k, unhex(substr(sha256(t), 1, 32)) AS h, unhex(substr(sha256(f), 1, 32)) AS c FROM (SELECT k, t, {expr} AS f FROM part) "
                 "WHERE regexp_matches(f, '\\S')"
             ).fetch_arrow_table()
             for rb in got.to_batches():
@@ -133,18 +133,18 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``doc_id_a < doc_id_b`` of different texts that look the same.
 
-    Texts are compared, not documents: classes with more than one text are found by a pre-aggregated count, their
-    texts (each once, however many copies it has) are paired, and documents joined to the paired texts, so copies
-    never meet each other. Null texts and texts without a visible character are in no pair; null keys neither.
+    Texts are compared, not documents: classes with more than one text are found by a pre-aggregated least and
+    greatest text, and only their documents go on. Their texts (each once, however many copies it has) are paired,
+    and documents joined to the paired texts, so copies never meet each other. Null texts and texts without a
+    visible character are in no pair; null keys neither.
     """
-    doc = classes(df, key, text).where("doc_id is not null").distinct().persist()
-    texts = doc.groupBy("text_hash").agg(F.first("class_id").alias("class_id"))
-    several = texts.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
-    texts = texts.join(several, "class_id", "left_semi")
+    doc = classes(df, key, text).where("doc_id is not null").persist()
+    several = doc.groupBy("class_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo <> hi")
+    inside = cut(doc.join(several.select("class_id"), "class_id", "left_semi").distinct())
+    texts = inside.select("class_id", "text_hash").distinct()
     a = texts.select("class_id", F.col("text_hash").alias("a"))
     b = texts.select("class_id", F.col("text_hash").alias("b"))
     pairs = a.join(b, "class_id").where("a < b").select("a", "b")
-    inside = doc.join(texts.select("text_hash"), "text_hash", "left_semi")
     da = inside.select(F.col("text_hash").alias("a"), F.col("doc_id").alias("x"))
     db = inside.select(F.col("text_hash").alias("b"), F.col("doc_id").alias("y"))
     return (
