@@ -581,9 +581,10 @@ def observed_counts(s, d):
     return table(s, d, "coverage_samples").select("language", F.explode("expected_domains").alias("domain")).groupBy("language", "domain").agg(F.count("*").alias("samples"))
 
 
-@query("""SELECT event_type, min(value) AS lowest, quantile_cont(value, 0.5) AS middle, max(value) AS highest, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT event_type, min(value) AS lowest, round(quantile_cont(value, 0.5), 6) AS middle, max(value) AS highest, count(*) AS n FROM events GROUP BY 1""")
 def perf_summary(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(*reports.summary("value"), F.count("*").alias("n"))
+    out = table(s, d, "events").groupBy("event_type").agg(*reports.summary("value"), F.count("*").alias("n"))
+    return out.withColumn("middle", F.round("middle", 6))
 
 
 @query("""SELECT language, kind, visibility, count(*) AS n, grouping(language, kind, visibility) AS level FROM symbols GROUP BY GROUPING SETS ((language, kind, visibility), (language), ())""")
