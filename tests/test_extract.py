@@ -94,3 +94,13 @@ def test_spark(spark):
     assert [r.name for r in family(got, "symbols").select("name").collect() if r.name == "f"][:1] == ["f"]
     assert family(got, "identifiers").count() == 0 and family(got, "parse_diagnostics").where("file_id = '4'").count() == 1
     assert extract(df.limit(0)).count() == 0
+
+
+def test_table_functions(spark):
+    from strataloom.functions.tables import register
+
+    names = register(spark)
+    assert "extract_symbols" in names and len(names) == len(FAMILIES)
+    spark.createDataFrame([("a.py", "python", "def f(): pass\n"), ("b", "python", None)], "path string, language string, text string").createOrReplaceTempView("src")
+    rows = spark.sql("SELECT src.path, s.name, s.kind FROM src, LATERAL extract_symbols(src.path, src.language, src.text) s").collect()
+    assert [(r.path, r.name, r.kind) for r in rows] == [("a.py", "f", "function")]
