@@ -50,20 +50,29 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_strataloom_shipped", False):
         return
+    import io
     import zipfile
     from pathlib import Path
     from urllib.parse import urlparse
 
     root = Path(__file__).resolve().parent
-    place = urlparse(shared_dir(spark))
-    folder = Path(place.path) if place.scheme in ("", "file") else Path(tempfile.mkdtemp())
-    folder.mkdir(parents=True, exist_ok=True)
-    # only the driver reads the archive: Spark itself hands it to the executors
-    archive = folder / f"strataloom-{sc.applicationId}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
-    sc.addPyFile(str(archive))
+    base = shared_dir(spark).rstrip("/")
+    name, place = f"strataloom-{sc.applicationId}.zip", urlparse(base)
+    if place.scheme in ("", "file"):
+        folder = Path(place.path)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(packed.getvalue())
+        sc.addPyFile(str(folder / name))
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(f"{base}/{name}")
     sc._strataloom_shipped = True
 
 
