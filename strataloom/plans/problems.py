@@ -69,6 +69,14 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.closure(out)
 
 
+def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every ancestor-descendant pair of both tables, symbols and revisions, with its distance."""
+    pairs = hierarchy.closure(hierarchy.resolve(_nodes(spark, d), "node", "parent", "loc"))
+    return _named(pairs.withColumnRenamed("descendant_id", "node_id")).select(
+        "node_table", F.expr("substring(ancestor_id, 2)").alias("ancestor_id"), F.col("node_id").alias("descendant_id"), "distance"
+    )
+
+
 def _ingested(spark: SparkSession, d: str, report: bool) -> DataFrame:
     raw = table(spark, d, "raw_exports")
     keep = ["record_id", "feed", "batch_no", "revision_id", "exported_at", "received_at"]
@@ -109,6 +117,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p4_descendants": p4_descendants,
+    "p4_all_descendants": p4_all_descendants,
     "p5_found": p5_found,
     "p5_table": p5_table,
 }
@@ -149,6 +158,18 @@ good AS (
   SELECT n.id, list_append(good.path, n.id) FROM n JOIN good ON n.p = good.id)
 SELECT CAST(path[i] AS VARCHAR) AS ancestor_id, CAST(id AS VARCHAR) AS descendant_id, CAST(len(path) - i AS BIGINT) AS distance
 FROM (SELECT id, path, unnest(range(1, len(path))) AS i FROM good)
+""",
+    "p4_all_descendants": """
+WITH RECURSIVE n AS (
+  SELECT DISTINCT 'symbols' AS t, symbol_id AS id, parent_symbol_id AS p FROM symbols
+  UNION ALL
+  SELECT DISTINCT 'extraction_revisions', CAST(revision_id AS VARCHAR), CAST(parent_revision_id AS VARCHAR) FROM extraction_revisions),
+good AS (
+  SELECT t, id, [id] AS path FROM n WHERE p IS NULL OR (t, p) NOT IN (SELECT (t, id) FROM n)
+  UNION ALL
+  SELECT n.t, n.id, list_append(good.path, n.id) FROM n JOIN good ON n.p = good.id AND n.t = good.t)
+SELECT t AS node_table, path[i] AS ancestor_id, id AS descendant_id, CAST(len(path) - i AS BIGINT) AS distance
+FROM (SELECT t, id, path, unnest(range(1, len(path))) AS i FROM good)
 """,
     "p4_hierarchy": """
 WITH RECURSIVE n AS (
