@@ -26,6 +26,7 @@ from strataloom.extract import patterns as P
 from strataloom.extract.declarations import CALLABLE, DECISIONS, DECLARATIONS, KEYWORDS, LOOPS
 from strataloom.extract.mask import Masked, mask
 from strataloom.functions.ids import SEPARATOR
+from strataloom.operators.generics import Brackets, type_arguments
 from strataloom.operators.reports import level_families
 from strataloom.operators.spans import KIND_RANK
 from strataloom.session import spread
@@ -179,7 +180,7 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
                 body = (hit.end(), nxt.start() if nxt else len(m.text))
                 del level
             end = max(hit.end(), body[1] if body else 0)
-            out.append({"kind": kind, "name": name, "start": start, "end": end, "body": body, "head": m.text[start : hit.end()].strip().rstrip("{").strip(), "sup": g.get("sup"), "type": g.get("type"), "params": g.get("params")})
+            out.append({"kind": kind, "name": name, "at": hit.start("name"), "start": start, "end": end, "body": body, "head": m.text[start : hit.end()].strip().rstrip("{").strip(), "sup": g.get("sup"), "type": g.get("type"), "params": g.get("params")})
     out.sort(key=lambda s: (s["start"], -s["end"]))
     stack: list[dict] = []
     for s in out:
@@ -309,6 +310,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
         if s["kind"] in CALLABLE:
             callables.setdefault(s["name"], []).append(s)
     spots = {(s["start"], s["name"]) for s in found}
+    declared = {s["at"] for s in found}
 
     def site(start: int, end: int, provenance: str) -> str:
         sid = stable("site", file_id, lines.byte(start), lines.byte(end))
@@ -323,6 +325,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             "target_namespace_json": json.dumps(parts[:-1]), "target_import_context": context, **lines.span(start, end), "confidence": 0.7,
         })
 
+    brackets = Brackets(m.code, language) if {"literals", "relationships"} & keep else None
     if "relationships" in keep and LANGUAGES[language].family not in ("data",):
         for s in found:
             for base in re.findall(r"[\p{L}_$][\w$.:\\]*".replace(r"\p{L}", "A-Za-z"), re.sub(r"<[^<>]*>", "", s["sup"] or "")):
@@ -338,6 +341,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
                 pending(found[0]["id"], "imports", i["name"], None, i["start"], i["end"], "relative" if i["name"].startswith((".", "/")) else "external")
     if "relationships" in keep and LANGUAGES[language].family not in ("data", "markup"):
         code = m.code
+        nested: set[int] = set()
         for w in _WORD.finditer(code):
             name, a, b = w[0], w.start(), w.end()
             if name in KEYWORDS or (a, name) in spots:
@@ -345,6 +349,8 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             after = code[b : b + 1]
             dotted = code[a - 1 : a] == "." or code[a - 2 : a] in ("::", "->")
             kind = "call" if after == "(" or (after == "!" and code[b + 1 : b + 2] == "(") else "member_access" if dotted else "type_usage" if name[:1].isupper() and _NAMED_TYPE.search(code[max(0, a - 14) : a]) else "variable_ref"
+            if kind in ("variable_ref", "member_access") and name[:1].isupper() and a not in declared and brackets.typed(b):
+                kind = "type_usage"
             inside = container(a)
             receiver = None
             if dotted:
@@ -365,14 +371,16 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             if "identifiers" in keep:
                 sid = stable("site", file_id, lines.byte(a), lines.byte(b))
                 fam["identifiers"].append({"identifier_id": stable("identifier", file_id, lines.byte(a), name), "reference_site_id": sid if kind == "call" else None, **head, "name": name, "kind": kind, "containing_symbol_id": inside, **lines.span(a, b), "confidence": 0.9, "metadata_json": json.dumps(meta, sort_keys=True) if meta else None})
-                if kind == "type_usage" and code[b : b + 1] == "<":
-                    close = code.find(">", b)
-                    if close > 0:
-                        uid = stable("usage", file_id, lines.byte(a))
+                opener = b + 2 if after == ":" else b
+                if kind == "type_usage" and a not in declared and opener in brackets.close and code[opener] == "<" and opener not in nested:
+                    arguments, within = type_arguments(brackets, m.bare, opener)
+                    nested |= within
+                    if arguments:
+                        uid, ids = stable("usage", file_id, lines.byte(a)), {}
                         fam["type_argument_usages"].append({"usage_id": uid, "identifier_id": stable("identifier", file_id, lines.byte(a), name), **head})
-                        for n, arg in enumerate(x.strip() for x in code[b + 1 : close].split(",")):
-                            if arg:
-                                fam["type_arguments"].append({"type_argument_id": stable("argument", uid, n), "usage_id": uid, "ordinal": n, "type_name": arg[:200]})
+                        for up, at, n, arg in arguments:
+                            ids[at] = stable("argument", uid, ids.get(up), at, arg)
+                            fam["type_arguments"].append({"type_argument_id": ids[at], "usage_id": uid, "parent_type_argument_id": ids.get(up), "ordinal": n, "type_name": arg})
             if kind == "call" and inside:
                 to = callables.get(name, [])
                 if len(to) == 1 and to[0]["id"] != inside:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import ids, text
-from strataloom.operators import integrity, outline, reports, scope, spans
+from strataloom.operators import generics, integrity, outline, reports, scope, spans
 from strataloom.session import table
 from strataloom.sources.languages import LANGUAGES, detect
 
@@ -632,13 +632,8 @@ WITH RECURSIVE t AS (SELECT '0' AS ord, '' AS parent, '{"name":"Map","args":[{"n
 SELECT ord AS path, parent, json_extract_string(n, '$.name') AS type_name FROM t""")
 def type_arguments_flatten(s, d):
     """Nested generic arguments in pre-order with their place and parent."""
-    tree = {"name": "Map", "args": [{"name": "String"}, {"name": "List", "args": [{"name": "User"}]}]}
-    rows, todo = [], [("0", "", tree)]
-    while todo:
-        at, parent, n = todo.pop()
-        rows.append((at, parent, n["name"]))
-        todo += [(f"{at}.{i}", at, a) for i, a in enumerate(n.get("args", []))]
-    return s.createDataFrame(rows, "path string, parent string, type_name string")
+    df = s.createDataFrame([("Map<String, List<User>>",)], "type string")
+    return generics.flatten(df, "type").select("path", "parent", "type_name")
 
 
 # ---------------------------------------------------------------- consumer SQL on the artifact and other tables
