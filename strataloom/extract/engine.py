@@ -36,7 +36,10 @@ from strataloom.sources.languages import LANGUAGES
 DEPTH = 1024
 _WORD = regex.compile(r"[\p{L}_$][\p{L}\p{N}_$]*")
 _ASSIGN = re.compile(r"\s*(=(?![=>])|[-+*/%&|^]=|\+\+|--|<<=|>>=|:=)")
-_CALL_ARG = regex.compile(r"(?P<carrier>[\p{L}_$][\p{L}\p{N}_$.:>-]*?)\(\s*$")
+_CARRIER = regex.compile(r"(?r)[\p{L}\p{N}_$.:>-]+")
+_RECEIVER = regex.compile(r"(?r)([\w$]+)(?:\.|::|->)")
+_STARTER = regex.compile(r"[\p{L}_$]")
+_NOT_SPACE = regex.compile(r"(?r)\S")
 _PARAMS = re.compile(r"[,;]")
 _NAMED_TYPE = re.compile(r"(?:[:<,]|->|\bnew|\bextends|\bimplements|\bas|\binstanceof|\bis)\s*$")
 # Who carries which kind of literal.
@@ -289,7 +292,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
         body = s["body"]
         test, box, life = _test_role(language, s)
         row = {
-            "symbol_id": s["id"], **head, "name": s["name"], "kind": s["kind"], "signature": s["head"][:2000], "doc_comment": doc, "visibility": visibility(s["head"], s["name"], language),
+            "symbol_id": s["id"], **head, "name": s["name"], "kind": s["kind"], "signature": s["head"], "doc_comment": doc, "visibility": visibility(s["head"], s["name"], language),
             "parent_symbol_id": s["parent"]["id"] if s["parent"] else None, **span, **(lines.span(*body, "body_") if body else {}), "confidence": 1.0 if tree_info else 0.9,
             "body_hash": hashlib.md5("\x1f".join(t for t in re.findall(r"\w+|[^\w\s]", m.bare[body[0] : body[1]])).encode()).hexdigest() if body else None,
             "is_test": test, "test_container": box, "test_lifecycle": life,
@@ -302,7 +305,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
                 fam["symbol_annotations"].append({"annotation_id": stable("annotation", s["id"], d), "symbol_id": s["id"], "annotation": name[1], "annotation_key": parts[-1].lower(), "raw_text": d, "carrier": parts[0] if len(parts) > 1 else None})
         t = info.get("returns") or (s["type"] or "").strip()
         if t and "type_facts" in keep:
-            fam["type_facts"].append({"type_fact_id": stable("type", s["id"]), "symbol_id": s["id"], "language": language, "resolved_type": t[:500], "is_inferred": not info.get("returns"), "generic_params_json": json.dumps(re.findall(r"[\w.]+", t[t.find("<") + 1 :])) if "<" in t else None})
+            fam["type_facts"].append({"type_fact_id": stable("type", s["id"]), "symbol_id": s["id"], "language": language, "resolved_type": t, "is_inferred": not info.get("returns"), "generic_params_json": json.dumps(re.findall(r"[\w.]+", t[t.find("<") + 1 :])) if "<" in t else None})
     callables: dict[str, list[dict]] = {}
     by_name: dict[str, list[dict]] = {}
     for s in found:
@@ -342,19 +345,25 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
     if "relationships" in keep and LANGUAGES[language].family not in ("data", "markup"):
         code = m.code
         nested: set[int] = set()
+
+        def before(at: int) -> str:
+            """What stands before a position, as far as the longest word that names a type after it, without blanks."""
+            end = _NOT_SPACE.search(code, 0, at)
+            return code[max(0, end.end() - 12) : end.end()] + code[end.end() : at][:1] if end else ""
+
         for w in _WORD.finditer(code):
             name, a, b = w[0], w.start(), w.end()
             if name in KEYWORDS or (a, name) in spots:
                 continue
             after = code[b : b + 1]
             dotted = code[a - 1 : a] == "." or code[a - 2 : a] in ("::", "->")
-            kind = "call" if after == "(" or (after == "!" and code[b + 1 : b + 2] == "(") else "member_access" if dotted else "type_usage" if name[:1].isupper() and _NAMED_TYPE.search(code[max(0, a - 14) : a]) else "variable_ref"
+            kind = "call" if after == "(" or (after == "!" and code[b + 1 : b + 2] == "(") else "member_access" if dotted else "type_usage" if name[:1].isupper() and _NAMED_TYPE.search(before(a)) else "variable_ref"
             if kind in ("variable_ref", "member_access") and name[:1].isupper() and a not in declared and brackets.typed(b):
                 kind = "type_usage"
             inside = container(a)
             receiver = None
             if dotted:
-                r = re.search(r"([\w$]+)(?:\.|::|->)$", code[max(0, a - 80) : a])
+                r = _RECEIVER.match(code, 0, a)
                 receiver = r[1] if r else None
             meta = {}
             if kind in ("variable_ref", "member_access"):
@@ -363,9 +372,9 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             if receiver:
                 meta["receiver"] = receiver
             if kind == "call":
-                close = code.find(")", b)
-                args = code[b + 1 : close] if 0 < close - b < 500 else ""
-                meta["arg_count"] = 0 if not args.strip() else args.count(",") + 1
+                args = brackets.items(b + 1 if after == "!" else b)
+                if args is not None:  # as in the reference, a call that is not closed has none
+                    meta["arg_count"] = args
                 if name in TEST_CALLS:
                     meta["test_role"] = TEST_CALLS[name]
             if "identifiers" in keep:
@@ -388,28 +397,20 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
                 elif not to:
                     pending(inside, "calls", name if not receiver else f"{receiver}.{name}", receiver, a, b)
     if "literals" in keep or "source_regions" in keep:
+        carriers: dict[int, str] = {}
         for r in m.regions:
             inside = container(r.start)
             fam["source_regions"].append({"source_region_id": stable("region", file_id, r.kind, lines.byte(r.start)), **head, "kind": r.kind, "containing_symbol_id": inside, **lines.span(r.start, r.end)})
             if r.kind != "string_literal":
                 continue
-            call = _CALL_ARG.search(m.code[max(0, r.start - 120) : r.start])
-            before = m.code[max(0, r.start - 400) : r.start]
-            position = 0
-            if not call:
-                depth, cut = 0, len(before)
-                for at in range(len(before) - 1, -1, -1):
-                    c = before[at]
-                    depth += (c in ")]}") - (c in "([{")
-                    if c == "," and depth == 0:
-                        position += 1
-                    if depth < 0:
-                        cut = at
-                        break
-                call = _CALL_ARG.search(before[: cut + 1]) if cut < len(before) else None
-            if not call:
+            opener = brackets.enclosing(r.start)
+            if opener not in carriers:
+                run = _CARRIER.match(m.code, 0, opener) if opener > 0 and m.code[opener] == "(" else None
+                start = _STARTER.search(run[0]) if run else None
+                carriers[opener] = run[0][start.start() :] if start else ""
+            carrier, position = carriers[opener], brackets.position(opener, r.start)
+            if not carrier:
                 continue
-            carrier = call["carrier"]
             last = re.split(r"\.|::|->", carrier)[-1]
             kind = next((k for k, names in CARRIERS.items() if last in names or carrier in names), None)
             if kind is None or ".".join(re.split(r"\.|::|->", carrier)[-2:]) in EXCLUDED_CARRIERS:
