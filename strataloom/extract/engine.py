@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from strataloom.artifact.schema import FAMILIES, TABLES
 from strataloom.extract import patterns as P
+from strataloom.extract.comments import markers
 from strataloom.extract.declarations import CALLABLE, DECISIONS, DECLARATIONS, KEYWORDS, LOOPS
 from strataloom.extract.mask import Masked, mask
 from strataloom.functions.ids import SEPARATOR
@@ -427,15 +428,8 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             for hit in expression.finditer(views[p.on]):
                 meta = {k: v for k, v in hit.groupdict().items() if v is not None and k != "q"}
                 fact(p.id, p.node, hit.start(), hit.end(), meta)
-        for r in m.regions:
-            if r.kind == "string_literal":
-                continue
-            at = r.start
-            for line in text[r.start : r.end].split("\n"):
-                bare = re.sub(r"\s*(?:\*/|-->)\s*$", "", re.sub(r"^(?:///?|//!|/\*\*?|\*(?!/)|#+|--+|;+|<!--|%+)\s*", "", line.strip()))
-                if hit := re.match(P.MARKER, bare):
-                    fact("code.marker.v1", "comment", at, at + len(line), {k: v for k, v in hit.groupdict().items() if v})
-                at += len(line) + 1
+        for a, b, meta in markers(m):
+            fact("code.marker.v1", "comment", a, b, meta)
         for pid, langs, expression in P.FILE_ROUTES:
             if language in langs and (hit := re.match(expression, path)):
                 route = next((v for v in hit.groups() if v is not None), "")

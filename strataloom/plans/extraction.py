@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.artifact.schema import FAMILIES
 from strataloom.artifact.store import enforce
+from strataloom.extract.comments import marks
 from strataloom.extract.engine import extract, family
 from strataloom.extract.patterns import PATTERNS
 from strataloom.operators import integrity
@@ -50,18 +51,41 @@ def extract_table_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def extracted_levels(s: SparkSession, d: str) -> DataFrame:
-    """Symbols and facts at the lowest levels: the level reaches the extractor, nothing is computed to be dropped."""
-    files = _files(s, d).where("language in ('go', 'rust')")
+    """Rows at every level, over all files: the level reaches the extractor, nothing is computed to be dropped."""
+    files = _files(s, d)
     out = None
-    for level in ("symbols", "facts"):
+    for level in LEVELS:
         got = extract(files, level)
         one = got.agg(
-            F.lit(level).alias("level"), F.sum(F.size("symbols")).alias("symbols"), F.sum(F.size("structural_facts")).alias("facts"), F.sum(F.size("identifiers")).alias("identifiers")
+            F.lit(level).alias("level"), F.sum(F.size("symbols")).alias("symbols"), F.sum(F.size("structural_facts")).alias("facts"),
+            F.sum(F.size("relationships") + F.size("pending_relationships")).alias("relationships"), F.sum(F.size("identifiers")).alias("identifiers"),
         )
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def token_hashes_all(s: SparkSession, d: str) -> DataFrame:
+    """The hash of normalised tokens of every file version, in all languages."""
+    return marks(table(s, d, "file_snapshots").select("file_id", "language", F.col("content").alias("text"))).select("file_id", "token_hash").distinct()
+
+
+def comment_markers_all(s: SparkSession, d: str) -> DataFrame:
+    """Markers in the comments of every file version, in all languages; repeated snapshot rows count once, equal lines each."""
+    once = marks(table(s, d, "file_snapshots").select("file_id", "language", F.col("content").alias("text"))).where(F.size("markers") > 0).distinct()
+    return once.select("file_id", F.explode("markers").alias("marker")).groupBy("file_id", "marker").agg(F.count("*").alias("n"))
+
+
+def identifier_access(s: SparkSession, d: str) -> DataFrame:
+    """How names are read and written in all files, by language."""
+    i = family(extract(_files(s, d), "full"), "identifiers").select("language", "kind", F.get_json_object("metadata_json", "$.access").alias("access"))
+    return i.where("access is not null").groupBy("language", "kind", "access").agg(F.count("*").alias("n"))
+
+
+def syntax_check_files(s: SparkSession, d: str) -> DataFrame:
+    """The diagnostics of all files."""
+    return family(extract(_files(s, d), "symbols"), "parse_diagnostics").select("file_id", "path", "kind", "start_byte")
+
+
 def extracted_against_given(s: SparkSession, d: str) -> DataFrame:
     """Extracted names beside the given symbols: agreement by language and kind group."""
     group = F.when(F.col("kind").isin("function", "method", "constructor"), "callable").when(F.col("kind").isin("class", "struct", "interface", "trait", "enum"), "type").otherwise("other")
@@ -134,5 +158,5 @@ def dangling_parents(s: SparkSession, d: str) -> DataFrame:
 
 ORACLE["dangling_parents"] = "SELECT DISTINCT symbol_id, parent_symbol_id FROM symbols WHERE parent_symbol_id IS NOT NULL AND parent_symbol_id NOT IN (SELECT symbol_id FROM symbols)"
 
-for _q in (extract_table_counts, extracted_levels, extracted_against_given, toml_tables, json_property_facts, go_functions, pattern_registry, unchanged_files, dangling_parents):
+for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, go_functions, pattern_registry, unchanged_files, dangling_parents):
     QUERIES[_q.__name__] = _q
