@@ -63,9 +63,13 @@ def stable(prefix: str, *parts: object) -> str:
 
 
 class Lines:
-    """Offsets of a text: characters to bytes, lines (from 1) and columns (bytes, from 0)."""
+    """Offsets of a text: characters to bytes, lines (from 1) and columns (bytes, from 0).
 
-    def __init__(self, text: str):
+    ``line`` and ``base``: the lines and bytes of its file before the text.
+    """
+
+    def __init__(self, text: str, line: int = 0, base: int = 0):
+        self.line, self.base = line, base
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
         self.ascii = text.isascii()
         self.bytes = None
@@ -76,13 +80,13 @@ class Lines:
                 self.bytes.append(self.bytes[-1] + (1 if o < 128 else 2 if o < 2048 else 3 if o < 65536 else 4))
 
     def byte(self, at: int) -> int:
-        return at if self.bytes is None else self.bytes[at]
+        return self.base + (at if self.bytes is None else self.bytes[at])
 
     def span(self, start: int, end: int, prefix: str = "") -> dict:
         out = {}
         for name, at in (("start", start), ("end", end)):
             line = bisect.bisect_right(self.starts, at)
-            out[f"{prefix}{name}_line"] = line
+            out[f"{prefix}{name}_line"] = self.line + line
             out[f"{prefix}{name}_column"] = self.byte(at) - self.byte(self.starts[line - 1])
             out[f"{prefix}{name}_byte"] = self.byte(at)
         return out
@@ -229,14 +233,37 @@ def _test_role(language: str, s: dict) -> tuple[bool, bool, bool]:
     return bool(case), bool(container), life
 
 
+def json_records(text: str) -> Iterator[tuple[str, Lines]]:
+    """The records of JSON Lines, one a line that is not blank, with their offsets in the file."""
+    base = 0
+    for i, chunk in enumerate(text.split("\n")):
+        record = chunk.removesuffix("\r")
+        if record.strip():
+            yield record, Lines(record, i, base)
+        base += (len(chunk) if chunk.isascii() else len(chunk.encode("utf-8", "surrogatepass"))) + 1
+
+
 def extract_file(path: str, language: str, text: str, file_id: str | None = None, level: str = "full") -> dict[str, list[dict]]:
-    """All row families of one file at a level. Damaged text gives what can be found, and diagnostics."""
+    """All row families of one file at a level. Damaged text gives what can be found, and diagnostics.
+
+    JSON Lines files are extracted record by record; places and ids are those in the file.
+    """
     file_id = file_id or stable("file", path)
+    if language == "json" and re.search(r"\.(?:jsonl|ndjson)$", path, re.I):
+        fam: dict[str, list[dict]] = {f: [] for f in FAMILIES}
+        for record, lines in json_records(text):
+            for f, rows in _extract_text(path, language, record, lines, file_id, level).items():
+                fam[f] += rows
+        return fam
+    return _extract_text(path, language, text, Lines(text), file_id, level)
+
+
+def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: str, level: str) -> dict[str, list[dict]]:
     fam: dict[str, list[dict]] = {f: [] for f in FAMILIES}
     if language not in LANGUAGES:
         return fam
     keep = set(level_families(level))
-    m, lines = mask(text, language), Lines(text)
+    m = mask(text, language)
     head = {"file_id": file_id, "path": path, "language": language}
     found, imports = find_symbols(path, language, m, lines, file_id)
     tree_info = {}
@@ -253,7 +280,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             json.loads(text)
         except (ValueError, RecursionError) as e:
             at = min(len(text), getattr(e, "pos", 0))
-            fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, "error", at, str(e)), **head, "kind": "error", "message": str(e)[:500], **lines.span(at, at)})
+            fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, "error", lines.base + at, str(e)), **head, "kind": "error", "message": str(e)[:500], **lines.span(at, at)})
     elif LANGUAGES[language].family == "braces":
         stack = []
         for b in re.finditer(r"[(){}\[\]]", m.code):
@@ -450,7 +477,7 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
             params = symbol and symbol["params"]
             inner = params[1:-1].strip() if params and params[:1] == "(" else (params or "").strip()
             fam["complexity_metrics"].append({
-                "complexity_metric_id": stable("complexity", file_id, scope, symbol["id"] if symbol else ""), **head, "scope": scope, "symbol_id": symbol["id"] if symbol else None, "algorithm_id": "tokens.v1",
+                "complexity_metric_id": stable("complexity", file_id, scope, symbol["id"] if symbol else lines.base or ""), **head, "scope": scope, "symbol_id": symbol["id"] if symbol else None, "algorithm_id": "tokens.v1",
                 "covered_lines": span["end_line"] - span["start_line"] + 1, "covered_bytes": span["end_byte"] - span["start_byte"], "decision_count": len(re.findall(DECISIONS, code)), "loop_count": len(re.findall(LOOPS, code)),
                 "max_nesting_depth": min(most, DEPTH), "parameter_count": (len(_PARAMS.split(inner)) if inner else 0) if symbol else None, **span,
             })
