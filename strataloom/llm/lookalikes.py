@@ -35,6 +35,19 @@ LOOK = {
     "K": "K", "ℓ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
     "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "∣": "|", "ı": "ı", "ɡ": "g", "ɑ": "a",
 }
+# Letters and letter-like signs of the same shape as one that is not ASCII (left) and that one (right), which
+# is the one that is composed with accents, where any is, and is itself mapped to nothing.
+LOOK_OTHER = {
+    # Greek and Cyrillic
+    "Γ": "Г", "П": "Π", "Ф": "Φ", "Ѱ": "Ψ", "ѱ": "ψ", "Ͷ": "И", "ͷ": "и", "ϴ": "Θ",
+    # Cyrillic or Greek and Latin
+    "Ə": "Ә", "ə": "ә", "ǝ": "ә", "Ɵ": "Ө", "Ѳ": "Ө", "ɵ": "ө", "ѳ": "ө", "Ӕ": "Æ", "ӕ": "æ", "Ӡ": "Ʒ", "ӡ": "ʒ", "Ԑ": "Ɛ", "ԑ": "ɛ",
+    "Ͻ": "Ɔ", "ͻ": "ɔ",
+    # Coptic, Cherokee, small capitals
+    "Ⲅ": "Г", "Ⲡ": "Π", "Ⲫ": "Φ", "Ꮁ": "Г", "ᴨ": "п", "ᴫ": "л",
+    # Letter-like signs
+    "\u00b5": "\u03bc", "∆": "Δ", "∏": "Π", "∑": "Σ", "Ʃ": "Σ", "ℵ": "א", "ℶ": "ב", "ℷ": "ג", "ℸ": "ד",
+}
 # Characters without a glyph or width (the emoji joiner aside, which changes what is seen).
 INVISIBLE = (
     r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}"
@@ -56,7 +69,7 @@ def tables() -> tuple[str, str]:
         d = unicodedata.decomposition(chr(cp)).split()
         if len(d) == 2 and d[0] in ("<wide>", "<narrow>"):
             pairs[chr(cp)] = chr(int(d[1], 16))
-    pairs |= {a: b for a, b in LOOK.items() if a != b}
+    pairs |= {a: b for a, b in (LOOK | LOOK_OTHER).items() if a != b}
     for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000), 0x212A, 0x212B):
         ch = unicodedata.normalize("NFD", chr(cp))
         if len(ch) > 1 and ch[0] in pairs:
