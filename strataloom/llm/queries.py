@@ -54,6 +54,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.draw(sizes, targets), sizes, targets)
 
 
+def p7_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mixture as large as what the target sources hold: most targets cannot be met then."""
+    sizes, targets = _sizes(spark, d)
+    whole = sizes.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0
+    return mixture.shares(mixture.draw(sizes, targets, total=whole), sizes, targets, total=whole)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_look_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -78,6 +85,7 @@ QUERIES = {
     "p6_round_trip": p6_round_trip,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_corpus_shares": p7_corpus_shares,
     "p8_found": p8_found,
     "p8_forms": p8_forms,
     "p8_classes": p8_classes,
