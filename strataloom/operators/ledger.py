@@ -1,10 +1,10 @@
 """Processing only new or changed records: a work-item ledger with leases and fencing tokens.
 
-Two faces of one ledger. ``done_marks``/``item_states`` fold an attempt history into the state of every work
-item (pending, leased, done) as DataFrames. ``WorkLedger`` keeps such a ledger in a shared folder for this
-engine's own runs: leases are files created atomically, expired leases return to pending, a higher fencing token
-rejects a stale writer, and each item's output path depends on the item alone, so a retry replaces its own
-half-written output.
+Two faces of one ledger. ``entries`` folds an attempt history into leases and commits by fencing token, ``claimed``
+and ``item_states`` give every work item the entry that holds it (pending, leased, done), as DataFrames.
+``WorkLedger`` keeps such a ledger in a shared folder for this engine's own runs: leases are files created
+atomically, expired leases return to pending, a higher fencing token rejects a stale writer, and each item's output
+path depends on the item alone, so a retry finds what an earlier attempt has published.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.session import utc_micros
@@ -28,40 +29,64 @@ def clean_kind(col: str):
     return F.lower(F.regexp_replace(col, r"^[\s ﻿]+|[\s ﻿]+$", ""))
 
 
-def done_marks(attempts: DataFrame) -> DataFrame:
-    """Per root the watermark up to which work is done: ``root, done_us``.
+def entries(attempts: DataFrame, now_us: int | None = None, ttl_us: int = 3_600_000_000) -> DataFrame:
+    """The ledger of an attempt history, one row a usable attempt: ``root, token, low_us, high_us, state``.
 
-    An attempt is a lease of its root's backlog up to ``read_until``; its fencing token is ``(run_id, attempt)``.
-    Only an ``ok`` attempt has committed; failed, aborted and running ones leave the items pending (or leased, see
-    ``open_leases``). Roots without a committed attempt are absent; null ``read_until`` commits nothing.
+    An attempt leases its root's backlog up to ``read_until``; its fencing token is ``(run_id, attempt)``. The first
+    commit of an item counts: an ``ok`` attempt is ``done`` for the items in (low_us, high_us], those that no attempt
+    of a lower token has committed; where nothing is left for it, it is a ``stale`` writer and commits nothing. A
+    running attempt is ``leased`` until ``ttl_us`` after its start or until a later token of its root began, then
+    ``expired``; any other outcome is ``released``. Items of a released or expired lease are pending again.
+    ``now_us`` None is the last instant the history knows. Attempts without root or ``read_until`` are no entries;
+    repeated rows are one.
     """
-    return (
-        attempts.where("outcome = 'ok'")
-        .select(F.col("input_root").alias("root"), utc_micros(attempts, "read_until").alias("us"))
-        .groupBy("root")
-        .agg(F.max("us").alias("done_us"))
+    rows = attempts.where("input_root is not null").select(
+        F.col("input_root").alias("root"), F.struct("run_id", "attempt").alias("token"), "outcome",
+        utc_micros(attempts, "read_until").alias("high_us"), utc_micros(attempts, "started_at").alias("began"),
+        utc_micros(attempts, "finished_at").alias("ended"),
+    ).where("high_us is not null").distinct()
+    if now_us is None:
+        last = rows.agg(F.max(F.greatest("began", "ended"))).first()[0]
+        now_us = last if last is not None else 0
+    order = W.partitionBy("root").orderBy("token")
+    ok = F.col("outcome") == "ok"
+    rows = rows.withColumn("low_us", F.max(F.when(ok, F.col("high_us"))).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("next", F.lead("token").over(order))
+    live = (F.col("began") + ttl_us > now_us) & (F.col("began") <= now_us) & F.col("next").isNull()
+    state = (
+        F.when(ok & (F.col("low_us").isNull() | (F.col("high_us") > F.col("low_us"))), "done")
+        .when(ok, "stale")
+        .when((F.col("outcome") == "running") & live, "leased")
+        .when(F.col("outcome") == "running", "expired")
+        .otherwise("released")
     )
+    return rows.select("root", "token", "low_us", "high_us", state.alias("state"))
 
 
-def open_leases(attempts: DataFrame, now_us: int | None = None, ttl_us: int = 3_600_000_000) -> DataFrame:
-    """Per root the live lease with the highest fencing token: ``root, lease_us, token``.
+def claimed(items: DataFrame, ledger: DataFrame, salts: int = 16) -> DataFrame:
+    """Adds ``state`` and ``token`` to ``items(root, completed_us, ...)`` by the entry that holds them.
 
-    A running attempt holds its lease until ``ttl_us`` after its start; with ``now_us`` None every lease has expired,
-    which is the view of a run that starts long after.
+    Done ranges of one root follow each other, so the entry of an item is the nearest one at or above its completion:
+    one as-of pass, entries and items sorted together. Items are salted and the entries (a log of runs, small beside
+    the items) repeated for each salt, so a root with a third of all items is not one task.
     """
-    if now_us is None:
-        now_us = 2**62
-    live = attempts.where("outcome = 'running'").select(
-        F.col("input_root").alias("root"),
-        utc_micros(attempts, "read_until").alias("us"),
-        utc_micros(attempts, "started_at").alias("began"),
-        F.struct("run_id", "attempt").alias("token"),
-    )
-    return (
-        live.where(F.col("began") + ttl_us > now_us)
-        .groupBy("root")
-        .agg(F.max("us").alias("lease_us"), F.max("token").alias("token"))
+    cols = [c for c in items.columns if c not in ("root", "completed_us")]
+    held = ledger.where("state in ('done', 'leased')").select(
+        "root", F.col("high_us").alias("us"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("o"),
+        F.when(F.col("state") == "done", F.col("token")).alias("by"), F.when(F.col("state") == "leased", F.col("token")).alias("lease"),
+        F.lit(None).cast(items.select(F.struct(*cols)).schema[0].dataType).alias("item"),
+    )
+    void = F.lit(None).cast(ledger.schema["token"].dataType)
+    mine = items.select(
+        "root", F.col("completed_us").alias("us"), F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("o"),
+        void.alias("by"), void.alias("lease"), F.struct(*cols).alias("item"),
+    )
+    down = W.partitionBy("root", "salt").orderBy(F.desc("us"), "o").rowsBetween(W.unboundedPreceding, 0)
+    both = held.unionByName(mine).select(
+        "root", "us", "o", "item", F.last("by", ignorenulls=True).over(down).alias("by"), F.max("lease").over(down).alias("lease")
     )
+    state = F.when(F.col("by").isNotNull(), "done").when(F.col("lease").isNotNull(), "leased").otherwise("pending")
+    return both.where("o = 1").select("root", F.col("us").alias("completed_us"), "item.*", state.alias("state"), F.coalesce("by", "lease").alias("token"))
 
 
 def item_states(
@@ -69,26 +94,20 @@ def item_states(
 ) -> DataFrame:
     """The state of each work item ``(revision_id, file_id)``: pending, leased or done.
 
-    Columns: ``root, revision_id, file_id, path, change_kind, completed_us, state``. An item exists where its revision
-    has a readable ``completed_at`` and the cleaned change kind is one of ``WORK_KINDS``; repeated rows make one
-    item; revisions without root, ids that are null and changes without revision make none. ``pending_only``
-    leaves out done items before the large join.
+    Columns: ``root, revision_id, file_id, path, change_kind, completed_us, state, token`` (the fencing token that
+    committed or holds it; null while pending). An item exists where its revision has a readable ``completed_at`` and
+    the cleaned change kind is one of ``WORK_KINDS``; repeated rows make one item; revisions without root, ids that
+    are null and changes without revision make none. States come from the ledger's entries (``entries``, at
+    ``now_us``). ``pending_only`` leaves out done items before the large join.
     """
     rev = revisions.select(
         "revision_id", F.col("input_root").alias("root"), utc_micros(revisions, "completed_at").alias("completed_us")
     ).where("completed_us is not null and revision_id is not null and root is not null")
-    rev = rev.join(done_marks(attempts), "root", "left").join(open_leases(attempts, now_us), "root", "left")
-    rev = rev.withColumn(
-        "state",
-        F.when(F.col("completed_us") <= F.col("done_us"), "done")
-        .when(F.col("completed_us") <= F.col("lease_us"), "leased")
-        .otherwise("pending"),
-    )
+    rev = claimed(rev, entries(attempts, now_us))
     if pending_only:
         rev = rev.where("state <> 'done'")
-    rev = rev.groupBy("revision_id").agg(
-        F.min("root").alias("root"), F.min("completed_us").alias("completed_us"), F.max("state").alias("state")
-    )
+    # repeated rows of a revision; of several completions the one furthest behind counts
+    rev = rev.groupBy("revision_id").agg(F.max(F.struct("state", "root", "completed_us", "token")).alias("r")).select("revision_id", "r.*")
     work = (
         changes.select("revision_id", "file_id", "path", clean_kind("change_kind").alias("change_kind"))
         .where(F.col("change_kind").isin(*WORK_KINDS) & F.col("revision_id").isNotNull() & F.col("file_id").isNotNull())
@@ -96,7 +115,7 @@ def item_states(
     )
     return work.groupBy("revision_id", "file_id").agg(
         F.min("root").alias("root"), F.min("path").alias("path"), F.min("change_kind").alias("change_kind"),
-        F.min("completed_us").alias("completed_us"), F.min("state").alias("state"),
+        F.min("completed_us").alias("completed_us"), F.min("state").alias("state"), F.min("token").alias("token"),
     )
 
 
@@ -116,16 +135,17 @@ class WorkLedger:
     """A ledger of work items in a shared folder (any Hadoop file system).
 
     Layout: ``items/<item>`` (pending), ``leases/<item>/<token>`` (one file a lease, created atomically without
-    overwriting: of two workers one gets the token), ``out/<item>/t<token>`` (an attempt's output) and
-    ``done/<item>`` (the commit, created atomically; it names the token whose output counts). The ledger holds work
-    items (root and revision range), never records.
+    overwriting: of two workers one gets the token), ``work/<item>/<token>`` (what an attempt is writing),
+    ``out/<item>`` (the item's output: published whole by a rename that fails where another attempt was first) and
+    ``done/<item>`` (the commit, created atomically). The ledger holds work items (root and revision range), never
+    records. Work must be a function of the item, so whichever attempt publishes, the rows are the same.
     """
 
     def __init__(self, spark: SparkSession, base: str, ttl: float = 3600.0, clock: Callable[[], float] = time.time):
         self.spark, self.base, self.ttl, self.clock = spark, base.rstrip("/"), ttl, clock
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for d in ("items", "leases", "out", "done"):
+        for d in ("items", "leases", "work", "out", "done"):
             self._fs.mkdirs(self._path(f"{self.base}/{d}"))
 
     def _create(self, at: str, body: dict) -> bool:
@@ -183,32 +203,51 @@ class WorkLedger:
         made = self._create(f"{self.base}/leases/{item}/{got.token}", {"worker": worker, "expires": got.expires})
         return got if made else None
 
-    def output(self, lease: Lease) -> str:
-        return f"{self.base}/out/{lease.item}/t{lease.token}"
+    def staging(self, lease: Lease) -> str:
+        """Where this attempt writes; nobody reads it."""
+        return f"{self.base}/work/{lease.item}/{lease.token}"
+
+    def output(self, item: str) -> str:
+        """Where the item's rows are found, whichever attempt wrote them."""
+        return f"{self.base}/out/{item}"
 
     def commit(self, lease: Lease) -> None:
-        """Marks the item done with this lease's output; a stale token or a second commit is rejected."""
+        """Publishes this lease's rows and marks the item done; a stale token or a second commit is rejected.
+
+        A crash between the two leaves a published output without mark: the next lease's commit keeps it and sets the
+        mark.
+        """
         last = self._last(lease.item)
         if last is None or last.token != lease.token:
             raise StaleWriter(f"{lease.item}: token {lease.token}, newest {last.token if last else None}")
+        if self._fs.exists(self._path(f"{self.base}/done/{lease.item}")):
+            raise StaleWriter(f"{lease.item} is done")
+        out = self._path(self.output(lease.item))
+        if not self._fs.exists(out):
+            try:
+                self._fs.rename(self._path(self.staging(lease)), out)
+            except Exception as e:
+                if not self._fs.exists(out):
+                    raise RuntimeError(f"{lease.item} was not published") from e
         if not self._create(f"{self.base}/done/{lease.item}", {"token": lease.token, "worker": lease.worker}):
             raise StaleWriter(f"{lease.item} is done")
+        self._fs.delete(self._path(f"{self.base}/work/{lease.item}"), True)
 
     def process(self, worker: str, work: Callable[[str], DataFrame]) -> list[str]:
-        """Works off every pending item: ``work(item)`` gives its rows, each attempt overwrites its own path."""
+        """Works off every pending item: ``work(item)`` gives its rows. An item lost to another worker is left to it."""
         done = []
         for item in self._names(f"{self.base}/items"):
             if (got := self.lease(worker, item)) is None:
                 continue
-            work(item).write.mode("overwrite").parquet(self.output(got))
-            self.commit(got)
+            work(item).write.mode("overwrite").parquet(self.staging(got))
+            try:
+                self.commit(got)
+            except StaleWriter:
+                continue
             done.append(item)
         return done
 
     def results(self) -> DataFrame | None:
         """The rows of all committed items, each exactly once."""
-        paths = []
-        for item in self._names(f"{self.base}/done"):
-            token = (self._read(f"{self.base}/done/{item}") or {}).get("token")
-            paths.append(f"{self.base}/out/{item}/t{token}")
+        paths = [self.output(item) for item in self._names(f"{self.base}/done")]
         return self.spark.read.parquet(*paths) if paths else None
