@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from strataloom.operators import drift, hierarchy, ledger
 from strataloom.session import cut, table
 
-#: The approved table of raw exports: field, type and the names it has had.
+#: The target schema of raw exports: field and type.
 EXPORT_TARGET = {
     "file_id": "string", "path": "string", "language": "string", "content_hash": "string", "content_bytes": "long",
     "line_count": "long", "indexed_at": "string", "last_revision_id": "long", "status": "string",
 }
+#: Fields approved later.
+PROMOTED = {"encoding": "string", "owner_team": "string"}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,33 +79,21 @@ def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _ingested(spark: SparkSession, d: str, report: bool) -> DataFrame:
-    raw = table(spark, d, "raw_exports")
-    keep = ["record_id", "feed", "batch_no", "revision_id", "exported_at", "received_at"]
-    return drift.ingest(raw, "payload", EXPORT_TARGET, keep, report)
+def _ingested(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    return cut(drift.ingest(table(spark, d, "raw_exports").select(*keep, "payload"), "payload", EXPORT_TARGET, keep))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "raw_exports").select("feed", "batch_no", "payload")
-    got = cut(drift.ingest(raw, "payload", {"file_id": "string"}, ["feed", "batch_no"], report=True))
-    return drift.changes(got, "feed", "batch_no", "file_id")
+    return drift.changes(_ingested(spark, d, ["feed", "batch_no"]), EXPORT_TARGET, "feed", "batch_no", "file_id")
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """All exports in one table, approved old names replayed, with the writing versions beside."""
-    df = _ingested(spark, d, report=False)
-    for field, kind, aliases in (
-        ("line_count", "long", ("lineCount", "n_lines", "lines", "stats.lines")),
-        ("content_hash", "string", ("contentHash", "hash.blake", "digest")),
-        ("content_bytes", "long", ("contentBytes", "size_bytes", "size", "stats.bytes")),
-        ("language", "string", ("languageName", "lang", "lang_id")),
-        ("indexed_at", "string", ("indexedAt", "seen_at", "ts")),
-        ("status", "string", ("state", "file_state")),
-        ("last_revision_id", "long", ("lastRevision", "rev", "revision.last")),
-        ("encoding", "string", ("enc", "charset")),
-        ("owner_team", "string", ("team", "owner.team")),
-    ):
-        df = drift.promote(df, field, kind, aliases=aliases)
+    """All exports in one table, with the writing versions beside: values under the names that the reported renames
+    lead to are replayed into the approved columns, those of schema and ``PROMOTED``."""
+    df = _ingested(spark, d, ["record_id", "feed", "batch_no", "revision_id", "exported_at", "received_at"])
+    kinds = EXPORT_TARGET | PROMOTED
+    names = drift.lineage(drift.changes(df, EXPORT_TARGET, "feed", "batch_no", "file_id"), list(kinds))
+    df = drift.replay(df, {f: (kind, (f, *names[f])) for f, kind in kinds.items()})
     rev = table(spark, d, "extraction_revisions").select(
         "revision_id", "extract_contract_version", "sqlite_schema_version",
         F.regexp_replace(F.trim("binary_version"), r"^v|\+.*$", "").alias("binary_version"),

@@ -12,9 +12,14 @@ def rows(*items):
 
 def changes(spark, *items):
     raw = spark.createDataFrame(rows(*items), SCHEMA)
-    got = drift.ingest(raw, "payload", {"file_id": "string"}, ["feed", "batch_no"], report=True)
-    out = drift.changes(got, "feed", "batch_no", "file_id")
-    return sorted(tuple(r) for r in out.select("feed", "batch_no", "change_type", "old_field", "new_field").collect())
+    results = []
+    for target in ({"file_id": "string"}, {"file_id": "string", "n": "long", "x.y": "string", "new": "string", "a": "double", "b": "long"}):
+        for sent in (drift.SENT, 0):
+            out = drift.changes(drift.ingest(raw, "payload", target, ["feed", "batch_no"]), target, "feed", "batch_no", "file_id", sent)
+            results.append(sorted(tuple(r) for r in out.select("feed", "batch_no", "change_type", "old_field", "new_field").collect()))
+    # whatever of the payload is typed and whatever rescued, the report is the same
+    assert all(r == results[0] for r in results)
+    return results[0]
 
 
 def test_each_kind(spark):
@@ -49,17 +54,52 @@ def test_ingest_rescues_and_promotes(spark):
     df = drift.ingest(raw, "payload", {"n": "long", "s": "string"}, ["batch_no"])
     df = drift.promote(df, "n", "long", aliases=("count",))
     got = {r.batch_no: (r.n, r.s, json.loads(r._rescued) if r._rescued else None) for r in df.collect()}
-    assert got == {1: (1, None, {"extra.deep": [1, "é"], "s": 5}), 2: (7, None, {"count": 7}), 3: (None, None, {"_corrupt": "oops"}), 4: (None, None, None)}
+    assert got == {1: (1, None, {"extra.deep": [1, "é"], "s": 5}), 2: (7, None, None), 3: (None, None, {"_corrupt": "oops"}), 4: (None, None, None)}
 
 
 def test_ranges_and_name_clashes(spark):
     raw = spark.createDataFrame([("q", 1, json.dumps({"batch_no": 9, "big": 2**70, "ok": True, "f": 2}), "", "")], SCHEMA)
     df = drift.ingest(raw, "payload", {"batch_no": "long", "big": "long", "ok": "boolean", "f": "double"}, ["batch_no"])
     r = df.collect()[0]
-    assert (r.batch_no, r.batch_no_, r.big, r.ok, r.f) == (1, 9, None, True, 2.0)
-    assert json.loads(r._rescued) == {"big": 2**70}
+    assert (r.batch_no, r.batch_no_, r.big, r.ok, r.f) == (1, 9, None, True, None)
+    assert json.loads(r._rescued) == {"big": 2**70, "f": 2}
+    r = drift.promote(df, "f", "double").collect()[0]
+    assert r.f == 2.0 and json.loads(r._rescued) == {"big": 2**70}
 
 
 def test_a_long_payload(spark):
     big = {"file_id": "f", "t": "x" * 1_000_000}
     assert changes(spark, ("q", 1, big), ("q", 2, {"file_id": "f", "u": "x" * 1_000_000})) == [("q", 2, "renamed", "t", "u")]
+
+
+def test_replay_casts_what_keeps_its_meaning(spark):
+    items = [{"n": "12"}, {"n": 12.0}, {"n": 12.5}, {"n": True}, {"n": [1]}, {"n": None, "m": 3}, {"n": 1, "m": 2}]
+    raw = spark.createDataFrame(rows(*[("q", i, x) for i, x in enumerate(items)]), SCHEMA)
+    df = drift.replay(drift.ingest(raw, "payload", {"n": "long"}, ["batch_no"]), {"n": ("long", ("n", "m")), "t": ("string", ("k",))})
+    got = {r.batch_no: (r.n, json.loads(r._rescued) if r._rescued else None, r.t) for r in df.collect()}
+    assert got == {0: (12, None, None), 1: (12, None, None), 2: (None, {"n": 12.5}, None), 3: (None, {"n": True}, None), 4: (None, {"n": [1]}, None), 5: (3, None, None), 6: (1, {"m": 2}, None)}
+
+
+def test_kinds_read_back_from_the_rescue(spark):
+    payload = '{"s": "1", "i": 1, "d": 1.0, "e": 1e3, "b": false, "a": [1.0, "x"], "z": null, "t": "null", "big": 123456789012345678901234567890123456789012, "q\\"k": "\\u001f/"}'
+    raw = spark.createDataFrame(rows(("q", 1, payload), ("q", 2, "{}")), SCHEMA)
+    got = {r.field: (r.kind, r.value) for r in drift.fields(drift.ingest(raw, "payload", {"file_id": "string"}, ["batch_no"]), {"file_id": "string"}, ["batch_no"]).where("batch_no = 1").collect()}
+    assert {k: v[0] for k, v in got.items()} == {"s": 1, "i": 2, "d": 4, "e": 4, "b": 8, "a": 16, "z": 0, "t": 1, "big": 2, 'q"k': 1}
+    assert got["s"][1] == "1" and got["d"][1] == "1.0" and got["z"][1] is None and got['q"k'][1] == "\x1f/" and got["big"][1] == "123456789012345678901234567890123456789012"
+
+
+def test_lineage(spark):
+    report = [("f", b, "renamed", o, n) for b, o, n in [(2, "a", "b"), (5, "a", "b"), (3, "b", "c"), (4, "b", "c"), (2, "x", "y"), (2, "p", "m"), (3, "p", "m"), (2, "r", "m"), (3, "r", "m")]]
+    df = spark.createDataFrame(report, "feed string, batch_no long, change_type string, old_field string, new_field string")
+    assert drift.lineage(df, ["a", "x", "p", "r"]) == {"a": ("b", "c"), "x": (), "p": (), "r": ()}
+
+
+def test_the_query_hangs_on_the_rescue(spark, monkeypatch):
+    from strataloom.plans.problems import QUERIES
+
+    from tests.conftest import DATA
+
+    right = set(map(tuple, QUERIES["p5_found"](spark, DATA).collect()))
+    true = drift.ingest
+    monkeypatch.setattr(drift, "ingest", lambda *a, **k: true(*a, **k).withColumn("_rescued", drift.F.lit(None).cast("string")))
+    assert set(map(tuple, QUERIES["p5_found"](spark, DATA).collect())) != right
