@@ -57,21 +57,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Each node's root, depth, path (as text) and number of descendants."""
-    out = cut(hierarchy.resolve(_nodes(spark, d), "node", "parent", "loc"))
-    return _named(hierarchy.with_descendant_counts(out)).select(
+    out = hierarchy.resolve(_nodes(spark, d), "node", "parent", "loc", with_counts=True)
+    return _named(out).select(
         "node_table", "node_id", F.expr("substring(root_id, 2)").alias("root_id"), "depth",
-        F.array_join(F.transform("path", lambda x: F.substring(x, 2, 1 << 20)), "/").alias("path"),
+        F.expr("array_join(transform(path, x -> substring(x, 2)), '/')").alias("path"),
         "n_descendants", "in_cycle", "below_cycle",
     )
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every ancestor-descendant pair of the revisions, with its distance."""
-    out = hierarchy.resolve(table(spark, d, "extraction_revisions"), "revision_id", "parent_revision_id", "input_root")
-    return hierarchy.closure(out)
-
-
-def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every ancestor-descendant pair of both tables, symbols and revisions, with its distance."""
     pairs = hierarchy.closure(hierarchy.resolve(_nodes(spark, d), "node", "parent", "loc"))
     return _named(pairs.withColumnRenamed("descendant_id", "node_id")).select(
@@ -107,7 +101,6 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p4_descendants": p4_descendants,
-    "p4_all_descendants": p4_all_descendants,
     "p5_found": p5_found,
     "p5_table": p5_table,
 }
@@ -141,15 +134,6 @@ ORACLE = {
     + "SELECT input_root AS root, state, count(*) AS items, count(DISTINCT revision_id) AS revisions FROM items GROUP BY 1, 2",
     "p4_found": _P4 + "SELECT DISTINCT t AS node_table, id AS node_id FROM up WHERE anc = id",
     "p4_descendants": """
-WITH RECURSIVE n AS (SELECT DISTINCT revision_id AS id, parent_revision_id AS p FROM extraction_revisions),
-good AS (
-  SELECT id, [id] AS path FROM n WHERE p IS NULL OR p NOT IN (SELECT id FROM n)
-  UNION ALL
-  SELECT n.id, list_append(good.path, n.id) FROM n JOIN good ON n.p = good.id)
-SELECT CAST(path[i] AS VARCHAR) AS ancestor_id, CAST(id AS VARCHAR) AS descendant_id, CAST(len(path) - i AS BIGINT) AS distance
-FROM (SELECT id, path, unnest(range(1, len(path))) AS i FROM good)
-""",
-    "p4_all_descendants": """
 WITH RECURSIVE n AS (
   SELECT DISTINCT 'symbols' AS t, symbol_id AS id, parent_symbol_id AS p FROM symbols
   UNION ALL

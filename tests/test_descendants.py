@@ -22,7 +22,7 @@ def walked(links):
 def test_both_tables(spark, tmp_path):
     spark.createDataFrame(SYMBOLS, "symbol_id string, parent_symbol_id string, file_id string").write.parquet(f"{tmp_path}/symbols.parquet")
     spark.createDataFrame(REVISIONS, "revision_id long, parent_revision_id long, input_root string").write.parquet(f"{tmp_path}/extraction_revisions.parquet")
-    got = [tuple(r) for r in registry.queries()["p4_all_descendants"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in registry.queries()["p4_descendants"](spark, str(tmp_path)).collect()]
     want = {("symbols", *p) for p in walked(SYMBOLS)} | {("extraction_revisions", *p) for p in walked(REVISIONS)}
     assert len(got) == len(want) and set(got) == want
     assert ("symbols", "a", "c", 2) in want

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,11 +35,11 @@ def brute(links):
 def check(spark, links, chunk, loc=None):
     rows = [(a, b, (a or "x")[-1:] if loc is None else loc) for a, b in links]
     df = spark.createDataFrame(rows, "id string, up string, loc string")
-    got = {
-        r.node_id: (r.root_id, r.depth, tuple(r.path) if r.path else None, r.in_cycle, r.below_cycle)
-        for r in hierarchy.resolve(df, "id", "up", "loc", chunk=chunk).collect()
-    }
-    assert got == brute(links)
+    rows = hierarchy.resolve(df, "id", "up", "loc", chunk=chunk, with_counts=True).collect()
+    want = brute(links)
+    assert {r.node_id: (r.root_id, r.depth, tuple(r.path) if r.path else None, r.in_cycle, r.below_cycle) for r in rows} == want
+    below = Counter(a for w in want.values() if w[2] for a in w[2][:-1])
+    assert {r.node_id: r.n_descendants for r in rows} == {n: None if w[2] is None else below[n] for n, w in want.items()}
 
 
 def test_small(spark):
@@ -49,7 +50,8 @@ def test_small(spark):
 def test_split_everywhere(spark):
     """Chunks of two links: chains and a long cycle are merged from pieces."""
     links = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)] + [(f"c{i}", f"c{(i + 1) % 17}") for i in range(17)] + [("tail", "c3"), ("tail2", "tail")]
-    check(spark, links, 2)
+    for chunk in (2, 30):  # pointer doubling alone, and a last forest
+        check(spark, links, chunk)
 
 
 def test_random(spark):
@@ -73,13 +75,13 @@ def test_clashing_columns_and_numbers(spark):
 
 def test_deep_chain_needs_no_recursion(spark):
     n = 20_000
-    rows = hierarchy.contract([str(i) for i in range(n)], [None, *(str(i) for i in range(n - 1))], False)
-    assert max(r[3] for r in rows) == n - 1
+    rows = hierarchy.contract([str(i) for i in range(n)], [None, *(str(i) for i in range(n - 1))])
+    assert max(r[2] for r in rows) == n - 1
 
 
 def test_descendants(spark):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a")], "id string, up string")
-    out = {r.node_id: r.n_descendants for r in hierarchy.with_descendant_counts(hierarchy.resolve(df, "id", "up")).collect()}
+    out = {r.node_id: r.n_descendants for r in hierarchy.resolve(df, "id", "up", with_counts=True).collect()}
     assert out == {"a": 3, "b": 1, "c": 0, "d": 0}
 
 
@@ -88,8 +90,26 @@ def test_descendants(spark):
 def test_contract_alone(links):
     nodes, parents = [str(a) for a, _ in links], [None if b is None else str(b) for _, b in links]
     want = brute(list(zip(nodes, parents)))
-    for node, top, nxt, off, cyclic, lost, path in hierarchy.contract(nodes, parents, True):
+    for node, (top, nxt, off, cyclic, lost) in zip(nodes, hierarchy.contract(nodes, parents)):
         root, depth, p, c, below = want[node]
         assert (cyclic, lost and not cyclic) == (c, below)
         if not lost:
-            assert (top, off, tuple(path)) == (root, depth, p)
+            assert (top, off) == (root, depth)
+
+
+def test_a_forest_with_weights_keeps_offsets_on_either_side():
+    """Chains are linked from the middle outwards, so ranks put tops below bottoms."""
+    rng = random.Random(1)
+    n = 300
+    nodes = [f"n{i}" for i in range(n)]
+    parents: list = [None] * n
+    steps = [rng.randint(1, 9) for _ in range(n)]
+    for i in range(1, n):
+        parents[i] = nodes[rng.randrange(i)]
+    order = list(range(n))
+    rng.shuffle(order)
+    got = hierarchy.contract([nodes[i] for i in order], [parents[i] for i in order], [steps[i] for i in order])
+    off = {nodes[i]: g[2] for i, g in zip(order, got)}
+    for i in range(1, n):
+        assert off[nodes[i]] == off[parents[i]] + steps[i]
+    assert off["n0"] == 0 and {g[0] for g in got} == {"n0"}
