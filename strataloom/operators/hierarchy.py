@@ -252,7 +252,8 @@ def _final(local: DataFrame, entries: DataFrame | None, df: DataFrame, node: str
             F.col("lost").alias("e_lost"), F.col("path").alias("e_path"),
         )
         hit = F.col("e_off").isNotNull()
-        out = local.join(e, "next", "left").select(
+        # what hangs on nothing outside its task is done, and its null links meet in no join
+        out = local.where("next is not null").join(e.hint("merge"), "next", "left").select(
             "node",
             F.when(hit, F.col("e_top")).otherwise(F.col("top")).alias("top"),
             F.when(hit, F.col("off") + 1 + F.col("e_off")).otherwise(F.col("off")).alias("off"),
@@ -262,7 +263,8 @@ def _final(local: DataFrame, entries: DataFrame | None, df: DataFrame, node: str
             # the top of a local forest that hangs below a node of another one
             (hit & (F.col("off") == 0)).alias("hangs"), "below",
         )
-        out = cut(out)
+        done = local.where("next is null").select("node", "top", "off", "cyclic", "lost", "path", F.lit(False).alias("hangs"), "below")
+        out = cut(done.unionByName(out))
         # cycles that no task held whole
         if not entries.where("lost and not cyclic").isEmpty():
             open_ = out.where("lost and not cyclic").select("node")
