@@ -1,8 +1,8 @@
 """Functions paired with their documentation: code-description pairs without empty or trivial documentation.
 
-The code is captured from the file's bytes by one recursive pattern per family of languages (comment, signature and
-balanced body together, strings and comments protected); where a damaged file does not balance, the recorded byte
-span cuts it. The documentation is judged line by line and sentence by sentence: ``says_something`` holds when one
+Functions are found in the file's bytes by one recursive pattern per family of languages (comment, signature and
+balanced body together, strings and comments protected); the recorded spans say which of the found functions a symbol
+is, and cut the code only where a damaged file does not balance. The documentation is judged line by line and sentence by sentence: ``says_something`` holds when one
 of them is left after marks, placeholders, pointers, directives, notices, bare tags, code and the function's own
 name are taken away.
 """
@@ -52,6 +52,22 @@ _PLACEHOLDER = regex.compile(
     | (?:todo\s+)?auto[- ]?generated\s+(?:method|function|constructor|class|catch|code)?\s*(?:stub|block)?
     )$"""
 )
+# the same in other languages: nothing there, to come, or to be found elsewhere
+_ELSEWHERE = regex.compile(
+    r"""(?ix)^(?:
+      siehe\s+(?:auch\s+)?(?:oben|unten|dort|hier|vorher|darüber|darunter|README\S*|(?:die\s+)?dokumentation) | wie\s+oben | (?:keine|ohne|fehlende)\s+(?:beschreibung|dokumentation|doku)(?:\s+(?:vorhanden|verfügbar))?
+    | (?:beschreibung|dokumentation|doku)\s+(?:fehlt|folgt)(?:\s+noch)? | (?:noch\s+)?(?:nicht|un)\s*dokumentiert | noch\s+zu\s+(?:dokumentieren|beschreiben|ergänzen)
+    | voir\s+(?:plus\s+(?:haut|bas|loin)|ci-dessus|ci-dessous|README\S*|la\s+documentation) | (?:pas\s+de|aucune|sans)\s+(?:description|documentation|commentaire)s?(?:\s+disponible)? | non\s+documentée? | à\s+(?:faire|compléter|documenter|définir|remplir)
+    | (?:ver|véase|veja)\s+(?:más\s+)?(?:arriba|abajo|acima|abaixo|README\S*|la\s+documentación|a\s+documentação) | sin\s+(?:descripción|documentación|documentar) | por\s+(?:hacer|definir|documentar|completar) | pendiente(?:\s+de\s+documentar)?
+    | sem\s+(?:descrição|documentação) | a\s+(?:fazer|documentar) | não\s+documentado | no\s+documentado
+    | vedi\s+(?:sopra|sotto|README\S*) | (?:nessuna|senza)\s+(?:descrizione|documentazione) | da\s+(?:fare|documentare|completare|definire) | non\s+documentat[oa]
+    | zie\s+(?:boven|onder|hierboven|hieronder) | geen\s+(?:beschrijving|documentatie) | patrz\s+(?:wyżej|niżej|powyżej|poniżej) | brak\s+(?:opisu|dokumentacji) | do\s+uzupełnienia
+    | (?:(?:см|смотри|смотрите)\.?\s+)?(?:выше|ниже|README\S*|документацию) | см | (?:нет|без)\s+(?:описания|документации) | описание\s+отсутствует | не\s+(?:за)?документировано | то\s+же,?\s+что\s+(?:и\s+)?выше
+    | 待补充 | 待完善 | 待定 | 待写 | 待办 | 暂无(?:说明|描述|文档|注释)? | (?:没有|无)(?:说明|描述|文档|注释) | 见[上下]文? | 参见[上下]文 | 同上 | 未完待续
+    | (?:説明|ドキュメント|記述|コメント)(?:なし|無し|はありません|未記載) | 未記入 | 未定 | (?:上記|下記|以下|前述|後述)(?:を|の説明を)?参照(?:してください|のこと)? | 後で書く
+    | (?:설명|문서|주석)\s*없음 | (?:위|아래)\s*참조 | 위와\s*같음 | 추후\s*작성
+    )$"""
+)
 # a marker that makes the rest of its sentence a note to its author
 _TODO = regex.compile(
     r"""(?x)^(?:@?(?:TODO|FIXME|XXX|HACK|TBD|WIP)\b
@@ -206,7 +222,7 @@ def _sentence_says(s: str, known: frozenset[str]) -> bool:
     bare = s.strip(" \t*_`~#=-–—.…:;,!?()[]{}<>|\"'•·+/\\^")
     if not _LETTER.search(bare):
         return False
-    for p in (_PLACEHOLDER, _POINTER, _DIRECTIVE, _NOTICE):
+    for p in (_PLACEHOLDER, _ELSEWHERE, _POINTER, _DIRECTIVE, _NOTICE):
         if p.match(bare) or p.match(s):
             return False
     if _TODO.match(s) or _TODO.match(bare) or _HEAD.match(bare):
@@ -302,61 +318,46 @@ _PARTS = rb"""(?(DEFINE)
   (?<par>\((?:[^()"'`/]++|(?&com)|(?&str)|["'`/]|(?&par))*+\))
   (?<blk>\{(?:[^{}"'`/]++|(?&com)|(?&str)|["'`/]|(?&blk))*+\})
 )"""
-_WHOLE = rb"(?<comment>(?:(?&com)\s*+)*+)(?<signature>(?:[^{}()\"'`;/]++|(?&par)|(?&com)|(?&str)|[/'])*?)\s*(?<body>(?&blk))"
+# heads of blocks that are no functions: they are skipped before their bodies are balanced
+_NO_HEAD = rb"""(?!(?:(?:export|default|declare|pub(?:\([^)\n]*\))?|public|private|protected|internal|static|final|abstract|sealed|unsafe|strictfp)\s++)*+
+  (?:if|for|while|switch|match|else|catch|try|do|loop|return|throw|class|interface|enum|struct|union|impl|trait|mod|module|namespace|type|package|import|use|case|select|go|defer|synchronized|@interface|record)\b)"""
+# a signature is a line up to its parameters (or an arrow), and goes on behind them on lines that continue it
+_WHOLE = (
+    rb"^[ \t]*+(?<comment>(?:(?&com)\s*+)*+)" + _NO_HEAD
+    + rb"""(?<signature>(?=[\w$\#*@\[])(?:@[\w.]++(?&par)?+\s*+|\#\[[^\]\n]*+\]\s*+)*+(?:[^{}()"'`;/\n]++|(?&com)|(?&str)|[/'])*+(?:(?&par)|(?<==>)|(?<==>\s))
+      (?:[^{}()"'`;/\n]++|(?&par)|(?&com)|(?&str)|[/']|\n(?=\s*+(?:where\b|throws\b|->|=>|[:{,&|]))|(?<=[,=:>|&]|[,=:>|&]\r|where|where\r)\n)*+)(?<body>(?&blk))"""
+)
 _CHAR = rb"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 _QUOTED = rb"'(?:[^'\\\n]|\\.)*+'|(?<=[=(,:\[!&|?{};>]\s?)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/"
-_BRACES = regex.compile(_PARTS % _CHAR + _WHOLE, regex.S | regex.X)
-_SCRIPT = regex.compile(_PARTS % _QUOTED + _WHOLE, regex.S | regex.X)
+_BRACES = regex.compile(_PARTS % _CHAR + _WHOLE, regex.S | regex.X | regex.M)
+_SCRIPT = regex.compile(_PARTS % _QUOTED + _WHOLE, regex.S | regex.X | regex.M)
 _INDENT = regex.compile(
     rb"""(?(DEFINE)
   (?<str>[rRbBuUfF]{0,2}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))
   (?<par>[(\[{](?:[^()\[\]{}"'\#]++|(?&str)|\#[^\n]*+|["']|(?&par))*+[)\]}])
-)(?<comment>(?:[ \t]*+\#[^\n]*+\n)*+)(?<ind>[ \t]*+)(?<signature>(?:@[^\n]*+\n\s*+)*+(?:async\s++)?def\s++\w++\s*+(?:\[[^\]]*+\])?(?&par)[^:\n]*+:)
-(?<body>(?:(?&par)|(?&str)|\#[^\n]*+|[^\n()\[\]{}"'\#]++|["'(\[{)\]}]|\n(?=[ \t]*+(?:\r?\n|\#|$)|(?P=ind)[ \t]))*+)""",
-    regex.S | regex.X,
+)^(?<comment>(?:[ \t]*+\#[^\n]*+\n)*+)(?<ind>[ \t]*+)(?<signature>(?:@[^\n]*+\n\s*+)*+(?:async\s++)?def\s++\w++\s*+(?:\[[^\]]*+\])?(?&par)[^:\n]*+:)
+(?<body>(?:(?&par)|(?&str)|\#[^\n]*+|[^\n()\[\]{}"'\#]++|["'(\[{)\]}]|\n(?=[ \t]*+(?:\r?\n|\#|\Z)|(?P=ind)[ \t]))*+)""",
+    regex.S | regex.X | regex.M,
 )
 
 
-def comment_start(data: bytes, start: int, python: bool) -> int:
-    """Where the run of comments begins that ends right before ``start`` (white space aside)."""
-    at = start
-    while True:
-        line_end = len(data[:at].rstrip())
-        if python:
-            line = data.rfind(b"\n", 0, line_end) + 1
-            if line_end > line and data[line:line_end].lstrip().startswith(b"#"):
-                at = line
-                continue
-            return at
-        head = data[:line_end]
-        if head.endswith(b"*/"):
-            begin = head.rfind(b"/*")
-            if begin < 0:
-                return at
-            at = begin
-            continue
-        line = head.rfind(b"\n") + 1
-        if head[line:].lstrip().startswith(b"//"):
-            at = line + len(head[line:]) - len(head[line:].lstrip())
-            continue
-        return at
-
-
-def capture(data: bytes, language: str, start: int, body_start: int, end: int, timeout: float = 2.0) -> dict:
-    """Comment, signature and body of the function at ``start``, by pattern or, in damaged text, by span."""
-    python = language == "python"
-    try:
-        if python:
-            line = data.rfind(b"\n", 0, start) + 1
-            line = line if not data[line:start].strip() else start
-            m = _INDENT.match(data, comment_start(data, line, True), timeout=timeout)
-        else:
-            pattern = _SCRIPT if language in ("javascript", "typescript") else _BRACES
-            m = pattern.match(data, comment_start(data, start, False), timeout=timeout)
-    except TimeoutError:
-        m = None
-    # the capture must be the recorded function: its body where the span says it is
-    if m and (m.start("body") == body_start or (python and m.start("body") <= body_start < m.end("body"))):
+def functions(data: bytes, language: str) -> dict[int, regex.Match]:
+    """The functions that the language's pattern finds in a text, by where their bodies start.
+
+    Every line is tried as the beginning of a comment, signature and balanced body; of several beginnings of one body
+    the first, with the whole run of comments, counts. Functions within functions are found too.
+    """
+    pattern = _INDENT if language == "python" else _SCRIPT if language in ("javascript", "typescript", "jsx", "tsx") else _BRACES
+    found: dict[int, regex.Match] = {}
+    for m in pattern.finditer(data, overlapped=True):
+        found.setdefault(m.start("body"), m)
+    return found
+
+
+def captured(found: dict[int, regex.Match], data: bytes, start: int, body_start: int, end: int) -> dict:
+    """Comment, signature and body of one of the found functions, or, where none has its body there, by its span."""
+    m = found.get(body_start)
+    if m:
         return {k: m[k].decode("utf-8", "replace").strip() for k in ("comment", "signature", "body")} | {"by": "pattern"}
     return {
         "comment": "", "signature": data[start:body_start].decode("utf-8", "replace").strip(),
@@ -368,7 +369,7 @@ PAIRS = (
     "symbol_id string, file_id string, language string, name string, kind string, description string, "
     "comment string, signature string, body string, cut_by string"
 )
-REGION = 16_384
+REGION, BEFORE = 16_384, 4_096
 
 
 def pairs(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -378,24 +379,29 @@ def pairs(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
     something (``says_something``). Repeated rows count once; symbols with null id are left out; a symbol whose
     file has no snapshot, or whose span lies outside it, has null code. Of several snapshots of one file the
     greatest content counts. Other columns are ignored. The symbols of one file meet its text in regions of
-    ``REGION`` bytes, so a hot file is spread over many rows and no group grows without bound.
+    ``REGION`` bytes, each cut to its symbols' spans and what stands before them, so a hot file is spread over many
+    rows, no group grows without bound, and a file goes through Arrow about once, however long it is.
     """
     wanted = symbols.where(
         F.col("kind").isin("function", "method")
         & F.col("body_start_byte").isNotNull() & F.col("doc_comment").isNotNull() & F.col("symbol_id").isNotNull()
     )
     span = F.coalesce("start_byte", "body_start_byte")
+    end = F.coalesce("body_end_byte", "end_byte", "body_start_byte")
     # rows that can meet no text stay alone: nulls never gather in one group
     alone = F.when(F.col("file_id").isNull() | span.isNull(), F.xxhash64("symbol_id"))
+    # a comment with its marks and indents is before its function; one that is longer comes as recorded
+    before = F.greatest(span - 2 * F.octet_length("doc_comment") - BEFORE, F.lit(0))
     groups = wanted.select(
-        "file_id", F.floor(span / REGION).alias("region"), alone.alias("alone"),
+        "file_id", F.floor(span / REGION).alias("region"), alone.alias("alone"), before.alias("lo"), end.alias("hi"),
         F.struct(
-            "symbol_id", "language", "name", "kind", "doc_comment", span.alias("start"),
-            F.col("body_start_byte").alias("body"), F.coalesce("body_end_byte", "end_byte", "body_start_byte").alias("end"),
+            "symbol_id", "language", "name", "kind", "doc_comment", span.alias("start"), F.col("body_start_byte").alias("body"), end.alias("end"),
         ).alias("s"),
-    ).groupBy("file_id", "region", "alone").agg(F.collect_set("s").alias("symbols"))
+    ).groupBy("file_id", "region", "alone").agg(F.collect_set("s").alias("symbols"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     text = snapshots.where("file_id is not null").groupBy(F.col("file_id").alias("fid")).agg(F.max("content").alias("content"))
-    joined = groups.join(text, groups["file_id"] == text["fid"], "left").select("file_id", "symbols", "content")
+    whole = F.col("content").cast("binary")
+    part = F.when(F.col("hi") >= F.col("lo"), F.substring(whole, (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int")))
+    joined = groups.join(text, groups["file_id"] == text["fid"], "left").select("file_id", "symbols", "lo", part.alias("part"), F.octet_length("content").alias("size"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -404,16 +410,19 @@ def pairs(symbols: DataFrame, snapshots: DataFrame) -> DataFrame:
         schema = pa.schema([(n, pa.string()) for n in names])
         for b in batches:
             rows: list[dict] = []
-            for file_id, found, content in zip(*(b.column(i).to_pylist() for i in range(3))):
-                data = None if content is None else content.encode("utf-8")
-                for s in found:
+            for file_id, symbols_, lo, data, size in zip(*(b.column(i).to_pylist() for i in range(5))):
+                found: dict[str, dict] = {}
+                for s in symbols_:
                     told = description(s["doc_comment"], s["name"])
                     if not told:
                         continue
                     row = {"symbol_id": s["symbol_id"], "file_id": file_id, "language": s["language"], "name": s["name"],
                            "kind": s["kind"], "description": told}
-                    if data is not None and 0 <= s["start"] <= s["body"] <= len(data):
-                        c = capture(data, s["language"] or "", s["start"], s["body"], s["end"])
+                    if data is not None and 0 <= s["start"] <= s["body"] <= size:
+                        lang = s["language"] or ""
+                        if lang not in found:
+                            found[lang] = functions(data, lang)
+                        c = captured(found[lang], data, s["start"] - lo, s["body"] - lo, s["end"] - lo)
                         row |= {"comment": c["comment"] or s["doc_comment"], "signature": c["signature"], "body": c["body"], "cut_by": c["by"]}
                     else:
                         row |= {"comment": s["doc_comment"]}
