@@ -1,6 +1,6 @@
 """Visually identical text with different characters, brought to one form by DuckDB inside Arrow partitions.
 
-The form of a text is one SQL expression (``form_sql``): invisible characters go, every space becomes the ordinary
+The form of a text is one SQL statement (``form_select``): invisible characters go, every space becomes the ordinary
 one and every line break a line feed, width and font variants, ligatures and look-alike letters become the letters
 they look like, and what remains is composed (NFC). Variants come from Unicode's compatibility decompositions by rule
 (``variants``: wide, narrow and font ones, letters made of letters); super- and subscripts, circled, squared and
@@ -110,20 +110,39 @@ def plain_sql(col: str) -> str:
     return f"nfc_normalize(regexp_replace({lines}, '[{SPACES}]', ' ', 'g'))"
 
 
-def letters_sql(plain: str) -> str:
-    """A plain text with variants and look-alikes replaced, composed again."""
-    a, b = (x.replace("'", "''") for x in tables())
-    # what becomes several characters is rare, and replaced only in texts that hold some of it
-    several = {x: y for x, y in mapping().items() if len(y) > 1}
-    chain = plain
-    for x, y in several.items():
-        chain = f"replace({chain}, '{x}', '{y}')"
-    return f"nfc_normalize(translate(CASE WHEN regexp_matches({plain}, '[{''.join(several)}]') THEN {chain} ELSE {plain} END, '{a}', '{b}'))"
+def _class(chars: str) -> str:
+    """A regular expression's class of characters, in ranges."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
 
+def form_select(source: str, keep: tuple[str, ...], col: str) -> str:
+    """The SELECT that gives ``keep`` and ``f``, the form of ``col``, for every row of a source. Null stays null.
 
-def form_sql(col: str) -> str:
-    """The SQL expression of a text's one form. Null stays null, empty stays empty."""
-    return letters_sql(plain_sql(col))
+    A text of ASCII without control characters is its own form. Of the map each block is applied only to texts that
+    hold some of it, as most of it is rare.
+    """
+    rest = "".join(f"{k}, " for k in keep)
+    settled = f"strlen({col}) = length({col}) AND NOT regexp_matches({col}, '[\\x{{0000}}-\\x{{0008}}\\x{{000B}}-\\x{{001F}}\\x{{007F}}]')"
+    out = f"SELECT {rest}s, CASE WHEN s THEN {col} ELSE {plain_sql(col)} END AS f FROM (SELECT *, {settled} AS s FROM {source})"
+    quoted = lambda t: t.replace("'", "''")
+    a, b = tables()
+    rare = lambda c: ord(c) > 0xFFFF or 0xFB00 <= ord(c) < 0xFF00 or 0x2100 <= ord(c) < 0x2190 or 0x1F00 <= ord(c) < 0x2000
+    for block in (lambda c: not rare(c) and ord(c) < 0xFF00, lambda c: not rare(c) and ord(c) >= 0xFF00, rare):
+        x = "".join(c for c in a if block(c))
+        y = "".join(d for c, d in zip(a, b) if block(c))
+        out = f"SELECT {rest}s, CASE WHEN NOT s AND regexp_matches(f, '{_class(x)}') THEN translate(f, '{quoted(x)}', '{quoted(y)}') ELSE f END AS f FROM ({out})"
+    several = {x: y for x, y in mapping().items() if len(y) > 1}
+    chain = "f"
+    for x, y in several.items():
+        chain = f"replace({chain}, '{quoted(x)}', '{quoted(y)}')"
+    out = f"SELECT {rest}s, CASE WHEN NOT s AND regexp_matches(f, '{_class(''.join(several))}') THEN {chain} ELSE f END AS f FROM ({out})"
+    return f"SELECT {rest}CASE WHEN s THEN f ELSE nfc_normalize(f) END AS f FROM ({out})"
 
 
 def forms(df: DataFrame, key: str, text: str, column: str = "form") -> DataFrame:
@@ -133,7 +152,7 @@ def forms(df: DataFrame, key: str, text: str, column: str = "form") -> DataFrame
     columns cannot clash.
     """
     schema = T.StructType([df.schema[key], T.StructField(column, T.StringType())])
-    plain, letters = plain_sql("t"), letters_sql("p")
+    formed = form_select("part", ("n",), "t")
 
     def run(batches: Iterator) -> Iterator:
         import duckdb
@@ -145,7 +164,7 @@ def forms(df: DataFrame, key: str, text: str, column: str = "form") -> DataFrame
         con = duckdb.connect(config={"threads": 1, "preserve_insertion_order": True})
         for b in batches:
             part = pa.table({"t": b.column(1), "n": pa.array(range(b.num_rows), pa.int32())})  # noqa: F841
-            got = con.sql(f"SELECT {letters} AS f FROM (SELECT n, {plain} AS p FROM part) ORDER BY n").fetch_arrow_table().column("f").combine_chunks()
+            got = con.sql(f"SELECT f FROM ({formed}) ORDER BY n").fetch_arrow_table().column("f").combine_chunks()
             yield pa.RecordBatch.from_arrays([b.column(0), got.cast(pa.string())], schema=out)
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__t")).mapInArrow(run, schema)
@@ -154,7 +173,7 @@ def forms(df: DataFrame, key: str, text: str, column: str = "form") -> DataFrame
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Each visible text's class: ``doc_id, text_hash, class_id`` (128 bits of the SHA-256 of the text and of its form)."""
     schema = T.StructType([df.schema[key], T.StructField("text_hash", T.BinaryType()), T.StructField("class_id", T.BinaryType())])
-    plain, letters = plain_sql("t"), letters_sql("p")
+    formed = form_select("part", ("k", "t"), "t")
 
     def run(batches: Iterator) -> Iterator:
         import duckdb
@@ -167,8 +186,7 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             part = pa.table({"k": b.column(0), "t": b.column(1)})  # noqa: F841
             got = con.sql(
-                f"SELECT k, unhex(substr(sha256(t), 1, 32)) AS h, unhex(substr(sha256(f), 1, 32)) AS c "
-                f"FROM (SELECT k, t, {letters} AS f FROM (SELECT k, t, {plain} AS p FROM part)) "
+                f"SELECT k, unhex(substr(sha256(t), 1, 32)) AS h, unhex(substr(sha256(f), 1, 32)) AS c FROM ({formed}) "
                 "WHERE regexp_matches(f, '\\S')"
             ).fetch_arrow_table()
             for rb in got.to_batches():

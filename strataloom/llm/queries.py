@@ -91,16 +91,14 @@ QUERIES = {
     "p8_classes": p8_classes,
 }
 
-_FORM = lookalikes.form_sql("text")
+_FORM = f"WITH f AS ({lookalikes.form_select('documents', ('doc_id', 'text'), 'text')}) "
 ORACLE = {
     "p6_round_trip": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS broken FROM documents",
-    "p8_forms": f"SELECT doc_id, {_FORM} AS form FROM documents",
-    "p8_found": f"""
-WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
-WHERE regexp_matches(a.form, '\\S')""",
-    "p8_classes": f"""
-WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, min(doc_id) OVER w AS class_doc, (SELECT count(DISTINCT g.text) FROM f g WHERE g.form = f.form) AS spellings
-FROM f WHERE regexp_matches(form, '\\S') WINDOW w AS (PARTITION BY form)""",
+    "p8_forms": _FORM + "SELECT doc_id, f AS form FROM f",
+    "p8_found": _FORM + """
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text
+WHERE regexp_matches(a.f, '\\S')""",
+    "p8_classes": _FORM + """
+SELECT doc_id, min(doc_id) OVER w AS class_doc, (SELECT count(DISTINCT g.text) FROM f g WHERE g.f = f.f) AS spellings
+FROM f WHERE regexp_matches(f, '\\S') WINDOW w AS (PARTITION BY f)""",
 }

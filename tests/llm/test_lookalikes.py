@@ -13,7 +13,7 @@ OTHER = [("a", "A"), ("l", "1"), ("e", "é"), ("2", "²"), ("a b", "a  b"), ("a"
 
 
 def form(con, t):
-    return con.execute(f"SELECT {lookalikes.form_sql('x')} FROM (SELECT ? AS x)", [t]).fetchone()[0]
+    return con.execute(lookalikes.form_select("(SELECT CAST(? AS VARCHAR) AS x)", (), "x"), [t]).fetchone()[0]
 
 
 @pytest.fixture(scope="module")
