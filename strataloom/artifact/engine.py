@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -13,14 +14,15 @@ from pyspark.sql import functions as F
 
 from strataloom import __version__
 from strataloom.artifact.schema import CONTRACT, FAMILIES, TABLES, VERSION
-from strataloom.artifact.store import ArtifactError, Store, empty_families, enforce
+from strataloom.artifact.store import OWNER, WRITTEN, ArtifactError, Store, enforce
 from strataloom.extract.engine import extract, extract_file, family
 from strataloom.extract.patterns import PATTERNS
 from strataloom.functions.ids import fingerprint, stable_id
+from strataloom.operators.ledger import WorkLedger
 from strataloom.operators.reports import LEVELS, attribution, preserve_failed, revision_diff, table_totals, top_files
 from strataloom.session import cut
 from strataloom.sources.languages import LANGUAGES
-from strataloom.sources.snapshot import SIZE_LIMIT, scan_tree, snapshots
+from strataloom.sources.snapshot import SIZE_LIMIT, list_tree, read_listed, read_paths, snapshots, split_known
 
 SOURCE = ("file_id", "path", "content")
 _DOMAINS = tuple(f for f in FAMILIES if f != "reference_sites")
@@ -49,8 +51,10 @@ class Engine:
     def scan(self, source: DataFrame | None = None, level: str = "full", force: bool = False) -> dict:
         """Brings the artifact to the source's state (the root's tree, or a DataFrame of path and bytes).
 
-        Only files whose content hash changed are extracted; vanished files are deleted; unchanged ones are carried
-        over; files that cannot be read keep their old rows. Nothing is written when nothing changed.
+        A file whose size and modification time are the recorded ones is not read again. Only files whose content hash
+        changed are extracted; vanished files are deleted; unchanged ones stay as they are; files that cannot be read
+        keep their old rows; files above ``SIZE_LIMIT`` get a warning instead of rows. Only what changed is written,
+        and nothing when nothing changed.
         """
         if level not in LEVELS:
             raise ArtifactError("usage", f"no level {level}")
@@ -59,91 +63,94 @@ class Engine:
             meta = self.store.check(self.root, None if force else producer())["metadata"]
             if meta["index_level"] != level and not force:
                 raise ArtifactError("level_conflict", f"built at level {meta['index_level']}")
-        raw = source if source is not None else scan_tree(self.spark, self.root)
-        new = cut(snapshots(raw))
-        return self._apply(new, level, version, "scan", whole=True, force=force)
+        if source is not None:
+            return self._apply(cut(snapshots(source)), level, version, "scan", whole=True, force=force)
+        listed = cut(list_tree(self.spark, self.root))
+        old = self.store.read("files", version) if version and not force else None
+        fresh, same = split_known(listed, old)
+        raw = read_listed(self.spark, self.root, fresh)
+        return self._apply(cut(snapshots(raw)), level, version, "scan", whole=True, force=force, same=same)
 
     def update(self, path: str, content: bytes | None = None) -> dict:
         """One file brought up to date; status changed, no_change, unsupported or failed."""
         version = self.store.version()
         level = self.store.check(self.root, producer())["metadata"]["index_level"]
-        if content is None:
-            with open(f"{self.root}/{path}", "rb") as f:
-                content = f.read()
-        raw = self.spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
+        if content is not None:
+            raw = self.spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
+        else:
+            raw = read_paths(self.spark, self.root, [path])
         return self._apply(cut(snapshots(raw)), level, version, "update", whole=False)
 
     def delete(self, path: str) -> dict:
         """One file removed with all its rows; an unknown path gives not_found and writes nothing."""
         version = self.store.version()
         meta = self.store.check(self.root, producer())["metadata"]
-        files = self.store.read("files")
-        gone = files.where(F.col("path") == path).select("file_id")
+        gone = cut(self.store.read("files", version).where(F.col("path") == path).select("file_id", "path"))
         if gone.isEmpty():
             return {"status": "not_found", "revision_id": None}
-        touched = cut(gone)
-        tables = self._without(touched)
-        changes = touched.select("file_id", F.lit("deleted").alias("change_kind"), F.lit(path).alias("path"))
-        return self._commit(tables, files.join(touched, "file_id", "left_anti"), changes, version, "delete", meta)
-
-    def _apply(self, new: DataFrame, level: str, version: int, operation: str, whole: bool, force: bool = False) -> dict:
-        old = self.store.read("files") if version else self.spark.createDataFrame([], TABLES["files"])
+        changes = gone.select("file_id", F.lit("deleted").alias("change_kind"), "path")
+        return self._commit({}, changes, self._dead(gone, gone, self._revision(version) + 1), version, "delete", meta)
+
+    def _apply(
+        self, new: DataFrame, level: str, version: int, operation: str, whole: bool, force: bool = False, same: DataFrame | None = None
+    ) -> dict:
+        """Brings the files of ``new`` (snapshots) up to date; with ``whole`` all others but ``same`` are deleted."""
+        old = self.store.read("files", version) if version else self.spark.createDataFrame([], TABLES["files"])
         base = old if whole else old.join(new.select("file_id"), "file_id", "left_semi")
-        if force:
-            base_hash = base.withColumn("content_hash", F.lit(""))
-        else:
-            base_hash = base
-        failed = new.where("status = 'failed_preserved'")
-        diff = cut(revision_diff(base_hash, new, F.col("status") != "unsupported"))
-        changed = diff.join(base.select("file_id", F.col("content_hash").alias("h"), "status"), "file_id", "left").join(
-            new.select("file_id", F.col("content_hash").alias("n")), "file_id", "left"
+        if same is not None:
+            base = base.join(same.select("file_id"), "file_id", "left_anti")
+        base_hash = base.withColumn("content_hash", F.lit("")) if force else base
+        diff = revision_diff(base_hash, new, F.col("status") != "unsupported")
+        changed = diff.join(base.select("file_id", F.col("content_hash").alias("h"), "status", F.col("path").alias("old_path")), "file_id", "left").join(
+            new.select("file_id", F.col("content_hash").alias("n"), F.col("path").alias("new_path")), "file_id", "left"
         )
         # an unsupported file is a change only when it is new or its bytes differ
-        same = (F.col("change_kind") == "unsupported") & F.col("status").eqNullSafe(F.lit("unsupported")) & F.col("h").eqNullSafe(F.col("n"))
-        diff = cut(changed.where(~same).select("file_id", "change_kind"))
+        still = (F.col("change_kind") == "unsupported") & F.col("status").eqNullSafe(F.lit("unsupported")) & F.col("h").eqNullSafe(F.col("n"))
+        diff = cut(changed.where(~still).select("file_id", "change_kind", F.coalesce("new_path", "old_path").alias("path"), F.col("h").isNotNull().alias("known")))
         n = {r["change_kind"]: r["count"] for r in diff.groupBy("change_kind").count().collect()}
         if not n and version:
             return {"status": "no_change", "revision_id": None, "changes": {}}
-        touched = diff.select("file_id")
-        todo = new.where("status = 'indexed' and not too_large").join(touched, "file_id", "left_semi")
-        got = cut(extract(todo, level))
-        fresh = {f: family(got, f) for f in FAMILIES}
-        fresh = enforce(fresh)
-        keep_ids = failed.select("file_id").join(old.select("file_id"), "file_id", "left_semi")
-        replaced = cut(touched.join(keep_ids, "file_id", "left_anti"))
-        tables = {}
-        left = self._without(replaced) if version else empty_families(self.spark)
-        for f in FAMILIES:
-            tables[f] = left[f].unionByName(fresh[f].select(*TABLES[f].names))
         revision = self._revision(version) + 1
-        row = new.select("file_id", "path", "language", "content_hash", "content_bytes", "line_count", F.lit(_now()).alias("indexed_at"), F.lit(revision).cast("long").alias("last_revision_id"), "status", F.lit(None).cast("string").alias("metadata_json"))
-        kept = preserve_failed(old, row, keep_ids) if version else row
-        fresh_files = kept.join(touched, "file_id", "left_semi")
-        files = old.join(touched, "file_id", "left_anti").unionByName(fresh_files.select(*old.columns))
-        marked = files.join(keep_ids.withColumn("__f", F.lit(True)), "file_id", "left").withColumn("status", F.when(F.col("__f"), "failed_preserved").otherwise(F.col("status"))).drop("__f")
-        paths = old.select("file_id", "path").unionByName(new.select("file_id", "path")).groupBy("file_id").agg(F.max("path").alias("path"))
-        changes = diff.join(paths, "file_id")
+        touched = diff.select("file_id")
+        current = new.join(touched, "file_id", "left_semi")
+        # files that cannot be read keep their old rows, if they have any
+        kept = cut(current.where("status = 'failed_preserved'").select("file_id").join(old.select("file_id"), "file_id", "left_semi"))
+        got = cut(extract(current.where("status = 'indexed' and not too_large"), level))
+        fresh = enforce({f: family(got, f, OWNER) for f in FAMILIES})
+        fresh["parse_diagnostics"] = fresh["parse_diagnostics"].unionByName(self._skipped(current), allowMissingColumns=True)
+        row = current.select(
+            "file_id", "path", "language", "content_hash", "content_bytes", "line_count", F.lit(_now()).alias("indexed_at"), F.lit(revision).cast("long").alias("last_revision_id"), "status",
+            F.when(F.col("modified").isNotNull(), F.to_json(F.struct("modified"))).alias("metadata_json"),
+        )
+        marked = old.join(kept, "file_id", "left_semi").withColumn("status", F.lit("failed_preserved"))
+        files = preserve_failed(marked, row, kept)
+        tables = fresh | {"files": files.withColumn(OWNER, F.col("file_id"))}
+        tables = {f: t.withColumn(WRITTEN, F.lit(revision).cast("long")) for f, t in tables.items()}
         meta = self.store.manifest(version)["metadata"] if version else self._metadata(level)
         if force:
             meta = meta | {"index_level": level, "producer": producer()}
-        out = self._commit(tables, marked.select(*old.columns), changes, version, operation, meta)
+        known = diff.where("known").select("file_id")
+        dead = self._dead(known, known.join(kept, "file_id", "left_anti"), revision) if version else None
+        out = self._commit(tables, diff.select("file_id", "change_kind", "path"), dead, version, operation, meta, got)
         if operation == "update":
             kind = next(iter(n), None)
-            failed_one = not failed.isEmpty()
-            out["status"] = "failed" if failed_one else {"unsupported": "unsupported"}.get(kind, "changed")
+            out["status"] = "failed" if not kept.isEmpty() or not current.where("status = 'failed_preserved'").isEmpty() else "unsupported" if kind == "unsupported" else "changed"
         return out | {"changes": n}
 
-    def _without(self, touched: DataFrame) -> dict[str, DataFrame]:
-        """All families without the rows of the touched files; rows that hang on a symbol or usage go with it."""
-        current = {f: self.store.read(f) for f in FAMILIES}
-        symbols = current["symbols"].join(touched, "file_id", "left_semi").select("symbol_id")
-        usages = current["type_argument_usages"].join(touched, "file_id", "left_semi").select("usage_id")
-        out = {}
-        for f, t in current.items():
-            cols = TABLES[f].names
-            key, gone = ("file_id", touched) if "file_id" in cols else ("usage_id", usages) if f == "type_arguments" else ("symbol_id", symbols)
-            out[f] = t.join(gone, key, "left_anti").select(*cols)
-        return out
+    @staticmethod
+    def _dead(files: DataFrame, rows: DataFrame, revision: int) -> DataFrame:
+        """Whose entries in ``files``, and whose rows in the families, end before a revision."""
+        one = lambda t, what: t.select("file_id", F.lit(revision).cast("long").alias("before"), F.lit(what).alias("what"))
+        return one(files, "file").unionByName(one(rows, "rows"))
+
+    @staticmethod
+    def _skipped(current: DataFrame) -> DataFrame:
+        """A warning for each file that is too large to be extracted."""
+        zero = [F.lit(0).cast("long").alias(c) for c in ("start_line", "start_column", "end_line", "end_column", "start_byte", "end_byte")]
+        return current.where("status = 'indexed' and too_large").select(
+            F.col("file_id").alias(OWNER), stable_id("diagnostic", F.col("path"), F.lit("slow_file_skipped")).alias("diagnostic_id"), "file_id", "path", "language",
+            F.lit("slow_file_skipped").alias("kind"), F.lit(f"source file exceeds the {SIZE_LIMIT}-byte extraction limit and was skipped").alias("message"), *zero,
+        )
 
     def _revision(self, version: int) -> int:
         return int(self.store.manifest(version)["metadata"].get("revision", 0)) if version else 0
@@ -154,26 +161,41 @@ class Engine:
             "binary_version": __version__, "created_at": _now(), "hash_algorithm": "sha256", "revision": 0, "size_limit": SIZE_LIMIT,
         }
 
-    def _commit(self, tables: dict, files: DataFrame, changes: DataFrame, version: int, operation: str, meta: dict) -> dict:
-        began = time.time()
+    def _commit(self, tables: dict, changes: DataFrame, dead: DataFrame | None, version: int, operation: str, meta: dict, got: DataFrame | None = None) -> dict:
+        """One revision: the new rows, the journal, and the counts of what was extracted by family."""
+        began, started = time.time(), _now()
         revision = int(meta.get("revision", 0)) + 1
+        counts: dict = {}
+        if got is not None:
+            counts = {f: n or 0 for f, n in got.agg(*[F.sum(F.size(f)).alias(f) for f in FAMILIES]).first().asDict().items()}
         journal = changes.select(F.lit(revision).cast("long").alias("revision_id"), "file_id", "path", "change_kind")
-        old_journal = self.store.read("revision_file_changes") if version else None
-        log = self.spark.createDataFrame([(revision, revision - 1 or None, operation, meta["index_level"], _now(), _now(), __version__, CONTRACT, VERSION, self.root, "{}")], TABLES["extraction_revisions"])
-        if version:
-            log = self.store.read("extraction_revisions").unionByName(log)
-            journal = old_journal.unionByName(journal)
+        log = [(revision, revision - 1 or None, operation, meta["index_level"], started, _now(), __version__, CONTRACT, VERSION, self.root, json.dumps(counts, sort_keys=True))]
         meta = meta | {"revision": revision}
-        rows = self.spark.createDataFrame([(k, str(v)) for k, v in sorted(meta.items())], TABLES["artifact_metadata"])
-        done = self.store.commit(tables | {"files": files, "revision_file_changes": journal, "extraction_revisions": log, "artifact_metadata": rows}, meta, version)
-        return {"status": "changed", "revision_id": revision, "version": done, "seconds": round(time.time() - began, 3)}
+        done = self.store.commit(
+            meta, version, add=tables | {"revision_file_changes": journal, "extraction_revisions": self.spark.createDataFrame(log, TABLES["extraction_revisions"])},
+            replace={"artifact_metadata": self._metadata_rows(meta)}, dead=dead,
+        )
+        return {"status": "changed", "revision_id": revision, "version": done, "counts": counts, "seconds": round(time.time() - began, 3)}
+
+    def _metadata_rows(self, meta: dict) -> DataFrame:
+        return self.spark.createDataFrame([(k, str(v)) for k, v in sorted(meta.items())], TABLES["artifact_metadata"])
+
+    def consume(self, ledger: WorkLedger, worker: str, work: Callable[[DataFrame], DataFrame]) -> list[str]:
+        """Gives every revision of the journal that no worker has processed to ``work``, each exactly once.
+
+        Revisions are the ledger's items; ``work`` gets a revision's changes. Returns the items done here.
+        """
+        version = self.store.version()
+        ledger.add(f"r{i:09d}" for i in range(1, self._revision(version) + 1))
+        journal = self.store.read("revision_file_changes", version)
+        return ledger.process(worker, lambda item: work(journal.where(F.col("revision_id") == int(item[1:]))))
 
     # -- reading
 
     def info(self, top: int | None = 20) -> dict[str, DataFrame]:
         """Metadata, table totals and rows by file (the largest ``top``, or all)."""
-        self.store.manifest()
-        tables = {t: self.store.read(t) for t in TABLES}
+        version = self.store.manifest()["version"]
+        tables = {t: self.store.read(t, version) for t in TABLES}
         domains = {f: tables[f] for f in _DOMAINS if "file_id" in TABLES[f].names}
         owners = tables["symbols"].select("symbol_id", "file_id")
         for f in ("symbol_annotations", "type_facts"):
@@ -195,8 +217,7 @@ class Engine:
         if (meta["root_path"], meta["artifact_id"]) != (expected_root, expected_id):
             raise ArtifactError("identity_changed", "the artifact was replaced meanwhile")
         meta = meta | {"root_path": root.rstrip("/"), "artifact_id": uuid.uuid4().hex, "rebound_from": expected_root, "rebound_at": _now()}
-        rows = self.spark.createDataFrame([(k, str(v)) for k, v in sorted(meta.items())], TABLES["artifact_metadata"])
-        self.store.commit({"artifact_metadata": rows}, meta, version)
+        self.store.commit(meta, version, replace={"artifact_metadata": self._metadata_rows(meta)})
         self.root = meta["root_path"]
         return meta
 

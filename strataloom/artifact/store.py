@@ -1,17 +1,22 @@
-"""The artifact: versioned Parquet tables under one folder, committed by one pointer.
-
-``v=<n>/<table>`` holds version n's tables; ``manifest/<n>.json`` (created atomically, never overwritten) commits it. A
-writer builds version n + 1 beside the others and commits it only if nobody has committed n + 1 before, so two
-writers cannot both win and a reader always sees whole versions.
+"""The artifact: Parquet tables under one folder, written once and committed by one pointer.
+
+A commit writes only its own rows, as parts ``c=<n>-<id>/<table>``, and a manifest ``manifest/<n>.json`` (created
+atomically, never overwritten) that names the parts of every table. Rows of the families and of ``files`` know the
+file and revision that wrote them; a file's older rows die by an entry ``(file_id, before, what)`` in the commit's
+``dead`` part, so changing one file writes that file's rows alone. Reading leaves the dead out by an anti join that is
+only there when something died; ``compact`` folds everything into one part a table. A reader sees whole versions, and
+of two writers only one can create the next manifest.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataloom.artifact.schema import CONTRACT, FAMILIES, FOREIGN_KEYS, TABLES, VERSION
 from strataloom.operators.integrity import dangling_count, drop_dangling, null_dangling
@@ -25,6 +30,14 @@ class ArtifactError(RuntimeError):
         self.code = code
 
 
+#: Hidden columns of the tables whose rows belong to a file: the file and the revision that wrote the row.
+OWNER, WRITTEN = "__file", "__rev"
+OWNED = (*FAMILIES, "files")
+DEAD = "file_id string, before long, what string"
+#: Dead entries that are sent to every reading task; beyond them they meet the rows by a shuffled join.
+SENT = 200_000
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -63,28 +76,62 @@ class Store:
         return m
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = version or self.version()
-        m = self.manifest(v)
-        at = m["tables"].get(table)
-        if at is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.base}/{at}")
-
-    def commit(self, tables: dict[str, DataFrame], metadata: dict, expected: int, counts: dict | None = None) -> int:
-        """Writes the given tables as a new version (the others are taken over) and commits it.
-
-        ``expected`` is the version the caller has read; if another one has been committed since, the commit is refused.
+        """A table's living rows at a version."""
+        return self._rows(table, self.manifest(version)).select(*TABLES[table].names)
+
+    def _rows(self, table: str, m: dict) -> DataFrame:
+        schema = T.StructType(list(TABLES[table]))
+        if table in OWNED:
+            schema = schema.add(OWNER, T.StringType()).add(WRITTEN, T.LongType())
+        parts = m["parts"].get(table, [])
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.base}/{p}" for p in parts])
+        if table in OWNED and m["dead"]:
+            what = "file" if table == "files" else "rows"
+            gone = self.spark.read.schema(DEAD).parquet(*[f"{self.base}/{p}" for p in m["dead"]]).where(F.col("what") == what)
+            gone = gone.groupBy("file_id").agg(F.max("before").alias("before"))
+            gone = F.broadcast(gone) if m["n_dead"] <= SENT else gone.hint("merge")
+            rows = rows.join(gone, (rows[OWNER] == gone["file_id"]) & (rows[WRITTEN] < gone["before"]), "left_anti")
+        return rows
+
+    def commit(
+        self, metadata: dict, expected: int, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None,
+        dead: DataFrame | None = None, fold: bool = False,
+    ) -> int:
+        """Writes rows as parts of a new version and commits it; what is not named is taken over as it is.
+
+        ``add`` appends a part to each table, ``replace`` makes it the table's only part; ``dead`` has the columns of
+        ``DEAD``. ``fold``: all earlier parts and dead entries are dropped. ``expected`` is the version the caller has
+        read; if another one has been committed since, the commit is refused. Tables are written at the same time.
         """
         if self.version() != expected:
             raise ArtifactError("conflict", f"version {self.version()} was committed meanwhile")
         new = expected + 1
-        own = f"v={new}-{uuid.uuid4().hex[:8]}"  # a lost race leaves only an unreferenced folder
-        places = dict(self.manifest(expected)["tables"]) if expected else {}
-        for name, df in tables.items():
-            cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]]
+        own = f"c={new}-{uuid.uuid4().hex[:8]}"  # a lost race leaves only an unreferenced folder
+        old = self.manifest(expected) if expected and not fold else {"parts": {}, "dead": [], "n_dead": 0}
+        parts = {t: list(p) for t, p in old["parts"].items()}
+
+        def write(item: tuple[str, DataFrame]) -> None:
+            name, df = item
+            fields = list(TABLES[name]) + ([T.StructField(OWNER, T.StringType()), T.StructField(WRITTEN, T.LongType())] if name in OWNED else [])
+            cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
             df.select(*cols).write.mode("overwrite").parquet(f"{self.base}/{own}/{name}")
-            places[name] = f"{own}/{name}"
-        body = json.dumps({"version": new, "tables": places, "metadata": metadata, "counts": counts or {}}, sort_keys=True)
+
+        todo = list((add or {}).items()) + list((replace or {}).items())
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(write, todo))
+        for name in add or {}:
+            parts.setdefault(name, []).append(f"{own}/{name}")
+        for name in replace or {}:
+            parts[name] = [f"{own}/{name}"]
+        gone, n = list(old["dead"]), old["n_dead"]
+        if dead is not None:
+            dead.select("file_id", F.col("before").cast("long"), "what").write.mode("overwrite").parquet(f"{self.base}/{own}/dead")
+            more = self.spark.read.schema(DEAD).parquet(f"{self.base}/{own}/dead").count()
+            if more:
+                gone, n = [*gone, f"{own}/dead"], n + more
+        body = json.dumps({"version": new, "parts": parts, "dead": gone, "n_dead": n, "metadata": metadata}, sort_keys=True)
         try:
             out = self._fs.create(self._path(f"{self.base}/manifest/{new}.json"), False)
         except Exception as e:
@@ -93,6 +140,12 @@ class Store:
         out.close()
         return new
 
+    def compact(self) -> int:
+        """One part a table, without the dead."""
+        version = self.version()
+        m = self.manifest(version)
+        return self.commit(m["metadata"], version, replace={t: self._rows(t, m) for t in m["parts"]}, fold=True)
+
     def views(self, prefix: str = "") -> None:
         """All tables as temporary views: any Spark SQL on the artifact."""
         for t in TABLES:
@@ -116,7 +169,3 @@ def foreign_key_check(store: Store) -> DataFrame:
         one = dangling_count(store.read(child), column, store.read(parent).select(F.col(key).alias("__k")), "__k", f"{child}.{column}")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def empty_families(spark: SparkSession) -> dict[str, DataFrame]:
-    return {f: spark.createDataFrame([], TABLES[f]) for f in FAMILIES}

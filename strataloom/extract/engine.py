@@ -505,7 +505,7 @@ def extract(snapshots: DataFrame, level: str = "full", text: str = "text") -> Da
     """One row a file: ``file_id`` and an array for each row family.
 
     ``snapshots`` has file_id, path, language and the text column; rows without file_id, text or known language give empty
-    arrays. A file whose extraction fails gives one diagnostic instead of failing the job.
+    arrays. A file whose extraction fails gives one diagnostic (kind ``failed``) instead of failing the job.
     """
     known = spread(snapshots.where("file_id is not null").select("file_id", "path", "language", F.col(text).alias("text")))
 
@@ -530,6 +530,7 @@ def extract(snapshots: DataFrame, level: str = "full", text: str = "text") -> Da
     return known.mapInArrow(run, RESULT)
 
 
-def family(extracted: DataFrame, name: str) -> DataFrame:
-    """The table of one row family."""
-    return extracted.select(F.explode(name).alias("r")).select("r.*")
+def family(extracted: DataFrame, name: str, owner: str | None = None) -> DataFrame:
+    """The table of one row family; ``owner`` names a column for the file that each row comes from."""
+    head = [F.col("file_id").alias(owner)] if owner else []
+    return extracted.select(*head, F.explode(name).alias("r")).select(*([owner] if owner else []), "r.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,20 +45,75 @@ def plain_path(col: str) -> Column:
     return F.url_decode(F.replace(F.regexp_replace(col, r"^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B")))
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """A source tree as ``path, content (bytes), content_bytes, modified``; excluded directories are skipped."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders of a tree that a walk enters, from the file system; excluded ones are never listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, out = [path(root)], []
+    while todo:
+        at = todo.pop()
+        out.append(at.toUri().getPath() if at.toUri().getScheme() in (None, "file") else at.toString())
+        todo += [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName() not in EXCLUDED]
+    return out
+
+
+def _escape(path: str) -> str:
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+_RAW = "path string, modificationTime timestamp, length long, content binary"
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """A source tree's files without their contents: ``path, content_bytes, modified``."""
+    raw = spark.read.format("binaryFile").schema(_RAW).load([_escape(f) for f in folders(spark, root)])
     rel = relative_to(plain_path("path"), root)
-    inside = ~F.exists(F.split(rel, "/"), lambda d: d.isin(*EXCLUDED))
-    return raw.where(inside).select(rel.alias("path"), "content", F.col("length").alias("content_bytes"), F.col("modificationTime").alias("modified"))
+    return raw.select(rel.alias("path"), F.col("length").alias("content_bytes"), F.col("modificationTime").cast("string").alias("modified"))
+
+
+def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """Given files of a tree with their contents."""
+    if not paths:
+        return spark.createDataFrame([], "path string, content binary, modified string")
+    raw = spark.read.format("binaryFile").schema(_RAW).load([_escape(f"{root.rstrip('/')}/{p}") for p in paths])
+    return raw.select(relative_to(plain_path("path"), root).alias("path"), "content", F.col("modificationTime").cast("string").alias("modified"))
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """A source tree as ``path, content (bytes), modified``; excluded folders are not listed."""
+    raw = spark.read.format("binaryFile").schema(_RAW).load([_escape(f) for f in folders(spark, root)])
+    return raw.select(relative_to(plain_path("path"), root).alias("path"), "content", F.col("modificationTime").cast("string").alias("modified"))
+
+
+def split_known(listed: DataFrame, files: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The listed files that have to be read, and those whose size and time are the recorded ones (``file_id``)."""
+    if files is None:
+        return listed, None
+    was = files.select("file_id", F.col("path").alias("p"), F.col("content_bytes").alias("b"), F.get_json_object("metadata_json", "$.modified").alias("m"))
+    both = listed.join(was, normalize_path(F.col("path")) == F.col("p"), "left")
+    known = F.coalesce((F.col("b") == F.col("content_bytes")) & (F.col("m") == F.col("modified")), F.lit(False))
+    return both.where(~known).select(*listed.columns), both.where(known).select("file_id")
+
+
+#: Changed files that are read by their paths; beyond them the tree is read and the others dropped unread by the join.
+BY_PATH = 10_000
+
+
+def read_listed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """The contents of listed files."""
+    paths = [r.path for r in listed.select("path").limit(BY_PATH + 1).collect()]
+    if len(paths) <= BY_PATH:
+        return read_paths(spark, root, paths)
+    return scan_tree(spark, root).join(listed.select("path"), "path", "left_semi")
 
 
 def snapshots(files: DataFrame) -> DataFrame:
-    """Raw files (path, content bytes) to snapshots: file_id, language, text, hash, bytes, lines, status."""
+    """Raw files (path, content bytes, and where known the time modified) to snapshots: file_id, language, text, hash, bytes, lines, status."""
     text = decoded(F.col("content"))
+    modified = F.col("modified").cast("string") if "modified" in files.columns else F.lit(None).cast("string")
     out = files.select(
         normalize_path(F.col("path")).alias("path"), text.alias("text"), content_hash(F.col("content")).alias("content_hash"),
-        F.octet_length("content").cast("long").alias("content_bytes"), decode_status(F.col("content")).alias("decode_status"),
+        F.octet_length("content").cast("long").alias("content_bytes"), decode_status(F.col("content")).alias("decode_status"), modified.alias("modified"),
     )
     lang = detect(F.col("path"), F.col("text"))
     out = out.withColumn("language", lang)
@@ -64,5 +121,5 @@ def snapshots(files: DataFrame) -> DataFrame:
     return out.select(
         stable_id("file", F.col("path")).alias("file_id"), "path", F.coalesce("language", F.lit("unsupported")).alias("language"), "text", "content_hash",
         "content_bytes", F.when(status == "indexed", line_count(F.col("text"))).alias("line_count"), status.alias("status"), "decode_status",
-        (F.col("content_bytes") > SIZE_LIMIT).alias("too_large"), is_json_lines(F.col("path")).alias("json_lines"),
+        (F.col("content_bytes") > SIZE_LIMIT).alias("too_large"), is_json_lines(F.col("path")).alias("json_lines"), "modified",
     )

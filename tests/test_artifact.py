@@ -59,6 +59,55 @@ def test_incremental_equals_full(spark, tree, tmp_path):
         assert difference(a.store.read(f), b.store.read(f)).count() == 0, f
 
 
+def test_only_changed_files_are_read_extracted_and_written(spark, tree, tmp_path, monkeypatch):
+    from strataloom.artifact import engine as module
+
+    e = Engine(spark, str(tmp_path / "out"), str(tree))
+    first = e.scan()
+    assert first["counts"]["symbols"] == e.store.read("symbols").count() > 0
+    read: list = []
+    true = module.read_listed
+    monkeypatch.setattr(module, "read_listed", lambda s, r, listed: read.append({x.path for x in listed.collect()}) or true(s, r, listed))
+    assert e.scan()["status"] == "no_change" and read.pop() == set()
+    (tree / "b.go").write_text(GO + "// more\n")
+    assert e.scan()["changes"] == {"updated": 1} and read.pop() == {"b.go"}
+    m = e.store.manifest()
+    part = spark.read.parquet(f"{e.store.base}/{m['parts']['symbols'][1]}")
+    assert {r.path for r in part.select("path").distinct().collect()} == {"b.go"} and len(m["parts"]["symbols"]) == 2
+    log = {r.revision_id: r for r in e.store.read("extraction_revisions").collect()}
+    assert '"symbols": 3' in log[2].counts_json and log[2].parent_revision_id == 1
+    before = {f: e.store.read(f) for f in FAMILIES}
+    rows = {f: sorted(map(str, before[f].collect())) for f in FAMILIES}
+    e.store.compact()
+    assert e.store.manifest()["dead"] == [] and {f: sorted(map(str, e.store.read(f).collect())) for f in FAMILIES} == rows
+    assert e.scan()["status"] == "no_change"
+
+
+def test_a_file_above_the_limit_gets_a_warning(spark, tree, tmp_path):
+    (tree / "big.py").write_text("x = 1\n" * 200_000)
+    e = Engine(spark, str(tmp_path / "out"), str(tree))
+    e.scan()
+    d = e.store.read("parse_diagnostics").where("path = 'big.py'").collect()
+    assert [r.kind for r in d] == ["slow_file_skipped"] and "1048576" in d[0].message
+    assert e.store.read("symbols").where("path = 'big.py'").count() == 0
+    assert e.scan()["status"] == "no_change"
+    (tree / "big.py").write_text("def f(): pass\n")
+    e.scan()
+    assert e.store.read("parse_diagnostics").count() == 0 and e.store.read("symbols").where("path = 'big.py'").count() == 1
+
+
+def test_the_journal_is_consumed_once(spark, tree, tmp_path):
+    from strataloom.operators.ledger import WorkLedger
+
+    e = Engine(spark, str(tmp_path / "out"), str(tree))
+    e.scan()
+    led = WorkLedger(spark, str(tmp_path / "led"))
+    assert e.consume(led, "w", lambda changes: changes) == ["r000000001"]
+    e.delete("b.go")
+    assert e.consume(led, "w", lambda changes: changes) == ["r000000002"] and e.consume(led, "w", lambda c: c) == []
+    assert led.results().count() == e.store.read("revision_file_changes").count() == 4
+
+
 def test_gates(spark, tree, tmp_path):
     e = Engine(spark, str(tmp_path / "out"), str(tree))
     with pytest.raises(ArtifactError) as x:
@@ -79,7 +128,7 @@ def test_gates(spark, tree, tmp_path):
         e.rebind(str(tree), "wrong", "/new")
     assert e.rebind(str(tree), meta["artifact_id"], "/new")["root_path"] == "/new"
     with pytest.raises(ArtifactError) as x:
-        e.store.commit({}, meta, 1)
+        e.store.commit(meta, 1)
     assert x.value.code == "conflict"
 
 
