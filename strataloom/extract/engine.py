@@ -97,8 +97,11 @@ def _compiled(language: str) -> list[tuple[str, regex.Pattern]]:
     return [(k, regex.compile(p, regex.M)) for k, p in DECLARATIONS[language]]
 
 
-def body_span(code: str, start: int, head_end: int, family: str) -> tuple[int, int] | None:
-    """Where a declaration's body lies: matching braces, deeper indentation, or up to the matching ``end``."""
+def body_span(code: str, start: int, head_end: int, family: str, regions: tuple[list[int], list] = ([], [])) -> tuple[int, int] | None:
+    """Where a declaration's body lies: matching braces, deeper indentation, or up to the matching ``end``.
+
+    ``regions``: the starts of comments and strings and these; a line that begins within one is no line of code.
+    """
     if family in ("braces", "sql", "markup"):
         at = head_end - 1 if code[head_end - 1 : head_end] == "{" else head_end
         while at < len(code) and code[at] not in "{;":
@@ -124,12 +127,15 @@ def body_span(code: str, start: int, head_end: int, family: str) -> tuple[int, i
             nl = code.find("\n", at)
             stop = len(code) if nl < 0 else nl
             body = code[at:stop]
-            if body.strip():
+            i = bisect.bisect_left(regions[0], at) - 1
+            if i >= 0 and regions[1][i].end > at:
+                end = max(end, len(code[:stop].rstrip())) if body.strip() else end
+            elif body.strip():
                 if len(body) - len(body.lstrip(" \t")) <= indent:
                     if family == "end" and re.match(r"(?i)\s*end\b", body):
                         end = at + len(body.rstrip())
                     break
-                end = stop
+                end = at + len(body.rstrip())
             at = stop + 1
         return (first + 1, end) if end > first + 1 else None
     return None
@@ -169,6 +175,7 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
     lang = LANGUAGES[language]
     view = m.bare if lang.family in ("data", "markup") else m.code
     out, imports, seen = [], [], set()
+    regions = ([r.start for r in m.regions], m.regions)
     for kind, pattern in _compiled(language):
         source = m.bare if kind == "import" else view
         for hit in pattern.finditer(source):
@@ -181,7 +188,7 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
                 continue
             seen.add((hit.start("name"), hit.end("name")))
             g = hit.groupdict()
-            body = body_span(m.code, start, hit.end(), lang.family) if kind in (*CALLABLE, "class", "struct", "interface", "trait", "enum", "namespace", "module", "union") and lang.family != "data" else None
+            body = body_span(m.code, start, hit.end(), lang.family, regions) if kind in (*CALLABLE, "class", "struct", "interface", "trait", "enum", "namespace", "module", "union") and lang.family != "data" else None
             if kind == "module" and language == "markdown":
                 level = len(hit[0]) - len(hit[0].lstrip(" #"))
                 nxt = regex.compile(rf"^ {{0,3}}#{{1,{max(1, min(6, hit[0].strip().count('#', 0, 6)))}}}[ \t]", regex.M).search(m.text, hit.end())

@@ -22,6 +22,26 @@ class Masked(NamedTuple):
     regions: list[Region]
 
 
+#: Languages with pattern literals between slashes.
+PATTERNS_BETWEEN_SLASHES = ("javascript", "jsx", "typescript", "tsx", "vue", "qml")
+# what stands before a slash that begins a pattern: an operator, an opener or a word that no value ends with
+_OPERATORS = "=(,:[!&|?{;>~^%+*<-"
+_WORDS = frozenset("return typeof case in of delete void throw new else do await yield instanceof".split())
+
+
+def _pattern_at(text: str, slash: int) -> bool:
+    """Whether a slash begins a pattern and is no division."""
+    at = slash
+    while at and text[at - 1].isspace():
+        at -= 1
+    if not at or text[at - 1] in _OPERATORS:
+        return True
+    end = at
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_$"):
+        at -= 1
+    return text[at:end] in _WORDS
+
+
 @lru_cache(None)
 def _scanner(name: str) -> re.Pattern | None:
     lang: Language = LANGUAGES[name]
@@ -39,6 +59,12 @@ def _scanner(name: str) -> re.Pattern | None:
             parts.append(f"(?P<s{i}>'(?:[^']|'')*')")
         else:
             parts.append(f"(?P<s{i}>{q}(?:[^{q}\\\\\\n]|\\\\[\\s\\S])*{q})")
+    if name == "rust":
+        parts.insert(0, r"""(?P<w>\bb?r(?P<h>\#*)"[\s\S]*?"(?P=h))""")
+    if name in ("rust", "scala", "zig", "swift"):
+        parts.append(r"(?P<c>'(?:[^'\\\n]|\\[^\n][^'\n]*)')")
+    if name in PATTERNS_BETWEEN_SLASHES:
+        parts.append(r"(?P<p>/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/)")
     for i, m in enumerate(sorted(lang.line, key=len, reverse=True)):
         lead = r"(?<![\w$])" if m in ("#", "'", "%") else ""
         parts.append(f"(?P<l{i}>{lead}{re.escape(m)}[^\\n]*)")
@@ -68,6 +94,9 @@ def mask(text: str, language: str) -> Masked:
     pos = 0
     while m := scan.search(text, pos):
         start, end, kind = m.start(), m.end(), m.lastgroup
+        if kind == "p" and not _pattern_at(text, start):
+            pos = start + 1  # a division
+            continue
         if kind[0] == "b" and lang.nested:
             end = _nested_end(text, start, *lang.block[int(kind[1:])])
         pos = max(end, start + 1)
@@ -75,7 +104,14 @@ def mask(text: str, language: str) -> Masked:
         piece = text[start:end]
         code.append(plain)
         bare.append(plain)
-        if kind[0] == "s":
+        if kind[0] in "cpwh":
+            # characters, patterns and raw strings: hidden between their first and last quotes
+            a, b = (piece.index('"') + 1, piece.rindex('"')) if kind[0] in "wh" else (1, len(piece) - 1)
+            code.append(piece[:a] + _blank(piece[a:b]) + piece[b:])
+            bare.append(piece)
+            if kind[0] in "wh":
+                regions.append(Region("string_literal", start, end))
+        elif kind[0] == "s":
             q = len(lang.strings[int(kind[1:])])
             inner = piece[q : max(q, len(piece) - q)]
             code.append(piece[:q] + _blank(inner) + piece[q + len(inner) :])
