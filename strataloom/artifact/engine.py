@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strataloom import __version__
 from strataloom.artifact.schema import CONTRACT, FAMILIES, TABLES, VERSION
 from strataloom.artifact.store import OWNER, WRITTEN, ArtifactError, Store, enforce
+from strataloom.extract.declarations import DECLARATIONS
 from strataloom.extract.engine import extract, extract_file, family
 from strataloom.extract.patterns import PATTERNS
 from strataloom.functions.ids import fingerprint, stable_id
@@ -171,12 +172,28 @@ class Engine:
         journal = changes.select(F.lit(revision).cast("long").alias("revision_id"), "file_id", "path", "change_kind")
         log = [(revision, revision - 1 or None, operation, meta["index_level"], started, _now(), __version__, CONTRACT, VERSION, self.root, json.dumps(counts, sort_keys=True))]
         meta = meta | {"revision": revision}
+        # the capability snapshot is mirrored when the producer is new to the artifact
+        mirrored = self._capabilities() if not version or self.store.manifest(version)["metadata"]["producer"] != meta["producer"] else {}
         done = self.store.commit(
             meta, version, add=tables | {"revision_file_changes": journal, "extraction_revisions": self.spark.createDataFrame(log, TABLES["extraction_revisions"])},
-            replace={"artifact_metadata": self._metadata_rows(meta)}, dead=dead,
+            replace=mirrored | {"artifact_metadata": self._metadata_rows(meta)}, dead=dead,
         )
         return {"status": "changed", "revision_id": revision, "version": done, "counts": counts, "seconds": round(time.time() - began, 3)}
 
+    def _capabilities(self) -> dict[str, DataFrame]:
+        """Parsers, capabilities and gaps of all languages, as tables of the artifact."""
+        parsers, able, gaps = [], [], []
+        for l in LANGUAGES.values():
+            kinds = sorted({k for k, _ in DECLARATIONS.get(l.name, [])} - {"import", "signature"})
+            code = l.family not in ("data", "markup", "lines")
+            facts = sum(l.name in p.languages for p in PATTERNS)
+            parsers.append((l.name, "strataloom.extract", __version__, None, "built-in", json.dumps({"tier": l.tier})))
+            has = {"symbols": bool(kinds), "relationships": code, "pending_relationships": code or l.name == "markdown", "identifiers": code, "types": code}
+            able.append((l.name, "strataloom.extract", json.dumps(l.extensions), "ok", *[True] * 5, *has.values(), json.dumps({"symbols": kinds, "fact_patterns": facts})))
+            gaps += [(f"gap-{l.name}-{c}", l.name, c, "open", "not extracted", "none", "{}") for c, there in has.items() if not there]
+        rows = {"parser_inventory": parsers, "language_capabilities": able, "language_capability_gaps": gaps}
+        return {t: self.spark.createDataFrame(r, TABLES[t]) for t, r in rows.items()}
+
     def _metadata_rows(self, meta: dict) -> DataFrame:
         return self.spark.createDataFrame([(k, str(v)) for k, v in sorted(meta.items())], TABLES["artifact_metadata"])
 

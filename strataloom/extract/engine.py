@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.artifact.schema import FAMILIES, TABLES
+from strataloom.extract import embedded
 from strataloom.extract import patterns as P
 from strataloom.extract.comments import markers
 from strataloom.extract.declarations import CALLABLE, DECISIONS, DECLARATIONS, KEYWORDS, LOOPS
 from strataloom.extract.mask import Masked, mask
+from strataloom.extract.policies import POLICIES, Policy, classify
 from strataloom.functions.ids import SEPARATOR
 from strataloom.operators.generics import Brackets, type_arguments
 from strataloom.operators.reports import level_families
@@ -43,13 +45,6 @@ _STARTER = regex.compile(r"[\p{L}_$]")
 _NOT_SPACE = regex.compile(r"(?r)\S")
 _PARAMS = re.compile(r"[,;]")
 _NAMED_TYPE = re.compile(r"(?:[:<,]|->|\bnew|\bextends|\bimplements|\bas|\binstanceof|\bis)\s*$")
-# Who carries which kind of literal.
-CARRIERS = {
-    "url": ("fetch", "get", "post", "put", "patch", "delete", "request", "open", "axios", "url", "urlopen", "HttpGet", "HttpPost", "GetAsync", "PostAsync"),
-    "sql": ("execute", "query", "executemany", "raw", "prepare", "prepareStatement", "exec", "sql", "rawQuery", "FromSqlRaw"),
-    "route": ("route", "path", "re_path", "Handle", "HandleFunc", "mount", "MapGet", "MapPost", "MapGroup"),
-}
-EXCLUDED_CARRIERS = ("map.get", "dict.get", "cache.get", "headers.get", "os.path", "set.delete")
 # Names of test calls and their role.
 TEST_CALLS = {
     "describe": "container", "context": "container", "suite": "container", "it": "case", "test": "case", "specify": "case",
@@ -65,11 +60,11 @@ def stable(prefix: str, *parts: object) -> str:
 class Lines:
     """Offsets of a text: characters to bytes, lines (from 1) and columns (bytes, from 0).
 
-    ``line`` and ``base``: the lines and bytes of its file before the text.
+    ``line`` and ``base``: the lines and bytes of its file before the text; ``column``: the bytes before it on its line.
     """
 
-    def __init__(self, text: str, line: int = 0, base: int = 0):
-        self.line, self.base = line, base
+    def __init__(self, text: str, line: int = 0, base: int = 0, column: int = 0):
+        self.line, self.base, self.column = line, base, column
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
         self.ascii = text.isascii()
         self.bytes = None
@@ -87,7 +82,7 @@ class Lines:
         for name, at in (("start", start), ("end", end)):
             line = bisect.bisect_right(self.starts, at)
             out[f"{prefix}{name}_line"] = self.line + line
-            out[f"{prefix}{name}_column"] = self.byte(at) - self.byte(self.starts[line - 1])
+            out[f"{prefix}{name}_column"] = self.byte(at) - self.byte(self.starts[line - 1]) + (self.column if line == 1 else 0)
             out[f"{prefix}{name}_byte"] = self.byte(at)
         return out
 
@@ -97,11 +92,102 @@ def _compiled(language: str) -> list[tuple[str, regex.Pattern]]:
     return [(k, regex.compile(p, regex.M)) for k, p in DECLARATIONS[language]]
 
 
+def partners(code: str) -> dict[int, int]:
+    """Every opening bracket's closing one, in one pass over masked code."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for m in re.finditer(r"[(){}\[\]]", code):
+        if m[0] in "({[":
+            stack.append((m[0], m.start()))
+        elif stack and stack[-1][0] + m[0] in ("()", "{}", "[]"):
+            out[stack.pop()[1]] = m.start()
+    return out
+
+
+#: Languages in which only a semicolon ends a statement.
+SEMICOLON = frozenset("java rust c cpp csharp php dart zig".split())
+_STOPS = re.compile(r"[;,\n(){}\[\]]")
+
+
+def statement_end(code: str, at: int, close: dict[int, int], language: str) -> int:
+    """Where a declaration without body ends: with its semicolon, or before the line break or bracket that ends it."""
+    data = LANGUAGES[language].family == "data"
+    while m := _STOPS.search(code, at):
+        c, i = m[0], m.start()
+        if c == ";" and not data:
+            return m.end()
+        if c in "({[":
+            if i not in close:
+                return len(code[:i].rstrip())
+            at = close[i] + 1
+            continue
+        going_on = code[:i].rstrip()[-1:] in ("=", ",", "+", "-", "*", "/", "&", "|", "?", ":", "<", ".")
+        ends = c in ")}]" or (c == "," and language == "json") or (c == "\n" and language != "json" and language not in SEMICOLON and not (going_on and not data))
+        if ends:
+            return len(code[:i].rstrip())
+        at = m.end()
+    return len(code.rstrip())
+
+
+def config_values(m: Masked, language: str, found: list[dict]) -> Iterator[tuple[int, int, str]]:
+    """The strings that are values of a configuration's keys: start, end and the dotted path of keys.
+
+    An object in an array has its index in brackets for a key.
+    """
+    strings = {r.start: r.end for r in m.regions if r.kind == "string_literal"}
+    if language == "json":
+        frames: list[list] = []  # opener, path, key or index
+        for t in re.finditer(r'["{}\[\],:]', m.code):
+            c, at = t[0], t.start()
+            top = frames[-1] if frames else None
+            if c == '"' and at in strings:
+                if top and top[0] == "{":
+                    if top[3]:
+                        yield at, strings[at], ".".join(filter(None, (top[1], top[2]))).replace(".[", "[")
+                    else:
+                        top[2] = unquoted(m.text[at : strings[at]])
+            elif c in "{[":
+                path = "" if top is None else ".".join(filter(None, (top[1], top[2] if top[0] == "{" else f"[{top[2]}]" if c == "{" else "")))
+                frames.append([c, path, "" if c == "{" else 0, False])
+            elif c in "}]" and frames:
+                frames.pop()
+            elif c == ":" and top and top[0] == "{":
+                top[3] = True
+            elif c == "," and top:
+                top[3] = False
+                top[2] = "" if top[0] == "{" else top[2] + 1
+        return
+    for s in found:
+        if s["kind"] != "property":
+            continue
+        key = s["name"] if not s["parent"] or s["parent"]["kind"] != "module" else f"{s['parent']['name']}.{s['name']}"
+        for v in re.finditer(r"""(?:([\w.-]+)\s*=\s*)?(["'])""", m.code[s["after"] : s["end"]]):
+            at = s["after"] + v.start(2)
+            if at in strings:
+                if v[1] or not m.code[s["after"] : at].strip():
+                    yield at, strings[at], f"{key}.{v[1]}" if v[1] else key
+
+
+def unquoted(raw: str) -> str:
+    """The text of a string literal: escapes decoded where it is valid JSON, else what stands between the quotes."""
+    if raw[:1] == '"' and raw[:3] != '"""':
+        try:
+            return json.loads(raw, strict=False)
+        except ValueError:
+            pass
+    for q in ('"""', "'''", '"', "'", "`"):
+        if len(raw) >= 2 * len(q) and raw.startswith(q) and raw.endswith(q):
+            return raw[len(q) : -len(q)]
+    return raw.strip("\"'`")
+
+
 def body_span(code: str, start: int, head_end: int, family: str, regions: tuple[list[int], list] = ([], [])) -> tuple[int, int] | None:
     """Where a declaration's body lies: matching braces, deeper indentation, or up to the matching ``end``.
 
     ``regions``: the starts of comments and strings and these; a line that begins within one is no line of code.
     """
+    if code[head_end - 1 : head_end] == ";":
+        return None
     if family in ("braces", "sql", "markup"):
         at = head_end - 1 if code[head_end - 1 : head_end] == "{" else head_end
         while at < len(code) and code[at] not in "{;":
@@ -176,6 +262,7 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
     view = m.bare if lang.family in ("data", "markup") else m.code
     out, imports, seen = [], [], set()
     regions = ([r.start for r in m.regions], m.regions)
+    close = partners(m.code)
     for kind, pattern in _compiled(language):
         source = m.bare if kind == "import" else view
         for hit in pattern.finditer(source):
@@ -195,8 +282,14 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
                 body = (hit.end(), nxt.start() if nxt else len(m.text))
                 del level
             end = max(hit.end(), body[1] if body else 0)
-            out.append({"kind": kind, "name": name, "at": hit.start("name"), "start": start, "end": end, "body": body, "head": m.text[start : hit.end()].strip().rstrip("{").strip(), "sup": g.get("sup"), "type": g.get("type"), "params": g.get("params")})
+            if body is None and lang.family in ("data", "braces", "indent") and kind in ("constant", "variable", "field", "property", "signature", *CALLABLE):
+                if kind not in ("signature", *CALLABLE) or m.code[hit.end() :][:1] == ";" or m.code[hit.end() : hit.end() + 64].lstrip()[:1] == ";":
+                    end = max(end, statement_end(m.code, hit.end(), close, language))
+            out.append({"after": hit.end(), "kind": kind, "name": name, "at": hit.start("name"), "start": start, "end": end, "body": body, "head": m.text[start : hit.end()].strip().rstrip("{").strip(), "sup": g.get("sup"), "type": g.get("type"), "params": g.get("params")})
     out.sort(key=lambda s: (s["start"], -s["end"]))
+    if language == "toml":  # a table lasts until the next one
+        for s, nxt in zip(tables := [s for s in out if s["kind"] == "module"], [*(t["start"] for t in tables[1:]), len(m.text)]):
+            s["end"] = max(s["end"], nxt)
     stack: list[dict] = []
     for s in out:
         while stack and stack[-1]["end"] <= s["start"]:
@@ -204,7 +297,7 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
         s["parent"] = stack[-1] if stack else None
         if s["kind"] == "function" and s["parent"] and s["parent"]["kind"] in ("class", "interface", "trait", "struct"):
             s["kind"] = "method"
-        if s["body"]:
+        if s["body"] or lang.family == "data":
             stack.append(s)
     # a head without body is a method only where one may be declared; elsewhere it is a call
     out = [s for s in out if s["kind"] != "signature" or (s["parent"] and s["parent"]["kind"] in ("interface", "trait"))]
@@ -250,7 +343,9 @@ def json_records(text: str) -> Iterator[tuple[str, Lines]]:
         base += (len(chunk) if chunk.isascii() else len(chunk.encode("utf-8", "surrogatepass"))) + 1
 
 
-def extract_file(path: str, language: str, text: str, file_id: str | None = None, level: str = "full") -> dict[str, list[dict]]:
+def extract_file(
+    path: str, language: str, text: str, file_id: str | None = None, level: str = "full", policies: dict[str, Policy] | None = None
+) -> dict[str, list[dict]]:
     """All row families of one file at a level. Damaged text gives what can be found, and diagnostics.
 
     JSON Lines files are extracted record by record; places and ids are those in the file.
@@ -259,13 +354,43 @@ def extract_file(path: str, language: str, text: str, file_id: str | None = None
     if language == "json" and re.search(r"\.(?:jsonl|ndjson)$", path, re.I):
         fam: dict[str, list[dict]] = {f: [] for f in FAMILIES}
         for record, lines in json_records(text):
-            for f, rows in _extract_text(path, language, record, lines, file_id, level).items():
+            for f, rows in _extract_text(path, language, record, lines, file_id, level, policies).items():
                 fam[f] += rows
         return fam
-    return _extract_text(path, language, text, Lines(text), file_id, level)
+    if language not in ("html", "vue"):
+        return _extract_text(path, language, text, Lines(text), file_id, level, policies)
+    guests = embedded.blocks(text)
+    host, lines = embedded.without(text, [(a, b) for _, a, b in guests]), Lines(text)
+    fam = _extract_text(path, language, host, lines, file_id, level, policies)
+
+    def within(guest: str, a: int, b: int) -> dict[str, list[dict]]:
+        at = bisect.bisect_right(lines.starts, a)
+        own = Lines(text[a:b], at - 1, lines.byte(a), lines.byte(a) - lines.byte(lines.starts[at - 1]))
+        return _extract_text(path, guest, text[a:b], own, file_id, level, policies)
+
+    for guest, a, b in guests:
+        embedded.merge(fam, within(guest, a, b))
+    if "identifiers" in level_families(level):
+        functions: dict[str, list[str]] = {}
+        for r in fam["symbols"]:
+            if r["kind"] in CALLABLE and r["language"] != language:
+                functions.setdefault(r["name"], []).append(r["symbol_id"])
+        for a, b, called in embedded.expressions(host, language):
+            rows = within("javascript", a, b)
+            for r in rows["identifiers"]:
+                if called and r["end_byte"] == lines.byte(a + len(text[a:b].rstrip())):
+                    r |= {"kind": "call", "metadata_json": None}
+                # a name that one function of the file's scripts has is that function's
+                to = functions.get(r["name"], [])
+                if r["kind"] == "call" and len(to) == 1:
+                    r["metadata_json"] = json.dumps(json.loads(r["metadata_json"] or "{}") | {"target_symbol_id": to[0]}, sort_keys=True)
+                r["containing_symbol_id"] = r["reference_site_id"] = None
+            fam["identifiers"] += rows["identifiers"]
+            fam["literals"] += rows["literals"]
+    return fam
 
 
-def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: str, level: str) -> dict[str, list[dict]]:
+def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: str, level: str, policies: dict[str, Policy] | None = None) -> dict[str, list[dict]]:
     fam: dict[str, list[dict]] = {f: [] for f in FAMILIES}
     if language not in LANGUAGES:
         return fam
@@ -363,7 +488,7 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
             "target_namespace_json": json.dumps(parts[:-1]), "target_import_context": context, **lines.span(start, end), "confidence": 0.7,
         })
 
-    brackets = Brackets(m.code, language) if {"literals", "relationships"} & keep else None
+    brackets = Brackets(m.code, language) if {"literals", "relationships", "source_regions"} & keep else None
     if "relationships" in keep and LANGUAGES[language].family not in ("data",):
         for s in found:
             for base in re.findall(r"[\p{L}_$][\w$.:\\]*".replace(r"\p{L}", "A-Za-z"), re.sub(r"<[^<>]*>", "", s["sup"] or "")):
@@ -433,10 +558,17 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
                     pending(inside, "calls", name if not receiver else f"{receiver}.{name}", receiver, a, b)
     if "literals" in keep or "source_regions" in keep:
         carriers: dict[int, str] = {}
+        rules, config = (policies or POLICIES).get(language), language in ("json", "toml", "yaml")
+
+        def literal(a: int, b: int, content: str, carrier: str | None, position: int) -> None:
+            kind = classify(rules, carrier)
+            if kind and content:
+                fam["literals"].append({"literal_id": stable("literal", file_id, lines.byte(a)), **head, "literal_text": content, "kind": kind, "carrier": carrier, "arg_position": position, "containing_symbol_id": container(a), **lines.span(a, b), "confidence": 1.0 if config else 0.9})
+
         for r in m.regions:
             inside = container(r.start)
             fam["source_regions"].append({"source_region_id": stable("region", file_id, r.kind, lines.byte(r.start)), **head, "kind": r.kind, "containing_symbol_id": inside, **lines.span(r.start, r.end)})
-            if r.kind != "string_literal":
+            if r.kind != "string_literal" or config or language == "markdown":
                 continue
             opener = brackets.enclosing(r.start)
             if opener not in carriers:
@@ -444,14 +576,14 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
                 start = _STARTER.search(run[0]) if run else None
                 carriers[opener] = run[0][start.start() :] if start else ""
             carrier, position = carriers[opener], brackets.position(opener, r.start)
-            if not carrier:
-                continue
-            last = re.split(r"\.|::|->", carrier)[-1]
-            kind = next((k for k, names in CARRIERS.items() if last in names or carrier in names), None)
-            if kind is None or ".".join(re.split(r"\.|::|->", carrier)[-2:]) in EXCLUDED_CARRIERS:
-                continue
-            content = re.sub(r"\$\{[^}]*\}|#\{[^}]*\}|\{[^{}]*\}", "{}", text[r.start : r.end].strip("\"'`"))
-            fam["literals"].append({"literal_id": stable("literal", file_id, lines.byte(r.start)), **head, "literal_text": content, "kind": kind, "carrier": carrier, "arg_position": position, "containing_symbol_id": inside, **lines.span(r.start, r.end), "confidence": 0.9})
+            if carrier or rules and rules.keep_all:
+                literal(r.start, r.end, re.sub(r"\$\{[^}]*\}|#\{[^}]*\}|\{[^{}]*\}", "{}", unquoted(text[r.start : r.end])), re.sub("::|->", ".", carrier) or None, position)
+        if config:
+            for a, b, path_ in config_values(m, language, found):
+                literal(a, b, unquoted(text[a:b]), path_, 0)
+        elif language == "markdown":
+            for link in re.finditer(r"\]\(\s*<?([^)\s>]+)", m.bare):
+                literal(link.start(1), link.end(1), link[1], None, 0)
     if "structural_facts" in keep:
         views = {"raw": m.text, "code": m.code, "bare": m.bare}
 
@@ -508,7 +640,7 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
 RESULT = T.StructType([T.StructField("file_id", T.StringType()), *(T.StructField(f, T.ArrayType(T.StructType([T.StructField(x.name, x.dataType) for x in TABLES[f]]))) for f in FAMILIES)])
 
 
-def extract(snapshots: DataFrame, level: str = "full", text: str = "text") -> DataFrame:
+def extract(snapshots: DataFrame, level: str = "full", text: str = "text", policies: dict[str, Policy] | None = None) -> DataFrame:
     """One row a file: ``file_id`` and an array for each row family.
 
     ``snapshots`` has file_id, path, language and the text column; rows without file_id, text or known language give empty
@@ -527,7 +659,7 @@ def extract(snapshots: DataFrame, level: str = "full", text: str = "text") -> Da
                 rows = []
                 for r in b.slice(at, 64).to_pylist():
                     try:
-                        fam = extract_file(r["path"] or "", r["language"], r["text"], r["file_id"], level) if r["text"] is not None else {}
+                        fam = extract_file(r["path"] or "", r["language"], r["text"], r["file_id"], level, policies) if r["text"] is not None else {}
                     except Exception as e:  # noqa: BLE001 - one file must not fail the others
                         zero = dict.fromkeys(("start_line", "start_column", "end_line", "end_column", "start_byte", "end_byte"), 0)
                         fam = {"parse_diagnostics": [{"diagnostic_id": stable("diagnostic", r["path"], "failed"), "file_id": r["file_id"], "path": r["path"], "language": r["language"], "kind": "failed", "message": f"{type(e).__name__}: {e}"[:500], **zero}]}

@@ -496,33 +496,6 @@ def revision_diff(s, d):
     return reports.revision_diff(old, new, F.expr(_SUPPORTED))
 
 
-@query("""
-WITH t AS (SELECT DISTINCT file_id FROM symbols WHERE ends_with(file_id, 'a'))
-SELECT kind, count(*) AS rows FROM (SELECT kind FROM symbols WHERE file_id NOT IN (SELECT file_id FROM t) UNION ALL SELECT kind FROM symbols WHERE file_id IN (SELECT file_id FROM t) AND kind = 'class') GROUP BY 1""")
-def apply_update(s, d):
-    """All rows of the touched files (ending in a) replaced by fresh ones (their classes)."""
-    rows = table(s, d, "symbols").select("file_id", "kind")
-    touched = rows.where(F.col("file_id").endswith("a"))
-    return reports.apply_update(rows, touched.where("kind = 'class'"), touched).groupBy("kind").agg(F.count("*").alias("rows"))
-
-
-@query("""SELECT language, count(*) AS rows FROM symbols WHERE file_id NOT IN (SELECT file_id FROM files WHERE status = 'unsupported') GROUP BY 1""")
-def apply_delete(s, d):
-    gone = table(s, d, "files").where("status = 'unsupported'").select("file_id")
-    return table(s, d, "symbols").join(gone, "file_id", "left_anti").groupBy("language").agg(F.count("*").alias("rows"))
-
-
-@query("""
-WITH f AS (SELECT file_id FROM files WHERE status = 'failed_preserved')
-SELECT 'kept' AS origin, count(*) AS rows FROM symbols WHERE file_id IN (SELECT file_id FROM f)
-UNION ALL SELECT 'fresh', count(*) FROM symbols WHERE file_id NOT IN (SELECT file_id FROM f) AND kind = 'function'""")
-def failed_preserved(s, d):
-    cur = table(s, d, "symbols").select("file_id", "kind").withColumn("origin", F.lit("kept"))
-    fresh = table(s, d, "symbols").where("kind = 'function'").select("file_id", "kind").withColumn("origin", F.lit("fresh"))
-    failed = table(s, d, "files").where("status = 'failed_preserved'")
-    return reports.preserve_failed(cur, fresh, failed).groupBy("origin").agg(F.count("*").alias("rows"))
-
-
 _CUR = [("c", "1.0"), ("go", "0.2"), ("ruby", None), ("zig", "3")]
 _NEW = [("c", "1.0"), ("go", "0.3"), ("ruby", None), ("rust", "5")]
 
@@ -533,16 +506,6 @@ def capability_sync(s, d):
     return integrity.sync_snapshot(s.createDataFrame(_CUR, sch), s.createDataFrame(_NEW, sch), ["language"])
 
 
-@query("""
-SELECT key, value FROM (VALUES ('root_path', '/new'), ('artifact_id', 'a2'), ('schema', '8')) v(key, value)""")
-def rebind_metadata(s, d):
-    """Named keys replaced, all others kept (an upsert as anti join and union)."""
-    sch = "key string, value string"
-    cur = s.createDataFrame([("root_path", "/old"), ("artifact_id", "a1"), ("schema", "8")], sch)
-    new = s.createDataFrame([("root_path", "/new"), ("artifact_id", "a2")], sch)
-    return cur.join(new, "key", "left_anti").unionByName(new)
-
-
 @query("""SELECT 'symbol' AS source, symbol_id AS id FROM symbols UNION ALL SELECT 'change', file_id FROM revision_file_changes""")
 def occurrence_union(s, d):
     a = table(s, d, "symbols").select(F.lit("symbol").alias("source"), F.col("symbol_id").alias("id"))

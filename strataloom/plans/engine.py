@@ -74,13 +74,16 @@ def engine_journal(s, d):
     return e.store.read("revision_file_changes").select("revision_id", "path", "change_kind")
 
 
-@query("""SELECT language, count(DISTINCT path) AS files FROM file_snapshots WHERE language NOT IN ('go', 'json', 'markdown') GROUP BY 1""")
+@query("""SELECT language, count(DISTINCT path) AS files FROM symbols WHERE language <> 'go' AND kind IN ('function', 'method', 'class', 'property') GROUP BY 1""")
 def engine_symbol_files(s, d):
-    """Files with symbols after the two scans, where every file has some: none of deleted files, still those of unreadable ones."""
+    """Files with symbols after the two scans, beside the given ones: none of deleted files, still those of unreadable ones."""
     e = _engine(s)
     e.scan(_sources(s, d), level="symbols")
     e.scan(_changed(s, d), level="symbols")
-    return e.store.read("symbols").where("language not in ('json', 'markdown')").groupBy("language").agg(F.countDistinct("path").alias("files"))
+    kinds = "kind in ('function', 'method', 'class', 'property')"
+    given = table(s, d, "symbols").where(kinds).select("path").distinct()
+    rows = e.store.read("symbols").where(kinds).join(given, "path", "left_semi")
+    return rows.groupBy("language").agg(F.countDistinct("path").alias("files"))
 
 
 @query("""SELECT fk_name, CAST(0 AS BIGINT) AS dangling FROM (VALUES ('symbols.parent_symbol_id'), ('symbol_annotations.symbol_id'), ('reference_sites.containing_symbol_id'), ('identifiers.containing_symbol_id'), ('relationships.from_symbol_id'),
@@ -116,10 +119,12 @@ def engine_delete(s, d):
     return e.store.read("files").agg(F.lit("deleted").alias("verb"), F.count("*").alias("files")).join(log, F.lit(True))
 
 
-@query("""SELECT 'symbols' AS family, language, count(*) AS rows FROM (SELECT DISTINCT symbol_id, s.language FROM symbols s WHERE s.language IN ('go', 'rust', 'java') AND s.kind IN ('function', 'method', 'struct', 'trait')) GROUP BY 2""")
-def engine_symbols(s, d):
-    """Functions, methods, structures and traits of the artifact, beside those of the given symbols."""
+@query("""SELECT language, true AS target_symbols, actual_symbols, fact_patterns_known FROM (SELECT DISTINCT language, true AS actual_symbols, true AS fact_patterns_known FROM file_snapshots)""")
+def engine_capabilities(s, d):
+    """The capability tables that a scan mirrors into the artifact, for the languages of the sources."""
     e = _engine(s)
-    e.scan(_sources(s, d), level="symbols")
-    rows = e.store.read("symbols").where("language in ('go', 'rust', 'java') and kind in ('function', 'method', 'struct', 'trait')")
-    return rows.groupBy("language").agg(F.lit("symbols").alias("family"), F.count("*").alias("rows")).select("family", "language", "rows")
+    e.scan(_sources(s, d).limit(1), level="symbols")
+    used = table(s, d, "file_snapshots").select("language").distinct()
+    rows = e.store.read("language_capabilities").join(used, "language", "left_semi")
+    known = F.get_json_object("kind_coverage_json", "$.fact_patterns").cast("int") > 0
+    return rows.select("language", "target_symbols", "actual_symbols", known.alias("fact_patterns_known"))

@@ -119,6 +119,22 @@ k AS (SELECT file_id, unnest(regexp_extract_all(content, '"((?:[^"\\\n]|\\.)*)"\
 SELECT file_id, count(*) AS properties, count(DISTINCT k) AS names FROM k GROUP BY 1"""
 
 
+def json_literals(s: SparkSession, d: str) -> DataFrame:
+    """The string values of configuration keys in JSON files that parse, with the path of keys that carries them."""
+    got = extract(_files(s, d).where("language = 'json'"), "full")
+    whole = got.where(F.size("parse_diagnostics") == 0)
+    return family(whole, "literals").select("file_id", "carrier", "literal_text", "kind")
+
+
+_URL_KEYS = "url uri href homepage repository documentation website endpoint base_url base-url baseurl api_url api-url apiurl".split()
+ORACLE["json_literals"] = f"""
+WITH l AS (SELECT DISTINCT file_id, content FROM file_snapshots WHERE language = 'json' AND json_valid(content)),
+v AS (SELECT l.file_id, j.fullkey, j.key, j.type, j.atom->>'$' AS atom FROM l, json_tree(l.content) j)
+SELECT file_id, replace(substr(fullkey, 3), '"', '') AS carrier, atom AS literal_text,
+  CASE WHEN lower(key) IN ({", ".join(repr(k) for k in _URL_KEYS)}) THEN 'url' ELSE 'other' END AS kind
+FROM v WHERE type = 'VARCHAR' AND NOT ends_with(fullkey, ']') AND atom <> ''"""
+
+
 def go_functions(s: SparkSession, d: str) -> DataFrame:
     sym = family(extract(_files(s, d).where("language = 'go'"), "symbols"), "symbols")
     return sym.where("kind in ('function', 'method') and signature like 'func%'").groupBy("file_id").agg(F.count("*").alias("functions"))
@@ -158,5 +174,5 @@ def dangling_parents(s: SparkSession, d: str) -> DataFrame:
 
 ORACLE["dangling_parents"] = "SELECT DISTINCT symbol_id, parent_symbol_id FROM symbols WHERE parent_symbol_id IS NOT NULL AND parent_symbol_id NOT IN (SELECT symbol_id FROM symbols)"
 
-for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, go_functions, pattern_registry, unchanged_files, dangling_parents):
+for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, json_literals, go_functions, pattern_registry, unchanged_files, dangling_parents):
     QUERIES[_q.__name__] = _q

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import catalog, extraction, fixtures, problems
+from strataloom.plans import catalog, engine, extraction, fixtures, problems
 
-PARTS = [problems, catalog, extraction, fixtures]
+PARTS = [problems, catalog, extraction, engine, fixtures]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -69,10 +69,10 @@ def test_facts_ignore_comments_and_strings():
 
 
 def test_calls_access_and_literals():
-    src = "def g(a):\n    return a\n\ndef f(x):\n    y = g(x)\n    obj.z = y\n    fetch('/a/b', x)\n    db.execute('select 1')\n"
+    src = "def g(a):\n    return a\n\ndef f(x):\n    y = g(x)\n    obj.z = y\n    requests.get('/a/b', x)\n    db.execute('select 1')\n"
     fam = extract_file("a.py", "python", src)
     assert [r["kind"] for r in fam["relationships"]] == ["calls"]
-    assert {p["target_display_name"] for p in fam["pending_relationships"]} == {"fetch", "db.execute"}
+    assert {p["target_display_name"] for p in fam["pending_relationships"]} == {"requests.get", "db.execute"}
     access = {i["name"]: json.loads(i["metadata_json"] or "{}").get("access") for i in fam["identifiers"]}
     assert access["z"] == "write" and access["x"] == "read"
     assert {(l["kind"], l["literal_text"], l["arg_position"]) for l in fam["literals"]} == {("url", "/a/b", 0), ("sql", "select 1", 0)}
@@ -104,3 +104,76 @@ def test_table_functions(spark):
     spark.createDataFrame([("a.py", "python", "def f(): pass\n"), ("b", "python", None)], "path string, language string, text string").createOrReplaceTempView("src")
     rows = spark.sql("SELECT src.path, s.name, s.kind FROM src, LATERAL extract_symbols(src.path, src.language, src.text) s").collect()
     assert [(r.path, r.name, r.kind) for r in rows] == [("a.py", "f", "function")]
+
+
+VUE = """<template>
+  <!-- <script>no()</script> -->
+  <a @click="save" :href="link(x)">{{ name }}</a>
+</template>
+<script lang="ts">
+export function save(n: number): number {
+  if (n) { return fetch("/api") }
+  return n
+}
+</script>
+<style>
+.a { color: red; }
+</style>
+"""
+
+
+def test_guests_have_rows_in_their_hosts_places():
+    fam = extract_file("c.vue", "vue", VUE)
+    f = next(s for s in fam["symbols"] if s["name"] == "save")
+    data = VUE.encode()
+    assert f["language"] == "typescript" and data[f["start_byte"] : f["end_byte"]].decode().startswith("export function save") and f["start_line"] == 6 and f["start_column"] == 0
+    assert data[f["body_start_byte"] : f["body_end_byte"]].decode().endswith("return n\n}")
+    calls = {(i["name"], i["kind"], i["start_line"]) for i in fam["identifiers"]}
+    assert ("save", "call", 3) in calls and ("link", "call", 3) in calls and ("name", "variable_ref", 3) in calls and not any(n == "no" for n, _, _ in calls)
+    for i in fam["identifiers"]:
+        assert data[i["start_byte"] : i["end_byte"]].decode() == i["name"]
+        line = VUE.split("\n")[i["start_line"] - 1].encode()
+        assert line[i["start_column"] :].decode().startswith(i["name"])
+    handler = next(i for i in fam["identifiers"] if i["name"] == "save" and i["start_line"] == 3)
+    assert json.loads(handler["metadata_json"])["target_symbol_id"] == f["symbol_id"]
+    assert [(l["kind"], l["literal_text"]) for l in fam["literals"]] == [("url", "/api")]
+    files = [c for c in fam["complexity_metrics"] if c["scope"] == "file"]
+    assert len(files) == 1 and files[0]["decision_count"] >= 1 and files[0]["end_line"] == 14
+    html = extract_file("p.html", "html", "<p>é</p><script>function a() { b() }</script><button onclick='a()'>x</button><script type='text/x'>function c() {}</script>")
+    assert [s["name"] for s in html["symbols"] if s["kind"] == "function"] == ["a"]
+    a = next(s for s in html["symbols"] if s["name"] == "a")
+    assert a["start_column"] == a["start_byte"] == len("<p>é</p><script>".encode())
+    assert ("a", "call") in {(i["name"], i["kind"]) for i in html["identifiers"]}
+
+
+def test_literal_policies():
+    from strataloom.extract import policies
+
+    java = 'class A {\n  void f() {\n    stmt.executeQuery("select 1");\n    rest.exchange("http://x", GET);\n    log("no");\n  }\n}\n'
+    assert [(l["kind"], l["literal_text"], l["carrier"]) for l in extract_file("A.java", "java", java)["literals"]] == [("sql", "select 1", "stmt.executeQuery"), ("url", "http://x", "rest.exchange")]
+    js = '{"name": "a\\"b", "n": 1, "repo": {"url": "http://x"}, "items": [{"k": "v"}, {"k": ""}, {"href": "/h"}], "list": ["s"]}'
+    assert [(l["kind"], l["literal_text"], l["carrier"]) for l in extract_file("a.json", "json", js)["literals"]] == [
+        ("other", 'a"b', "name"), ("url", "http://x", "repo.url"), ("other", "v", "items[0].k"), ("url", "/h", "items[2].href")
+    ]
+    toml = 'a = "x"\n[pkg]\nhomepage = "http://h" # c\nd = { v = "1.2", o = [1] }\nl = ["z"]\n'
+    assert [(l["kind"], l["literal_text"], l["carrier"]) for l in extract_file("a.toml", "toml", toml)["literals"]] == [("other", "x", "a"), ("url", "http://h", "pkg.homepage"), ("other", "1.2", "pkg.d.v")]
+    assert [l["literal_text"] for l in extract_file("a.md", "markdown", "[t](http://x) ![i](i.png)\n")["literals"]] == ["http://x", "i.png"]
+    p = policies.policy("get", "query", exclude="request.query")
+    assert [policies.classify(p, c) for c in ("a.get", "db.Query", "$request->query", "x.y", None)] == ["url", "sql", None, None, None]
+
+
+def test_policies_are_a_parameter(tmp_path):
+    from strataloom.extract import policies
+
+    (tmp_path / "java.toml").write_text('[literal_carriers]\nurl = ["log"]\n')
+    fam = extract_file("A.java", "java", 'class A {\n  void f() {\n    log("u");\n    executeQuery("q");\n  }\n}\n', policies=policies.load(str(tmp_path)))
+    assert [(l["kind"], l["literal_text"]) for l in fam["literals"]] == [("url", "u")]
+
+
+def test_patterns_between_slashes_hide_their_brackets():
+    src = "function f(a) {\n  const r = /[({\\/\"']+/g;\n  return a / 2 / b;\n}\nfunction g() {\n  return 1;\n}\n"
+    fam = extract_file("a.js", "javascript", src)
+    assert {s["name"]: src[s["start_byte"] : s["end_byte"]].count("\n") for s in fam["symbols"]} == {"f": 3, "g": 2} and not fam["parse_diagnostics"]
+    rust = "fn f() {\n    let a = '{';\n    let b = r#\"}\"{\"#;\n    let c: &'static str = \"(\";\n}\nfn g() {}\n"
+    fam = extract_file("a.rs", "rust", rust)
+    assert {s["name"] for s in fam["symbols"] if s["kind"] == "function"} == {"f", "g"} and not fam["parse_diagnostics"]
