@@ -32,6 +32,7 @@ from strataloom.functions.ids import SEPARATOR
 from strataloom.operators.generics import Brackets, type_arguments
 from strataloom.operators.reports import level_families
 from strataloom.operators.spans import KIND_RANK
+from strataloom.operators.sqltext import bare, table_edges
 from strataloom.session import spread
 from strataloom.sources.languages import LANGUAGES
 
@@ -267,7 +268,7 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
         source = m.bare if kind == "import" else view
         for hit in pattern.finditer(source):
             name = (hit["name"] or "").strip().strip("\"'`<>")
-            if not name or name in KEYWORDS or (hit.start("name"), hit.end("name")) in seen:
+            if not name or (name in KEYWORDS and lang.family != "data") or (hit.start("name"), hit.end("name")) in seen:
                 continue
             start = hit.start() + len(hit[0]) - len(hit[0].lstrip())
             if kind == "import":
@@ -290,6 +291,17 @@ def find_symbols(path: str, language: str, m: Masked, lines: Lines, file_id: str
     if language == "toml":  # a table lasts until the next one
         for s, nxt in zip(tables := [s for s in out if s["kind"] == "module"], [*(t["start"] for t in tables[1:]), len(m.text)]):
             s["end"] = max(s["end"], nxt)
+    if language == "yaml":  # a key holds what is indented below it
+        opened: list[tuple[int, dict]] = []
+        ends = [(m.start() + len(m[1]), len(m[1]), None) for m in re.finditer(r"^([ \t]*)(?=[^\s#])", m.code, re.M)]
+        by_start = {s["start"]: s for s in out}
+        for at, indent, _ in [*ends, (len(m.code), -1, None)]:
+            top = indent if m.code[at : at + 3] != "---" else -1
+            while opened and opened[-1][0] >= top:
+                _, s = opened.pop()
+                s["end"] = max(s["end"], len(m.code[:at].rstrip()))
+            if at in by_start:
+                opened.append((indent, by_start[at]))
     stack: list[dict] = []
     for s in out:
         while stack and stack[-1]["end"] <= s["start"]:
@@ -502,6 +514,25 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
         if found:
             for i in imports:
                 pending(found[0]["id"], "imports", i["name"], None, i["start"], i["end"], "relative" if i["name"].startswith((".", "/")) else "external")
+    if "relationships" in keep and language == "sql":
+        tables = {bare(s["name"]): s for s in reversed(found) if s["kind"] in ("class", "table", "struct")}
+        for kind, source, target, a, b in table_edges(m.bare):
+            frm, to = tables.get(source), tables.get(target)
+            if frm and to:
+                fam["relationships"].append({"relationship_id": stable("rel", frm["id"], to["id"], kind, lines.byte(a)), "reference_site_id": site(a, b, "token"), "from_symbol_id": frm["id"], "to_symbol_id": to["id"], "file_id": file_id, "path": path, "kind": kind, **lines.span(a, b), "confidence": 0.9})
+            elif frm and kind == "references":
+                pending(frm["id"], kind, target, None, a, b)
+    if "relationships" in keep and language == "yaml":
+        anchors: dict[str, tuple[dict, int]] = {}
+        for t in re.finditer(r"^---[^\n]*$|(?<![\w&*])&([\w-]+)|(?<![\w&*])\*([\w-]+)", m.code, re.M):
+            owner = next((s for s in found if s["id"] == container(t.start())), None)
+            if t[0].startswith("---"):
+                anchors = {}
+            elif t[1] and owner:
+                anchors[t[1]] = (owner, t.start())
+            elif t[2] and owner and t[2] in anchors:
+                to = anchors[t[2]][0]
+                fam["relationships"].append({"relationship_id": stable("rel", owner["id"], to["id"], "references", lines.byte(t.start())), "reference_site_id": site(t.start(), t.end(), "token"), "from_symbol_id": owner["id"], "to_symbol_id": to["id"], "file_id": file_id, "path": path, "kind": "references", **lines.span(t.start(), t.end()), "confidence": 1.0})
     if "relationships" in keep and LANGUAGES[language].family not in ("data", "markup"):
         code = m.code
         nested: set[int] = set()

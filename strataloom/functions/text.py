@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,3 +196,73 @@ def regex_complexity(pattern: Column) -> Column:
     """Quantifiers, classes, alternations and properties count one, groups with a question mark two."""
     n = lambda p: F.regexp_count(pattern, F.lit(p))
     return n(r"(?<!\()[*+?]|\{\d") + n(r"\[") + n(r"\|") + n(r"\\p\{") + 2 * n(r"\(\?")
+
+
+def join_route(prefix: Column, template: Column) -> Column:
+    """A router's prefix and a route's template with one slash between them."""
+    slashed, rooted = F.endswith(prefix, F.lit("/")), F.startswith(template, F.lit("/"))
+    return (
+        F.when(template == "", prefix)
+        .when(slashed & rooted, F.concat(F.regexp_replace(prefix, "/+$", ""), template))
+        .when(~slashed & ~rooted, F.concat(prefix, F.lit("/"), template))
+        .otherwise(F.concat(prefix, template))
+    )
+
+
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "a": "\a", "e": "\x1b", "0": "\0"}
+_ESCAPE = r"\\(u\{([0-9A-Fa-f_]{1,8})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2})|\r?\n|[\s\S])"
+
+
+def unescape(text: str) -> str:
+    """A string's content with its escapes decoded; an unknown escape is the character itself, surrogate pairs are one."""
+
+    def one(m: re.Match) -> str:
+        code = m[2] or m[3] or m[4] or m[5]
+        if code:
+            n = int(code.replace("_", ""), 16)
+            return chr(n) if n < 0x110000 else m[0]
+        return "" if m[1] in ("\n", "\r\n") else _ESCAPES.get(m[1], m[1])
+
+    return re.sub(_ESCAPE, one, text).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def string_value(raw: Column) -> Column:
+    """The text of a quoted string literal with its escapes decoded, in Arrow batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unescape(re.sub(r"^([\"'`])([\s\S]*)\1$", r"\2", v)))
+
+    return decode(raw)
+
+
+def toml_string(raw: str) -> str | None:
+    """The text of a TOML string of any of its four kinds; None where it is none."""
+    for q, plain in (('"""', False), ("'''", True), ('"', False), ("'", True)):
+        if len(raw) >= 2 * len(q) and raw.startswith(q) and raw.endswith(q):
+            inner = raw[len(q) : -len(q)]
+            if len(q) == 3:
+                inner = re.sub(r"\A\r?\n", "", inner)
+            return inner if plain else unescape(re.sub(r"\\[ \t]*\r?\n\s*", "", inner))
+    return None
+
+
+def yaml_scalar(raw: str) -> str:
+    """The text of a YAML scalar by its style, line breaks folded to blanks."""
+    raw = raw.strip()
+    if len(raw) > 1 and raw[0] == raw[-1] == '"':
+        text = unescape(raw[1:-1])
+    elif len(raw) > 1 and raw[0] == raw[-1] == "'":
+        text = raw[1:-1].replace("''", "'")
+    else:
+        text = raw
+    return " ".join(line.strip() for line in text.split("\n")) if "\n" in text else text
+
+
+def folded_pattern(pattern: str) -> str:
+    """A regular expression on one line; in verbose mode (a first line of flags with x) without its comments."""
+    lines = pattern.splitlines()
+    first = next((line.strip() for line in lines if line.strip()), "")
+    if re.fullmatch(r"\(\?[a-z]*x[a-z]*(?:-[a-z]+)?\)", first):
+        lines = [re.sub(r"(?<!\\)#.*$", "", re.sub(r"\[(?:\\.|[^\]])*\]", lambda m: m[0].replace("#", "\0"), line)).replace("\0", "#") for line in lines]
+    return "".join(line.strip() for line in lines)

@@ -68,3 +68,27 @@ def sync_snapshot(current: DataFrame, wanted: DataFrame, keys: list[str]) -> Dat
         F.when(F.col("__new").isNull(), "delete").when(F.col("__cur").isNull(), "insert").when(same, "keep").otherwise("update")
     )
     return cur.join(new, keys, "full").select(*keys, *values, action.alias("action"))
+
+
+def rekey(tables: dict[str, DataFrame], table: str, key: str, new_id: Column, references: list[tuple[str, str]]) -> dict[str, DataFrame]:
+    """New ids for a table's rows, and every reference to them rewritten through the map of old to new ids.
+
+    ``references`` are (table, column), the table itself among them where it refers to itself. A reference to an
+    unknown id stays as it is.
+    """
+    ids = tables[table].select(F.col(key).alias("__old"), new_id.alias("__new")).groupBy("__old").agg(F.min("__new").alias("__new"))
+    out = dict(tables)
+    for t, c in [(table, key), *references]:
+        cols = out[t].columns
+        out[t] = out[t].join(ids, out[t][c] == ids["__old"], "left").withColumn(c, F.coalesce("__new", F.col(c))).select(*cols)
+    return out
+
+
+def merge_first(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Existing rows, with incoming ones of new keys; and the incoming ones that disagree with an existing row."""
+    known = existing.select(key)
+    merged = existing.unionByName(incoming.join(known, key, "left_anti").select(*existing.columns))
+    values = [c for c in existing.columns if c != key]
+    old = existing.select(key, F.struct(*values).alias("__e"))
+    odd = incoming.join(old, key).where(~F.struct(*values).eqNullSafe(F.col("__e"))).select(*existing.columns)
+    return merged, odd

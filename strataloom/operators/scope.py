@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.hierarchy import resolve
@@ -64,3 +64,57 @@ def unique_names(symbols: DataFrame, *by: str) -> DataFrame:
         symbols.select(*by, "name", "symbol_id").distinct().groupBy(*by, "name")
         .agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
     )
+
+
+#: What a constructor call or a macro call may name, and what a call on the own object may.
+CONSTRUCTABLE = ("class", "struct", "enum", "union", "type", "constructor")
+CALLABLE = ("function", "method", "constructor", "import")
+
+
+def resolve_constructable(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``resolve_nearest`` for what can be constructed."""
+    return resolve_nearest(references, symbols, CONSTRUCTABLE)
+
+
+def resolve_self_receiver(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """A call on the own object: the callable of that name in the type around the caller.
+
+    ``reference_id, outcome, target_id``: resolved where exactly one is there, ambiguous where several are, else missing.
+    """
+    owner = enclosing_types(symbols).select(F.col("symbol_id").alias("caller_id"), "type_id")
+    one = symbols.groupBy("symbol_id").agg(F.min("name").alias("name"), F.min("kind").alias("kind"), F.min("parent_symbol_id").alias("type_id"))
+    inside = one.where(F.col("kind").isin(*CALLABLE) & F.col("type_id").isNotNull()).groupBy("type_id", "name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("target"))
+    hit = references.select("reference_id", "caller_id", "name").join(owner, "caller_id", "left").join(inside, ["type_id", "name"], "left")
+    return hit.select(
+        "reference_id", F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("outcome"),
+        F.when(F.col("n") == 1, F.col("target")).alias("target_id"),
+    )
+
+
+def resolve_preceding(references: DataFrame, symbols: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A macro call: of the declarations of that name before the call, in a scope of the caller, the nearest; of several
+    there the latest. ``references`` also has at_byte. ``reference_id, target_id`` (null without one)."""
+    chain = scope_chains(symbols).select(F.col("symbol_id").alias("caller_id"), "scope_id", "distance")
+    calls = references.select("reference_id", "file_id", "caller_id", "name", "at_byte")
+    seen = calls.join(chain, "caller_id").drop("caller_id")
+    top = calls.drop("caller_id").select("*", F.lit("").alias("scope_id"), F.lit(1 << 40).alias("distance"))
+    one = symbols.where(F.col("kind").isin(*kinds)).groupBy("symbol_id").agg(
+        F.min("file_id").alias("file_id"), F.min("name").alias("name"), F.min("start_byte").alias("start_byte"), F.min(F.coalesce("parent_symbol_id", F.lit(""))).alias("scope_id")
+    )
+    hits = seen.unionByName(top.select(*seen.columns)).join(one, ["file_id", "name", "scope_id"]).where("start_byte <= at_byte")
+    best = hits.groupBy("reference_id").agg(F.min(F.struct("distance", (-F.col("start_byte")).alias("back"), "symbol_id")).alias("b"))
+    return references.select("reference_id").join(best, "reference_id", "left").select("reference_id", F.col("b.symbol_id").alias("target_id"))
+
+
+def retain(symbols: DataFrame, keep: Column) -> DataFrame:
+    """The kept symbols, each below its nearest kept ancestor: ``symbol_id, parent_symbol_id`` (null without one).
+
+    Symbols in or below a cycle of parents keep no parent.
+    """
+    one = symbols.select("symbol_id", "parent_symbol_id", "file_id", keep.alias("kept")).groupBy("symbol_id").agg(
+        F.min("parent_symbol_id").alias("parent_symbol_id"), F.min("file_id").alias("file_id"), F.max("kept").alias("kept")
+    )
+    kept = one.where("kept").select("symbol_id")
+    up = scope_chains(one).where("distance > 0").join(kept.withColumnRenamed("symbol_id", "scope_id"), "scope_id")
+    near = up.groupBy("symbol_id").agg(F.min(F.struct("distance", "scope_id")).alias("n"))
+    return kept.join(near, "symbol_id", "left").select("symbol_id", F.col("n.scope_id").alias("parent_symbol_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import ids, text
-from strataloom.operators import generics, integrity, outline, reports, scope, spans
+from strataloom.operators import audit, generics, integrity, outline, reports, scope, spans
 from strataloom.session import table
 from strataloom.sources.languages import LANGUAGES, detect
 
@@ -632,3 +632,116 @@ SELECT n_name, o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2)
 def consumer_star(s, d):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return o.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# ---------------------------------------------------------------- re-homing, rekeying, audits
+
+_ONE = "SELECT symbol_id, min(parent_symbol_id) AS parent, min(kind) AS kind FROM symbols GROUP BY 1"
+
+
+@query(f"""
+WITH RECURSIVE n AS ({_ONE}), good AS (
+  SELECT symbol_id, parent, kind, CAST(NULL AS VARCHAR) AS near FROM n WHERE parent IS NULL OR parent NOT IN (SELECT symbol_id FROM n)
+  UNION ALL SELECT n.symbol_id, n.parent, n.kind, CASE WHEN g.kind IN ('class', 'trait', 'interface') THEN g.near ELSE g.symbol_id END FROM n JOIN good g ON n.parent = g.symbol_id)
+SELECT n.symbol_id, g.near AS parent_symbol_id FROM n LEFT JOIN good g USING (symbol_id) WHERE n.kind NOT IN ('class', 'trait', 'interface')""")
+def symbols_rehomed(s, d):
+    """Symbols without classes, traits and interfaces, each below its nearest kept ancestor."""
+    return scope.retain(_symbols(s, d, "symbol_id", "parent_symbol_id", "file_id", "kind"), ~F.col("kind").isin("class", "trait", "interface"))
+
+
+@query("""
+WITH s AS (SELECT DISTINCT symbol_id, parent_symbol_id, file_id FROM symbols), m AS (SELECT symbol_id AS old, min(md5(symbol_id || file_id)) AS new FROM s GROUP BY 1)
+SELECT a.new AS symbol_id, coalesce(b.new, s.parent_symbol_id) AS parent_symbol_id FROM s JOIN m a ON a.old = s.symbol_id LEFT JOIN m b ON b.old = s.parent_symbol_id""")
+def symbols_rekeyed(s, d):
+    """New symbol ids, and the parents rewritten through the map of old to new ids."""
+    t = {"symbols": _symbols(s, d, "symbol_id", "parent_symbol_id", "file_id")}
+    new = F.md5(F.concat("symbol_id", "file_id"))
+    return integrity.rekey(t, "symbols", "symbol_id", new, [("symbols", "parent_symbol_id")])["symbols"].select("symbol_id", "parent_symbol_id")
+
+
+@query("""
+WITH f AS (SELECT file_id, max(content) AS content FROM file_snapshots GROUP BY 1), s AS (SELECT DISTINCT symbol_id, file_id, name, start_byte, end_byte FROM symbols)
+SELECT symbol_id, CASE WHEN f.content IS NULL THEN 'no_file' WHEN start_byte < 0 OR end_byte < start_byte OR end_byte > strlen(f.content) THEN 'outside'
+  WHEN position(s.name IN decode(encode(f.content)[start_byte + 1 : end_byte])) > 0 THEN 'holds' ELSE 'differs' END AS verdict FROM s LEFT JOIN f USING (file_id)""")
+def span_matches(s, d):
+    """Whether the bytes of each symbol's span hold its name."""
+    one = table(s, d, "file_snapshots").groupBy("file_id").agg(F.max("content").alias("content"))
+    return audit.span_check(_symbols(s, d, "symbol_id", "file_id", "name", "start_byte", "end_byte"), one, "name").select("symbol_id", "verdict")
+
+
+@query("""
+SELECT source_path AS path, 'missing' AS side FROM (SELECT DISTINCT source_path FROM coverage_samples) WHERE source_path NOT IN (SELECT path FROM files)
+UNION ALL SELECT path, 'unlisted' FROM (SELECT DISTINCT path FROM files) WHERE path NOT IN (SELECT source_path FROM coverage_samples WHERE source_path IS NOT NULL)""")
+def registry_reconciled(s, d):
+    """Samples without a file, and files without a sample."""
+    return audit.reconcile(table(s, d, "coverage_samples").select(F.col("source_path").alias("path")), table(s, d, "files"), "path")
+
+
+_CLAIMS = "SELECT language, unnest(expected_domains) AS domain, CASE WHEN expected_parse_diagnostics IS NULL THEN 'unknown' WHEN expected_parse_diagnostics = 0 THEN 'clean' ELSE 'damaged' END AS bucket FROM coverage_samples"
+
+
+def _claims(s, d):
+    n = F.col("expected_parse_diagnostics")
+    return table(s, d, "coverage_samples").select("language", F.explode("expected_domains").alias("domain"), F.when(n.isNull(), "unknown").when(n == 0, "clean").otherwise("damaged").alias("bucket"))
+
+
+@query(f"SELECT language, domain, array_to_string(list_sort(list(DISTINCT bucket)), ',') AS buckets FROM ({_CLAIMS}) GROUP BY 1, 2 HAVING count(DISTINCT bucket) <> 1")
+def claim_conflicts(s, d):
+    """Languages and domains that samples put into more than one bucket."""
+    return audit.claim_conflicts(_claims(s, d), ["language", "domain"], "bucket").withColumn("buckets", F.array_join("buckets", ","))
+
+
+@query(f"""SELECT domain, {", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT language) FILTER (WHERE bucket = '{b}')), ','), '') AS {b}" for b in ("clean", "damaged", "unknown"))} FROM ({_CLAIMS}) GROUP BY 1""")
+def applicability_view(s, d):
+    """The languages of every domain by bucket."""
+    out = audit.by_bucket(_claims(s, d), "domain", "bucket", "language", ["clean", "damaged", "unknown"])
+    return out.select("domain", *[F.array_join(b, ",").alias(b) for b in ("clean", "damaged", "unknown")])
+
+
+@query("SELECT language, count(*) AS cells, count(*) - count(expected_parse_diagnostics) AS open FROM coverage_samples GROUP BY 1")
+def open_gaps(s, d):
+    """Samples whose diagnostics nobody has counted, by language."""
+    return audit.open_gaps(table(s, d, "coverage_samples"), "language", "expected_parse_diagnostics")
+
+
+@query("""
+WITH a AS (SELECT file_id, language, content_bytes FROM files), b AS (SELECT file_id, max(language) AS language, max(content_bytes) AS content_bytes FROM file_snapshots GROUP BY 1)
+SELECT file_id, '*' AS "column" FROM a FULL JOIN b USING (file_id) WHERE a.language IS NULL OR b.language IS NULL
+UNION ALL SELECT file_id, 'language' FROM a JOIN b USING (file_id) WHERE a.language IS DISTINCT FROM b.language
+UNION ALL SELECT file_id, 'content_bytes' FROM a JOIN b USING (file_id) WHERE a.content_bytes IS DISTINCT FROM b.content_bytes""")
+def receipts_compared(s, d):
+    """Where the recorded files and their snapshots differ in language or size."""
+    a = table(s, d, "files").select("file_id", "language", "content_bytes", "indexed_at")
+    b = table(s, d, "file_snapshots").groupBy("file_id").agg(F.max("language").alias("language"), F.max("content_bytes").alias("content_bytes"))
+    return audit.receipts_differ(a, b, "file_id", identity=("indexed_at",))
+
+
+@query("""
+SELECT 'binary_version' AS "column", count(DISTINCT coalesce(binary_version, '?')) AS "values", count(DISTINCT coalesce(binary_version, '?')) <= 1 AS stable FROM extraction_revisions
+UNION ALL SELECT 'sqlite_schema_version', count(DISTINCT coalesce(CAST(sqlite_schema_version AS VARCHAR), '?')), count(DISTINCT coalesce(CAST(sqlite_schema_version AS VARCHAR), '?')) <= 1 FROM extraction_revisions""")
+def evidence_stable(s, d):
+    """Whether all revisions agree on their versions."""
+    return audit.stable_evidence(table(s, d, "extraction_revisions"), ["binary_version", "sqlite_schema_version"])
+
+
+@query("""
+WITH l AS (SELECT DISTINCT content FROM file_snapshots WHERE language = 'json' AND json_valid(content)), r AS (SELECT DISTINCT unnest(regexp_extract_all(content, '"(?:[^"\\\\]|\\\\.)*"', 0)) AS raw FROM l)
+SELECT raw, json_extract_string(raw, '$') AS value FROM r""")
+def string_values(s, d):
+    """The distinct string literals of JSON texts that parse, decoded."""
+    good = table(s, d, "file_snapshots").where("language = 'json' and try_parse_json(content) is not null").select("content").distinct()
+    raw = good.select(F.explode(F.regexp_extract_all("content", F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))).alias("raw")).distinct()
+    return raw.select("raw", text.string_value(F.col("raw")).alias("value"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT '/' || split_part(path, '/', 1) || CASE WHEN length(path) % 2 = 0 THEN '/' ELSE '' END AS prefix, CASE WHEN length(path) % 3 = 0 THEN '/' ELSE '' END || split_part(path, '/', 2) AS route FROM files)
+SELECT prefix, route, CASE WHEN route = '' THEN prefix ELSE rtrim(prefix, '/') || '/' || ltrim(route, '/') END AS joined FROM p""")
+def route_prefixes(s, d):
+    """Router prefixes and route templates (here from paths, with and without slashes) joined."""
+    n = F.length("path")
+    p = table(s, d, "files").select(
+        F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(1)), F.when(n % 2 == 0, "/").otherwise("")).alias("prefix"),
+        F.concat(F.when(n % 3 == 0, "/").otherwise(""), F.split_part("path", F.lit("/"), F.lit(2))).alias("route"),
+    ).distinct()
+    return p.withColumn("joined", text.join_route(F.col("prefix"), F.col("route")))
