@@ -20,7 +20,7 @@ def _script() -> list[tuple[str, str]]:
         ("function", rf"^[ \t]*{_MODS}function\s*\*?\s*(?P<name>{_ID})\s*(?:<[^(]*>)?(?P<params>\([^)]*\))(?:\s*:\s*(?P<type>[^{{;]+))?"),
         ("function", rf"^[ \t]*{_MODS}(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?P<params>\([^)]*\)|{_ID})\s*(?::[^=]+)?=>)"),
         ("method", rf"^[ \t]+{_MODS}(?:get\s+|set\s+|\*\s*)?(?P<name>#?{_ID})\s*(?:<[^(]*>)?(?P<params>\([^)]*\))(?:\s*:\s*(?P<type>[^{{;]+))?\s*\{{"),
-        ("signature", rf"^[ \t]+{_MODS}(?P<name>{_ID})\??\s*(?:<[^(]*>)?(?P<params>\([^)]*\))(?:\s*:\s*(?P<type>[^{{;\n]+))?;?[ \t]*$"),
+        ("signature", rf"^[ \t]+{_MODS}(?P<name>{_ID})\??\s*(?:<[^(]*>)?(?P<params>\([^)]*\))(?:\s*:\s*(?P<type>[^{{;\n]+))?;?[ \t\r]*$"),
         ("constant", rf"^{_MODS}const\s+(?P<name>{_ID})\s*(?::\s*(?P<type>[^=]+))?=\s*(?!\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>))"),
         ("variable", rf"^{_MODS}(?:let|var)\s+(?P<name>{_ID})\s*(?::\s*(?P<type>[^=;]+))?"),
         ("import", r"^[ \t]*import\s+[^;\n]*?from\s*(?P<name>[\"'][^\"']*[\"'])"),
@@ -50,7 +50,7 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
         ("module", r"^package\s+(?P<name>\w+)"), ("import", r"^\s*(?:import\s+)?(?:\w+\s+)?(?P<name>\"[^\"]*\")\s*$"),
         ("function", r"^func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?(?P<params>\([^)]*\))\s*(?P<type>[^{\n]*)"),
         ("method", r"^func\s+\((?:\w+\s+)?\*?(?P<sup>\w+)[^)]*\)\s*(?P<name>\w+)\s*(?P<params>\([^)]*\))\s*(?P<type>[^{\n]*)"),
-        ("signature", r"^[ \t]+(?P<name>[\p{L}_]\w*)(?P<params>\([^)]*\))[ \t]*(?P<type>[\w*.\[\] (),]*)$"),
+        ("signature", r"^[ \t]+(?P<name>[\p{L}_]\w*)(?P<params>\([^)]*\))[ \t]*(?P<type>[\w*.\[\] (),]*)\r?$"),
         ("struct", r"^[ \t]*(?:type\s+)?(?P<name>\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^[ \t]*(?:type\s+)?(?P<name>\w+)(?:\[[^\]]*\])?\s+interface\b"),
         ("type", r"^type\s+(?P<name>\w+)\s+(?!struct\b|interface\b)(?P<type>[^\n]+)"), ("constant", r"^const\s+(?P<name>\w+)"), ("variable", r"^var\s+(?P<name>\w+)"),
     ],
@@ -96,7 +96,7 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
     "toml": [("module", r"^[ \t]*\[{1,2}\s*(?P<name>[^\]\n]+?)\s*\]{1,2}"), ("property", r"^[ \t]*(?P<name>[\w.\"'-]+)\s*=")],
     "yaml": [("property", r"^[ \t]*(?:-\s+)?(?P<name>[\w.$/\"'-]+)\s*:(?=\s|$)")],
     "json": [("property", r"(?P<name>\"(?:[^\"\\\n]|\\.)*\")\s*:")],
-    "markdown": [("module", r"^ {0,3}#{1,6}[ \t]+(?P<name>[^\n]+?)[ \t#]*$")],
+    "markdown": [("module", r"^ {0,3}#{1,6}[ \t]+(?P<name>[^\n]+?)[ \t\r#]*$")],
     "xml": [("class", r"<(?P<name>[A-Za-z_][\w:.-]*)(?:\s[^<>]*)?/?>")],
     "html": [("class", r"<(?P<name>[A-Za-z][\w-]*)(?:\s[^<>]*)?>")],
     "regex": [("variable", r"\(\?P?<(?P<name>[A-Za-z_]\w*)>")],

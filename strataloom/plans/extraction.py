@@ -145,6 +145,56 @@ WITH l AS (SELECT DISTINCT file_id, content FROM file_snapshots WHERE language =
 SELECT file_id, len(regexp_extract_all(content, '(?m)^func\s+(\([^)]*\)\s*)?[\p{L}_]\w*\s*\(', 0)) AS functions FROM l WHERE len(regexp_extract_all(content, '(?m)^func\s+(\([^)]*\)\s*)?[\p{L}_]\w*\s*\(', 0)) > 0"""
 
 
+def extracted_callables(s: SparkSession, d: str) -> DataFrame:
+    """The given functions and methods that the extractor finds, at their place and under their name: all of them."""
+    kinds = "kind in ('function', 'method')"
+    mine = family(extract(_files(s, d), "symbols"), "symbols").where(kinds).select("file_id", "name", "start_byte").distinct()
+    return table(s, d, "symbols").where(kinds).select("file_id", "name", "start_byte").distinct().join(mine, ["file_id", "name", "start_byte"])
+
+
+ORACLE["extracted_callables"] = "SELECT DISTINCT file_id, name, start_byte FROM symbols WHERE kind IN ('function', 'method')"
+
+
+def extracted_constants(s: SparkSession, d: str) -> DataFrame:
+    """The given constants and properties (JSON's of files that parse) that the extractor finds with the same span: all of them."""
+    broken = table(s, d, "file_snapshots").where("language = 'json' and try_parse_json(content) is null").select("file_id")
+    mine = family(extract(_files(s, d), "symbols"), "symbols").select("file_id", "kind", "start_byte", "end_byte").distinct()
+    return table(s, d, "symbols").where("kind in ('constant', 'property')").select("file_id", "kind", "start_byte", "end_byte").distinct().join(broken, "file_id", "left_anti").join(mine, ["file_id", "kind", "start_byte", "end_byte"])
+
+
+ORACLE["extracted_constants"] = "SELECT DISTINCT file_id, kind, start_byte, end_byte FROM symbols WHERE kind IN ('constant', 'property') AND file_id NOT IN (SELECT file_id FROM file_snapshots WHERE language = 'json' AND NOT json_valid(content))"
+
+
+def file_metrics(s: SparkSession, d: str) -> DataFrame:
+    """The extent that each file's complexity covers."""
+    m = family(extract(_files(s, d), "full"), "complexity_metrics")
+    return m.where("scope = 'file'").select("file_id", "covered_bytes", "start_byte", "end_byte", "start_line")
+
+
+ORACLE["file_metrics"] = "SELECT DISTINCT file_id, CAST(strlen(content) AS BIGINT) AS covered_bytes, CAST(0 AS BIGINT) AS start_byte, CAST(strlen(content) AS BIGINT) AS end_byte, CAST(1 AS BIGINT) AS start_line FROM file_snapshots"
+
+
+def json_diagnostics(s: SparkSession, d: str) -> DataFrame:
+    """JSON files with a parse diagnostic."""
+    got = family(extract(_files(s, d).where("language = 'json'"), "symbols"), "parse_diagnostics")
+    return got.select("file_id", "kind").distinct()
+
+
+ORACLE["json_diagnostics"] = "SELECT DISTINCT file_id, 'error' AS kind FROM file_snapshots WHERE language = 'json' AND NOT json_valid(content)"
+
+
+def json_string_regions(s: SparkSession, d: str) -> DataFrame:
+    """String regions of the JSON files that parse: their number and bytes."""
+    got = extract(_files(s, d).where("language = 'json'"), "full").where(F.size("parse_diagnostics") == 0)
+    r = family(got, "source_regions").where("kind = 'string_literal'")
+    return r.groupBy("file_id").agg(F.count("*").alias("regions"), F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"))
+
+
+ORACLE["json_string_regions"] = r"""
+WITH l AS (SELECT DISTINCT file_id, content FROM file_snapshots WHERE language = 'json' AND json_valid(content)), x AS (SELECT file_id, unnest(regexp_extract_all(content, '"(?:[^"\\]|\\.)*"', 0)) AS t FROM l)
+SELECT file_id, count(*) AS regions, CAST(sum(strlen(t)) AS BIGINT) AS bytes FROM x GROUP BY 1"""
+
+
 def pattern_registry(s: SparkSession, d: str) -> DataFrame:
     """The registered fact patterns, sorted by id."""
     rows = [(p.id, ",".join(p.languages), p.family, p.node) for p in PATTERNS] + [("code.marker.v1", "*", "marker", "comment"), ("nextjs.file_route.v1", "javascript,jsx,typescript,tsx", "framework", "program"), ("nuxt.file_route.v1", "vue,javascript,jsx,typescript,tsx", "framework", "program")]
@@ -174,5 +224,5 @@ def dangling_parents(s: SparkSession, d: str) -> DataFrame:
 
 ORACLE["dangling_parents"] = "SELECT DISTINCT symbol_id, parent_symbol_id FROM symbols WHERE parent_symbol_id IS NOT NULL AND parent_symbol_id NOT IN (SELECT symbol_id FROM symbols)"
 
-for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, json_literals, go_functions, pattern_registry, unchanged_files, dangling_parents):
+for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, json_literals, extracted_callables, extracted_constants, file_metrics, json_diagnostics, json_string_regions, go_functions, pattern_registry, unchanged_files, dangling_parents):
     QUERIES[_q.__name__] = _q
