@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from strataloom import __version__
 from strataloom.artifact.schema import CONTRACT, FAMILIES, TABLES, VERSION
-from strataloom.artifact.store import OWNER, WRITTEN, ArtifactError, Store, enforce
+from strataloom.artifact.store import OWNER, WRITTEN, ArtifactError, Store
 from strataloom.extract.declarations import DECLARATIONS
 from strataloom.extract.engine import extract, extract_file, family
 from strataloom.extract.patterns import PATTERNS
 from strataloom.functions.ids import fingerprint, stable_id
 from strataloom.operators.ledger import WorkLedger
-from strataloom.operators.reports import LEVELS, attribution, preserve_failed, revision_diff, table_totals, top_files
-from strataloom.session import cut
+from strataloom.operators.reports import LEVELS, attribution, revision_diff, table_totals, top_files
+from strataloom.session import cut, remove, staged
 from strataloom.sources.languages import LANGUAGES
 from strataloom.sources.snapshot import SIZE_LIMIT, list_tree, read_listed, read_paths, snapshots, split_known
 
@@ -44,8 +44,9 @@ def producer() -> str:
 class Engine:
     """One artifact of one root."""
 
-    def __init__(self, spark: SparkSession, base: str, root: str = ""):
-        self.spark, self.store, self.root = spark, Store(spark, base), root.rstrip("/")
+    def __init__(self, spark: SparkSession, base: str, root: str = "", progress: Callable[[dict], None] | None = None):
+        """``progress`` gets a record at every phase of a verb: discover, extract, commit, done."""
+        self.spark, self.store, self.root, self.progress = spark, Store(spark, base), root.rstrip("/"), progress
 
     # -- writing
 
@@ -66,9 +67,14 @@ class Engine:
                 raise ArtifactError("level_conflict", f"built at level {meta['index_level']}")
         if source is not None:
             return self._apply(cut(snapshots(source)), level, version, "scan", whole=True, force=force)
+        self._tell("discover", "scan")
         listed = cut(list_tree(self.spark, self.root))
         old = self.store.read("files", version) if version and not force else None
         fresh, same = split_known(listed, old)
+        if old is not None:
+            fresh, same = cut(fresh), cut(same)
+            if fresh.isEmpty() and same.count() == old.count():
+                return {"status": "no_change", "revision_id": None, "changes": {}}
         raw = read_listed(self.spark, self.root, fresh)
         return self._apply(cut(snapshots(raw)), level, version, "scan", whole=True, force=force, same=same)
 
@@ -116,23 +122,25 @@ class Engine:
         current = new.join(touched, "file_id", "left_semi")
         # files that cannot be read keep their old rows, if they have any
         kept = cut(current.where("status = 'failed_preserved'").select("file_id").join(old.select("file_id"), "file_id", "left_semi"))
-        got = cut(extract(current.where("status = 'indexed' and not too_large"), level))
-        fresh = enforce({f: family(got, f, OWNER) for f in FAMILIES})
-        fresh["parse_diagnostics"] = fresh["parse_diagnostics"].unionByName(self._skipped(current), allowMissingColumns=True)
+        self._tell("extract", operation, files=sum(n.values()))
+        got, place = staged(extract(current.where("status = 'indexed' and not too_large"), level), "extracted")
+        fresh = {f: family(got, f, OWNER) for f in FAMILIES}
+        fresh["parse_diagnostics"] = fresh["parse_diagnostics"].unionByName(self._warnings(current), allowMissingColumns=True)
         row = current.select(
             "file_id", "path", "language", "content_hash", "content_bytes", "line_count", F.lit(_now()).alias("indexed_at"), F.lit(revision).cast("long").alias("last_revision_id"), "status",
             F.when(F.col("modified").isNotNull(), F.to_json(F.struct("modified"))).alias("metadata_json"),
         )
-        marked = old.join(kept, "file_id", "left_semi").withColumn("status", F.lit("failed_preserved"))
-        files = preserve_failed(marked, row, kept)
-        tables = fresh | {"files": files.withColumn(OWNER, F.col("file_id"))}
+        tables = fresh | {"files": row.withColumn(OWNER, F.col("file_id"))}
         tables = {f: t.withColumn(WRITTEN, F.lit(revision).cast("long")) for f, t in tables.items()}
         meta = self.store.manifest(version)["metadata"] if version else self._metadata(level)
         if force:
             meta = meta | {"index_level": level, "producer": producer()}
         known = diff.where("known").select("file_id")
         dead = self._dead(known, known.join(kept, "file_id", "left_anti"), revision) if version else None
+        if dead is not None:  # of a file that keeps its rows only the diagnostics are replaced
+            dead = dead.unionByName(kept.select("file_id", F.lit(revision).cast("long").alias("before"), F.lit("diagnostics").alias("what")))
         out = self._commit(tables, diff.select("file_id", "change_kind", "path"), dead, version, operation, meta, got)
+        remove(self.spark, place)
         if operation == "update":
             kind = next(iter(n), None)
             out["status"] = "failed" if not kept.isEmpty() or not current.where("status = 'failed_preserved'").isEmpty() else "unsupported" if kind == "unsupported" else "changed"
@@ -145,14 +153,22 @@ class Engine:
         return one(files, "file").unionByName(one(rows, "rows"))
 
     @staticmethod
-    def _skipped(current: DataFrame) -> DataFrame:
-        """A warning for each file that is too large to be extracted."""
+    def _warnings(current: DataFrame) -> DataFrame:
+        """A diagnostic for each file that is too large to be extracted or cannot be read."""
         zero = [F.lit(0).cast("long").alias(c) for c in ("start_line", "start_column", "end_line", "end_column", "start_byte", "end_byte")]
-        return current.where("status = 'indexed' and too_large").select(
-            F.col("file_id").alias(OWNER), stable_id("diagnostic", F.col("path"), F.lit("slow_file_skipped")).alias("diagnostic_id"), "file_id", "path", "language",
-            F.lit("slow_file_skipped").alias("kind"), F.lit(f"source file exceeds the {SIZE_LIMIT}-byte extraction limit and was skipped").alias("message"), *zero,
+        failed = F.col("status") == "failed_preserved"
+        kind = F.when(failed, "read_failed").otherwise("slow_file_skipped")
+        large = F.lit(f"source file exceeds the {SIZE_LIMIT}-byte extraction limit and was skipped")
+        return current.where(failed | ((F.col("status") == "indexed") & F.col("too_large"))).select(
+            F.col("file_id").alias(OWNER), stable_id("diagnostic", F.col("path"), kind).alias("diagnostic_id"), "file_id", "path", "language", kind.alias("kind"),
+            F.when(failed, F.concat(F.lit("content cannot be decoded: "), "decode_status")).otherwise(large).alias("message"), *zero,
         )
 
+    def _tell(self, phase: str, operation: str, **facts: object) -> None:
+        """A progress record to whoever listens."""
+        if self.progress:
+            self.progress({"phase": phase, "operation": operation, "at": _now(), **facts})
+
     def _revision(self, version: int) -> int:
         return int(self.store.manifest(version)["metadata"].get("revision", 0)) if version else 0
 
@@ -165,6 +181,7 @@ class Engine:
     def _commit(self, tables: dict, changes: DataFrame, dead: DataFrame | None, version: int, operation: str, meta: dict, got: DataFrame | None = None) -> dict:
         """One revision: the new rows, the journal, and the counts of what was extracted by family."""
         began, started = time.time(), _now()
+        self._tell("commit", operation)
         revision = int(meta.get("revision", 0)) + 1
         counts: dict = {}
         if got is not None:
@@ -178,6 +195,7 @@ class Engine:
             meta, version, add=tables | {"revision_file_changes": journal, "extraction_revisions": self.spark.createDataFrame(log, TABLES["extraction_revisions"])},
             replace=mirrored | {"artifact_metadata": self._metadata_rows(meta)}, dead=dead,
         )
+        self._tell("done", operation, revision_id=revision, counts=counts)
         return {"status": "changed", "revision_id": revision, "version": done, "counts": counts, "seconds": round(time.time() - began, 3)}
 
     def _capabilities(self) -> dict[str, DataFrame]:

@@ -88,8 +88,8 @@ class Store:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(*[f"{self.base}/{p}" for p in parts])
         if table in OWNED and m["dead"]:
-            what = "file" if table == "files" else "rows"
-            gone = self.spark.read.schema(DEAD).parquet(*[f"{self.base}/{p}" for p in m["dead"]]).where(F.col("what") == what)
+            what = ["file"] if table == "files" else ["rows", "diagnostics"] if table == "parse_diagnostics" else ["rows"]
+            gone = self.spark.read.schema(DEAD).parquet(*[f"{self.base}/{p}" for p in m["dead"]]).where(F.col("what").isin(*what))
             gone = gone.groupBy("file_id").agg(F.max("before").alias("before"))
             gone = F.broadcast(gone) if m["n_dead"] <= SENT else gone.hint("merge")
             rows = rows.join(gone, (rows[OWNER] == gone["file_id"]) & (rows[WRITTEN] < gone["before"]), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.artifact.schema import FAMILIES, TABLES
+from strataloom.artifact.schema import FAMILIES, FOREIGN_KEYS, TABLES
 from strataloom.extract import embedded
 from strataloom.extract import patterns as P
 from strataloom.extract.comments import markers
@@ -355,6 +355,22 @@ def json_records(text: str) -> Iterator[tuple[str, Lines]]:
         base += (len(chunk) if chunk.isascii() else len(chunk.encode("utf-8", "surrogatepass"))) + 1
 
 
+def sound(fam: dict[str, list[dict]]) -> dict[str, list[dict]]:
+    """One file's rows with all foreign keys enforced: they never leave the file."""
+    for child, column, parent, key, policy in FOREIGN_KEYS:
+        if not fam[child]:
+            continue
+        known = {r[key] for r in fam[parent]}
+        if policy == "drop":
+            if any(r[column] not in known for r in fam[child]):
+                fam[child] = [r for r in fam[child] if r[column] in known]
+        else:
+            for r in fam[child]:
+                if r.get(column) is not None and r[column] not in known:
+                    r[column] = None
+    return fam
+
+
 def extract_file(
     path: str, language: str, text: str, file_id: str | None = None, level: str = "full", policies: dict[str, Policy] | None = None
 ) -> dict[str, list[dict]]:
@@ -675,7 +691,8 @@ def extract(snapshots: DataFrame, level: str = "full", text: str = "text", polic
     """One row a file: ``file_id`` and an array for each row family.
 
     ``snapshots`` has file_id, path, language and the text column; rows without file_id, text or known language give empty
-    arrays. A file whose extraction fails gives one diagnostic (kind ``failed``) instead of failing the job.
+    arrays. A file whose extraction fails gives one diagnostic (kind ``failed``) instead of failing the job. Foreign
+    keys are enforced within the file.
     """
     known = spread(snapshots.where("file_id is not null").select("file_id", "path", "language", F.col(text).alias("text")))
 
@@ -690,7 +707,7 @@ def extract(snapshots: DataFrame, level: str = "full", text: str = "text", polic
                 rows = []
                 for r in b.slice(at, 64).to_pylist():
                     try:
-                        fam = extract_file(r["path"] or "", r["language"], r["text"], r["file_id"], level, policies) if r["text"] is not None else {}
+                        fam = sound(extract_file(r["path"] or "", r["language"], r["text"], r["file_id"], level, policies)) if r["text"] is not None else {}
                     except Exception as e:  # noqa: BLE001 - one file must not fail the others
                         zero = dict.fromkeys(("start_line", "start_column", "end_line", "end_column", "start_byte", "end_byte"), 0)
                         fam = {"parse_diagnostics": [{"diagnostic_id": stable("diagnostic", r["path"], "failed"), "file_id": r["file_id"], "path": r["path"], "language": r["language"], "kind": "failed", "message": f"{type(e).__name__}: {e}"[:500], **zero}]}

@@ -55,7 +55,8 @@ def engine_scan(s, d):
 
 
 @query(f"""{_LATEST}, n AS (SELECT path, language, CASE WHEN language = 'python' THEN content || chr(10) || '# end' || chr(10) ELSE content END AS content FROM f WHERE language <> 'go')
-SELECT path, language, {_ROW}, CASE WHEN language = 'toml' THEN 'failed_preserved' ELSE 'indexed' END AS status, CASE WHEN language = 'python' THEN 2 ELSE 1 END AS last_revision_id FROM n""")
+SELECT path, language, 'sha256:' || CASE WHEN language = 'toml' THEN sha256('\\xFF\\xFF\\xFF'::BLOB) ELSE sha256(content) END AS content_hash, CASE WHEN language = 'toml' THEN 3 ELSE CAST(strlen(content) AS BIGINT) END AS content_bytes,
+  CASE WHEN language <> 'toml' THEN {_LINES} END AS line_count, CASE WHEN language = 'toml' THEN 'failed_preserved' ELSE 'indexed' END AS status, CASE WHEN language IN ('python', 'toml') THEN 2 ELSE 1 END AS last_revision_id FROM n""")
 def engine_rescan(s, d):
     """Two scans: changed files are replaced, vanished ones gone, unreadable ones preserved, all others as they were."""
     e = _engine(s)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a table written in the shared folder, and its place: readers load only the columns they need."""
+    at = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Deletes a staged table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utc_micros(df: DataFrame, col: str) -> Column:
     """Microseconds since the epoch of a text with a zone, a timestamp, or a timestamp without zone meaning UTC.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,11 +66,31 @@ def _escape(path: str) -> str:
 _RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _local_files(root: str) -> Iterator[tuple[str, int, str]]:
+    todo = [root.rstrip("/") or "/"]
+    start = len(todo[0]) + 1
+    while todo:
+        with os.scandir(todo.pop()) as entries:
+            for e in entries:
+                if e.is_dir():
+                    if e.name not in EXCLUDED:
+                        todo.append(e.path)
+                elif not e.name.startswith(("_", ".")):  # as Spark's file sources
+                    st = e.stat()
+                    yield e.path[start:], st.st_size, str(st.st_mtime_ns // 1_000_000)
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """A source tree's files without their contents: ``path, content_bytes, modified``."""
+    """A source tree's files without their contents: ``path, content_bytes, modified`` (milliseconds, as text)."""
+    if "://" not in root and os.path.isdir(root):
+        import pyarrow as pa
+
+        rows = list(zip(*_local_files(root))) or [[], [], []]
+        schema = pa.schema([("path", pa.string()), ("content_bytes", pa.int64()), ("modified", pa.string())])
+        return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(rows, schema)], schema=schema))
     raw = spark.read.format("binaryFile").schema(_RAW).load([_escape(f) for f in folders(spark, root)])
     rel = relative_to(plain_path("path"), root)
-    return raw.select(rel.alias("path"), F.col("length").alias("content_bytes"), F.col("modificationTime").cast("string").alias("modified"))
+    return raw.select(rel.alias("path"), F.col("length").alias("content_bytes"), F.unix_millis("modificationTime").cast("string").alias("modified"))
 
 
 def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
@@ -76,13 +98,13 @@ def read_paths(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], "path string, content binary, modified string")
     raw = spark.read.format("binaryFile").schema(_RAW).load([_escape(f"{root.rstrip('/')}/{p}") for p in paths])
-    return raw.select(relative_to(plain_path("path"), root).alias("path"), "content", F.col("modificationTime").cast("string").alias("modified"))
+    return raw.select(relative_to(plain_path("path"), root).alias("path"), "content", F.unix_millis("modificationTime").cast("string").alias("modified"))
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """A source tree as ``path, content (bytes), modified``; excluded folders are not listed."""
     raw = spark.read.format("binaryFile").schema(_RAW).load([_escape(f) for f in folders(spark, root)])
-    return raw.select(relative_to(plain_path("path"), root).alias("path"), "content", F.col("modificationTime").cast("string").alias("modified"))
+    return raw.select(relative_to(plain_path("path"), root).alias("path"), "content", F.unix_millis("modificationTime").cast("string").alias("modified"))
 
 
 def split_known(listed: DataFrame, files: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:

@@ -68,7 +68,7 @@ def test_only_changed_files_are_read_extracted_and_written(spark, tree, tmp_path
     read: list = []
     true = module.read_listed
     monkeypatch.setattr(module, "read_listed", lambda s, r, listed: read.append({x.path for x in listed.collect()}) or true(s, r, listed))
-    assert e.scan()["status"] == "no_change" and read.pop() == set()
+    assert e.scan()["status"] == "no_change" and not read
     (tree / "b.go").write_text(GO + "// more\n")
     assert e.scan()["changes"] == {"updated": 1} and read.pop() == {"b.go"}
     m = e.store.manifest()
@@ -83,6 +83,23 @@ def test_only_changed_files_are_read_extracted_and_written(spark, tree, tmp_path
     assert e.scan()["status"] == "no_change"
 
 
+def test_progress_and_failures_are_told(spark, tree, tmp_path):
+    told: list = []
+    e = Engine(spark, str(tmp_path / "out"), str(tree), progress=told.append)
+    e.scan()
+    assert [t["phase"] for t in told] == ["discover", "extract", "commit", "done"] and told[-1]["revision_id"] == 1
+    n = e.store.read("symbols").where("path = 'b.go'").count()
+    (tree / "b.go").write_bytes(b"\xff\xff\xff")
+    (tree / "new.go").write_bytes(b"\xff")
+    e.scan()
+    d = {r.path: (r.kind, r.message) for r in e.store.read("parse_diagnostics").collect()}
+    assert d == {p: ("read_failed", "content cannot be decoded: invalid_utf8") for p in ("b.go", "new.go")}
+    assert e.store.read("symbols").where("path = 'b.go'").count() == n > 0 and e.scan()["status"] == "no_change"
+    (tree / "b.go").write_text(GO)
+    e.scan()
+    assert {r.path for r in e.store.read("parse_diagnostics").collect()} == {"new.go"}
+
+
 def test_a_file_above_the_limit_gets_a_warning(spark, tree, tmp_path):
     (tree / "big.py").write_text("x = 1\n" * 200_000)
     e = Engine(spark, str(tmp_path / "out"), str(tree))
