@@ -44,6 +44,7 @@ _CARRIER = regex.compile(r"(?r)[\p{L}\p{N}_$.:>-]+")
 _RECEIVER = regex.compile(r"(?r)([\w$]+)(?:\.|::|->)")
 _STARTER = regex.compile(r"[\p{L}_$]")
 _NOT_SPACE = regex.compile(r"(?r)\S")
+_NAMED_ARGUMENT = re.compile(r"([A-Za-z_]\w*)\s*(?:=(?![=>])|:(?!:)(?=\s))")
 _PARAMS = re.compile(r"[,;]")
 _NAMED_TYPE = re.compile(r"(?:[:<,]|->|\bnew|\bextends|\bimplements|\bas|\binstanceof|\bis)\s*$")
 # Names of test calls and their role.
@@ -182,6 +183,22 @@ def unquoted(raw: str) -> str:
     return raw.strip("\"'`")
 
 
+def arguments_of(code: str, opener: int, brackets: Brackets) -> tuple[bool, list[str]]:
+    """Whether a call spreads a collection into its arguments, and the names of its named ones, in order."""
+    end = brackets.close.get(opener)
+    if end is None:
+        return False, []
+    spreads, names = False, []
+    borders = [opener, *brackets.commas.get(opener, ()), end]
+    for a, b in zip(borders, borders[1:]):
+        text = code[a + 1 : b].strip()
+        if text.startswith(("...", "*")) or text.endswith("..."):
+            spreads = True
+        elif hit := _NAMED_ARGUMENT.match(text):
+            names.append(hit[1])
+    return spreads, names
+
+
 def body_span(code: str, start: int, head_end: int, family: str, regions: tuple[list[int], list] = ([], [])) -> tuple[int, int] | None:
     """Where a declaration's body lies: matching braces, deeper indentation, or up to the matching ``end``.
 
@@ -501,6 +518,13 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
         if s["kind"] in CALLABLE:
             callables.setdefault(s["name"], []).append(s)
     spots = {(s["start"], s["name"]) for s in found}
+    ids_of = {s["id"]: s for s in found}
+
+    def enclosing_type(s: dict | None) -> dict | None:
+        while s and s["kind"] not in ("class", "struct", "interface", "trait", "enum", "union"):
+            s = s["parent"]
+        return s
+
     declared = {s["at"] for s in found}
 
     def site(start: int, end: int, provenance: str) -> str:
@@ -508,12 +532,13 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
         fam["reference_sites"].append({"reference_site_id": sid, **head, "containing_symbol_id": container(start), **lines.span(start, end), "is_exact": True, "provenance": provenance})
         return sid
 
-    def pending(from_id: str, kind: str, target: str, receiver: str | None, start: int, end: int, context: str | None = None) -> None:
+    def pending(from_id: str, kind: str, target: str, receiver: str | None, start: int, end: int, context: str | None = None, arity: int | None = None, of: str | None = None) -> None:
+        told = {k: v for k, v in (("receiver_type", of), ("arity", arity)) if v is not None}
         parts = [p for p in re.split(r"\.|::|->|/|\\", target) if p]
         fam["pending_relationships"].append({
             "pending_relationship_id": stable("pending", from_id, kind, target, lines.byte(start)), "reference_site_id": site(start, end, "token"), "from_symbol_id": from_id, "caller_scope_symbol_id": from_id,
             "file_id": file_id, "path": path, "kind": kind, "target_display_name": target, "target_terminal_name": parts[-1] if parts else target, "target_receiver": receiver,
-            "target_namespace_json": json.dumps(parts[:-1]), "target_import_context": context, **lines.span(start, end), "confidence": 0.7,
+            "target_namespace_json": json.dumps(parts[:-1]), "target_import_context": context, **lines.span(start, end), "confidence": 0.7, "metadata_json": json.dumps(told, sort_keys=True) if told else None,
         })
 
     brackets = Brackets(m.code, language) if {"literals", "relationships", "source_regions"} & keep else None
@@ -580,8 +605,14 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
                 meta["receiver"] = receiver
             if kind == "call":
                 args = brackets.items(b + 1 if after == "!" else b)
-                if args is not None:  # as in the reference, a call that is not closed has none
+                if args is not None:  # a call that is not closed has none
                     meta["arg_count"] = args
+                    opener = b + 1 if after == "!" else b
+                    spread_, names = arguments_of(code, opener, brackets)
+                    if spread_:
+                        meta["arg_spread"] = True
+                    if names:
+                        meta["arg_names"] = names
                 if name in TEST_CALLS:
                     meta["test_role"] = TEST_CALLS[name]
             if "identifiers" in keep:
@@ -599,10 +630,14 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
                             fam["type_arguments"].append({"type_argument_id": ids[at], "usage_id": uid, "parent_type_argument_id": ids.get(up), "ordinal": n, "type_name": arg})
             if kind == "call" and inside:
                 to = callables.get(name, [])
+                # a call on the own object means the own type's callable, whatever else bears the name
+                own = enclosing_type(ids_of[inside]) if receiver in ("self", "this", "Self") else None
+                if own:
+                    to = [t for t in to if t["parent"] is own]
                 if len(to) == 1 and to[0]["id"] != inside:
                     fam["relationships"].append({"relationship_id": stable("rel", inside, to[0]["id"], "calls", lines.byte(a)), "reference_site_id": site(a, b, "token"), "from_symbol_id": inside, "to_symbol_id": to[0]["id"], "file_id": file_id, "path": path, "kind": "calls", **lines.span(a, b), "confidence": 0.9})
                 elif not to:
-                    pending(inside, "calls", name if not receiver else f"{receiver}.{name}", receiver, a, b)
+                    pending(inside, "calls", name if not receiver else f"{receiver}.{name}", receiver, a, b, arity=meta.get("arg_count"), of=own["name"] if own else None)
     if "literals" in keep or "source_regions" in keep:
         carriers: dict[int, str] = {}
         rules, config = (policies or POLICIES).get(language), language in ("json", "toml", "yaml")

@@ -32,7 +32,9 @@ _CONFIG = policy("url uri href homepage repository documentation website endpoin
 _KEPT = policy(keep_all=True)
 POLICIES: dict[str, Policy] = {
     "bash": policy("curl wget http https", "psql mysql mariadb sqlite3"),
+    "c": policy("curl_easy_setopt", "sqlite3_exec sqlite3_prepare sqlite3_prepare_v2 sqlite3_prepare_v3 pqexec pqprepare pqexecparams mysql_query mysql_real_query"),
     "css": policy("url"),
+    "gdscript": policy("request request_raw", "query query_with_bindings"),
     "go": policy(
         "http.get http.post http.head http.postform http.newrequest http.newrequestwithcontext",
         "query querycontext queryrow queryrowcontext exec execcontext prepare preparecontext queryx queryrowx namedexec namedquery mustexec",
@@ -45,21 +47,28 @@ POLICIES: dict[str, Policy] = {
     "javascript": _SCRIPT,
     "json": _CONFIG,
     "jsx": _SCRIPT,
+    "lua": policy(
+        "http.request https.request requests.get requests.post requests.put requests.delete requests.patch requests.head", "execute exec prepare query",
+    ),
     "markdown": _KEPT,
+    "powershell": policy("invoke-restmethod invoke-webrequest irm iwr", "invoke-sqlcmd invoke-sqlcmd2"),
     "python": policy(
         "requests.get requests.post requests.put requests.delete requests.patch requests.head requests.options requests.request httpx.get httpx.post httpx.put httpx.delete httpx.patch "
         "httpx.head httpx.options httpx.request urlopen urlretrieve",
         "execute executemany executescript text raw",
     ),
+    "qml": policy("open openurlexternally", "executesql"),
     "regex": _KEPT,
     "rust": policy("reqwest.get reqwest.post reqwest.head ureq.get ureq.post", "query query_as query_scalar execute prepare query_row query_map batch_execute"),
     "sql": policy(sql="exec execute sp_executesql", keep_all=True),
+    "swift": policy("url af.request", "prepare run execute scalar"),
     "toml": _CONFIG,
     "tsx": _SCRIPT,
     "typescript": _SCRIPT,
     "vue": _SCRIPT,
     "xml": policy("url href src schemalocation", keep_all=True),
     "yaml": _CONFIG,
+    "zig": policy("std.uri.parse std.uri.parseafterscheme", "exec prepare"),
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import ids, text
 from strataloom.operators import audit, generics, integrity, outline, reports, scope, spans
-from strataloom.session import table
+from strataloom.session import table, utc_micros
 from strataloom.sources.languages import LANGUAGES, detect
 
 QUERIES: dict = {}
@@ -187,29 +187,6 @@ def fk_check(s, d):
     return out
 
 
-_LEVEL_OF = {"constant": "facts", "property": "references", "module": "full"}
-
-
-@query("""
-SELECT l.level, count(*) AS rows FROM symbols s JOIN (VALUES ('symbols', 0), ('facts', 1), ('references', 2), ('full', 3)) l(level, n)
-  ON l.n >= CASE s.kind WHEN 'constant' THEN 1 WHEN 'property' THEN 2 WHEN 'module' THEN 3 ELSE 0 END GROUP BY 1""")
-def level_strip(s, d):
-    """Rows left at each detail level; symbol kinds stand in for the row families."""
-    sym = table(s, d, "symbols").select("kind")
-    of = {"symbols": "symbols", "facts": "literals", "references": "relationships", "full": "identifiers"}
-    level = F.create_map(*[F.lit(x) for kv in _LEVEL_OF.items() for x in kv])
-    tables = {of[l]: sym.where(F.coalesce(level[F.col("kind")], F.lit("symbols")) == l) for l in reports.LEVELS}
-    out = None
-    for l in reports.LEVELS:
-        kept = reports.strip_to_level(tables, l)
-        rows = None
-        for t in kept.values():
-            rows = t if rows is None else rows.unionByName(t)
-        one = rows.agg(F.lit(l).alias("level"), F.count("*").alias("rows")).select("level", "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 # ---------------------------------------------------------------- spans and scopes
 
 _RANK = """CASE WHEN {k} IN ('function', 'method', 'constructor', 'destructor', 'operator', 'delegate', 'event') THEN 1
@@ -496,14 +473,15 @@ def revision_diff(s, d):
     return reports.revision_diff(old, new, F.expr(_SUPPORTED))
 
 
-_CUR = [("c", "1.0"), ("go", "0.2"), ("ruby", None), ("zig", "3")]
-_NEW = [("c", "1.0"), ("go", "0.3"), ("ruby", None), ("rust", "5")]
-
-
-@query("""SELECT * FROM (VALUES ('c', '1.0', 'keep'), ('go', '0.3', 'update'), ('ruby', NULL, 'keep'), ('rust', '5', 'insert'), ('zig', NULL, 'delete')) v(language, version, action)""")
+@query("""
+WITH c AS (SELECT language, count(*) AS files, sum(content_bytes)::BIGINT AS bytes FROM files WHERE status <> 'unsupported' GROUP BY 1), w AS (SELECT language, count(DISTINCT file_id) AS files, sum(content_bytes)::BIGINT AS bytes FROM (SELECT DISTINCT file_id, language, content_bytes FROM file_snapshots) WHERE language <> 'toml' GROUP BY 1)
+SELECT language, w.files, w.bytes, CASE WHEN w.files IS NULL THEN 'delete' WHEN c.files IS NULL THEN 'insert' WHEN c.files IS NOT DISTINCT FROM w.files AND c.bytes IS NOT DISTINCT FROM w.bytes THEN 'keep' ELSE 'update' END AS action FROM c FULL JOIN w USING (language)""")
 def capability_sync(s, d):
-    sch = "language string, version string"
-    return integrity.sync_snapshot(s.createDataFrame(_CUR, sch), s.createDataFrame(_NEW, sch), ["language"])
+    """Languages recorded in ``files`` mirrored from the snapshots (here without TOML): only what differs changes."""
+    sums = [F.count("*").alias("files"), F.sum("content_bytes").cast("long").alias("bytes")]
+    cur = table(s, d, "files").where("status <> 'unsupported'").groupBy("language").agg(*sums)
+    new = table(s, d, "file_snapshots").where("language <> 'toml'").select("file_id", "language", "content_bytes").distinct().groupBy("language").agg(*sums)
+    return integrity.sync_snapshot(cur, new, ["language"])
 
 
 @query("""SELECT 'symbol' AS source, symbol_id AS id FROM symbols UNION ALL SELECT 'change', file_id FROM revision_file_changes""")
@@ -544,10 +522,14 @@ def observed_counts(s, d):
     return table(s, d, "coverage_samples").select("language", F.explode("expected_domains").alias("domain")).groupBy("language", "domain").agg(F.count("*").alias("samples"))
 
 
-@query("""SELECT event_type, min(value) AS lowest, round(quantile_cont(value, 0.5), 6) AS middle, max(value) AS highest, count(*) AS n FROM events GROUP BY 1""")
+@query("""
+WITH r AS (SELECT DISTINCT revision_id, operation, epoch_us(try_cast(completed_at AS TIMESTAMPTZ)) - epoch_us(try_cast(started_at AS TIMESTAMPTZ)) AS us FROM extraction_revisions)
+SELECT operation, min(us) AS lowest, round(quantile_cont(us, 0.5), 3) AS middle, max(us) AS highest, count(*) AS n FROM r WHERE us IS NOT NULL GROUP BY 1""")
 def perf_summary(s, d):
-    out = table(s, d, "events").groupBy("event_type").agg(*reports.summary("value"), F.count("*").alias("n"))
-    return out.withColumn("middle", F.round("middle", 6))
+    """Least, middle and longest duration of the revisions, in microseconds, by operation."""
+    r = table(s, d, "extraction_revisions")
+    r = r.select("revision_id", "operation", (utc_micros(r, "completed_at") - utc_micros(r, "started_at")).alias("us")).distinct().where("us is not null")
+    return r.groupBy("operation").agg(*reports.summary("us"), F.count("*").alias("n")).withColumn("middle", F.round("middle", 3))
 
 
 @query("""SELECT language, kind, visibility, count(*) AS n, grouping(language, kind, visibility) AS level FROM symbols GROUP BY GROUPING SETS ((language, kind, visibility), (language), ())""")

@@ -174,6 +174,28 @@ def file_metrics(s: SparkSession, d: str) -> DataFrame:
 ORACLE["file_metrics"] = "SELECT DISTINCT file_id, CAST(strlen(content) AS BIGINT) AS covered_bytes, CAST(0 AS BIGINT) AS start_byte, CAST(strlen(content) AS BIGINT) AS end_byte, CAST(1 AS BIGINT) AS start_line FROM file_snapshots"
 
 
+def level_strip(s: SparkSession, d: str) -> DataFrame:
+    """Which row families have rows at each detail level, over all files; symbols are the given callables that are found."""
+    kinds = "kind in ('function', 'method')"
+    given = table(s, d, "symbols").where(kinds).select("file_id", "name", "start_byte").distinct()
+    out = None
+    for level in LEVELS:
+        got = extract(_files(s, d), level)
+        mine = family(got, "symbols").where(kinds).select("file_id", "name", "start_byte").distinct()
+        found = given.join(mine, ["file_id", "name", "start_byte"]).agg(F.lit(level).alias("level"), F.count("*").alias("callables"))
+        some = got.agg(F.lit(level).alias("level"), *[(F.sum(F.size(f)) > 0).alias(f) for f in ("structural_facts", "complexity_metrics", "identifiers", "source_regions")])
+        one = found.join(some, "level")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_GIVEN = "(SELECT count(*) FROM (SELECT DISTINCT file_id, name, start_byte FROM symbols WHERE kind IN ('function', 'method')))"
+ORACLE["level_strip"] = "\nUNION ALL ".join(
+    f"SELECT '{l}' AS level, {_GIVEN} AS callables, " + ", ".join(f"{str(f in level_families(l)).lower()} AS {f}" for f in ("structural_facts", "complexity_metrics", "identifiers", "source_regions"))
+    for l in LEVELS
+)
+
+
 def json_diagnostics(s: SparkSession, d: str) -> DataFrame:
     """JSON files with a parse diagnostic."""
     got = family(extract(_files(s, d).where("language = 'json'"), "symbols"), "parse_diagnostics")
@@ -224,5 +246,5 @@ def dangling_parents(s: SparkSession, d: str) -> DataFrame:
 
 ORACLE["dangling_parents"] = "SELECT DISTINCT symbol_id, parent_symbol_id FROM symbols WHERE parent_symbol_id IS NOT NULL AND parent_symbol_id NOT IN (SELECT symbol_id FROM symbols)"
 
-for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, json_literals, extracted_callables, extracted_constants, file_metrics, json_diagnostics, json_string_regions, go_functions, pattern_registry, unchanged_files, dangling_parents):
+for _q in (extract_table_counts, extracted_levels, token_hashes_all, comment_markers_all, identifier_access, syntax_check_files, extracted_against_given, toml_tables, json_property_facts, json_literals, extracted_callables, extracted_constants, file_metrics, level_strip, json_diagnostics, json_string_regions, go_functions, pattern_registry, unchanged_files, dangling_parents):
     QUERIES[_q.__name__] = _q

@@ -43,18 +43,24 @@ def decode_status(content: Column) -> Column:
 
 
 def plain_path(col: str) -> Column:
-    """The file system path of a file source's URI (a plus sign is itself there, not a space)."""
-    return F.url_decode(F.replace(F.regexp_replace(col, r"^[a-z]+:/+", "/"), F.lit("+"), F.lit("%2B")))
+    """The file system path of a file source's path column, which is not encoded."""
+    return F.regexp_replace(col, r"^[a-z]+:/+", "/")
 
 
 def folders(spark: SparkSession, root: str) -> list[str]:
     """The folders of a tree that a walk enters, from the file system; excluded ones are never listed."""
+    if "://" not in root and os.path.isdir(root):
+        out = []
+        for at, below, _ in os.walk(root):
+            below[:] = [d for d in below if d not in EXCLUDED]
+            out.append(at)
+        return out
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     todo, out = [path(root)], []
     while todo:
         at = todo.pop()
-        out.append(at.toUri().getPath() if at.toUri().getScheme() in (None, "file") else at.toString())
+        out.append(at.toString())
         todo += [s.getPath() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName() not in EXCLUDED]
     return out
 
@@ -118,7 +124,7 @@ def split_known(listed: DataFrame, files: DataFrame | None) -> tuple[DataFrame,
 
 
 #: Changed files that are read by their paths; beyond them the tree is read and the others dropped unread by the join.
-BY_PATH = 10_000
+BY_PATH = 500
 
 
 def read_listed(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:

@@ -177,3 +177,14 @@ def test_patterns_between_slashes_hide_their_brackets():
     rust = "fn f() {\n    let a = '{';\n    let b = r#\"}\"{\"#;\n    let c: &'static str = \"(\";\n}\nfn g() {}\n"
     fam = extract_file("a.rs", "rust", rust)
     assert {s["name"] for s in fam["symbols"] if s["kind"] == "function"} == {"f", "g"} and not fam["parse_diagnostics"]
+
+
+def test_arguments_arity_and_own_object():
+    src = "class A:\n    def run(self):\n        self.go(1, *xs, key=2)\n        self.gone()\n        other.far(a, b)\n\n    def go(self, *a, key=0):\n        pass\n\ndef go():\n    pass\n"
+    fam = extract_file("a.py", "python", src)
+    ids = {s["symbol_id"]: (s["name"], s["kind"]) for s in fam["symbols"]}
+    assert [(ids[r["from_symbol_id"]][0], ids[r["to_symbol_id"]]) for r in fam["relationships"]] == [("run", ("go", "method"))]
+    call = next(i for i in fam["identifiers"] if i["name"] == "go" and i["kind"] == "call")
+    assert json.loads(call["metadata_json"]) == {"arg_count": 3, "arg_names": ["key"], "arg_spread": True, "receiver": "self"}
+    told = {p["target_terminal_name"]: json.loads(p["metadata_json"]) for p in fam["pending_relationships"]}
+    assert told == {"gone": {"arity": 0, "receiver_type": "A"}, "far": {"arity": 2}}
