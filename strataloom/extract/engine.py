@@ -71,10 +71,11 @@ class Lines:
         self.ascii = text.isascii()
         self.bytes = None
         if not self.ascii:
-            self.bytes = [0]
-            for c in text:
-                o = ord(c)
-                self.bytes.append(self.bytes[-1] + (1 if o < 128 else 2 if o < 2048 else 3 if o < 65536 else 4))
+            import numpy as np
+
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            widths = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+            self.bytes = [0, *np.cumsum(widths).tolist()]
 
     def byte(self, at: int) -> int:
         return self.base + (at if self.bytes is None else self.bytes[at])
@@ -174,7 +175,7 @@ def unquoted(raw: str) -> str:
     """The text of a string literal: escapes decoded where it is valid JSON, else what stands between the quotes."""
     if raw[:1] == '"' and raw[:3] != '"""':
         try:
-            return json.loads(raw, strict=False)
+            return json.loads(raw, strict=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
         except ValueError:
             pass
     for q in ('"""', "'''", '"', "'", "`"):

@@ -40,7 +40,7 @@ def flatten(obj: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
 def fits(v: object, target: str) -> bool:
     """Whether a value is one of the target column's own JSON type, within its range."""
     if target == "string":
-        return isinstance(v, str)
+        return isinstance(v, str) and whole(v)
     if target == "boolean":
         return isinstance(v, bool)
     if target == "long":
@@ -53,7 +53,7 @@ def lenient(v: object, target: str) -> object:
     if v is None or fits(v, target):
         return v
     if target == "string":
-        return dump(v)
+        return None if isinstance(v, str) else dump(v)
     text = str(v).strip().lower()
     if target == "boolean":
         return {"true": True, "false": False}.get(text)
@@ -67,7 +67,30 @@ def lenient(v: object, target: str) -> object:
 
 
 def dump(v: object) -> str:
-    return json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    """JSON text with sorted keys; half a surrogate pair, which no text column holds, stays escaped."""
+    out = json.dumps(v, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return out if whole(out) else json.dumps(v, sort_keys=True, separators=(",", ":"))
+
+
+def whole(text: str) -> bool:
+    """Whether a text has no half surrogate pair."""
+    try:
+        text.encode("utf-8")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def parsed(text: str) -> object:
+    """A payload's JSON value, or None where it is none (NaN and Infinity are no JSON)."""
+
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return None
 
 
 def _names(keep: list[str], target: dict[str, str]) -> dict[str, str]:
@@ -107,10 +130,7 @@ def ingest(raw: DataFrame, payload: str, target: dict[str, str], keep: list[str]
             for text in b.column(b.schema.get_field_index("__payload")).to_pylist():
                 seen, left = {}, {}
                 if text is not None:
-                    try:
-                        obj = json.loads(text)
-                    except (ValueError, RecursionError):
-                        obj = None
+                    obj = parsed(text)
                     if isinstance(obj, dict):
                         for f, v in flatten(obj):
                             t = target.get(f)

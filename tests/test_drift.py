@@ -103,3 +103,14 @@ def test_the_query_hangs_on_the_rescue(spark, monkeypatch):
     true = drift.ingest
     monkeypatch.setattr(drift, "ingest", lambda *a, **k: true(*a, **k).withColumn("_rescued", drift.F.lit(None).cast("string")))
     assert set(map(tuple, QUERIES["p5_found"](spark, DATA).collect())) != right
+
+
+def test_odd_values_harm_no_other_row(spark):
+    """Half surrogate pairs, numbers beyond any type, constants that are no JSON, deep nesting, duplicate and empty keys."""
+    odd = '{"file_id": "f", "s": "\\ud800", "big": 1e400, "": 1, "d": 1, "d": 2}'
+    got = changes(spark, ("q", 1, {"file_id": "f"}), ("q", 2, odd), ("q", 2, '{"file_id": "g", "x": NaN}'), ("q", 2, '{"a":' * 3000 + "1" + "}" * 3000))
+    deep = ".".join("a" * 3000)
+    assert got == [("q", 2, "added", "", f) for f in ("", deep, "big", "d", "s")]
+    raw = spark.createDataFrame(rows(("q", 1, odd), ("q", 2, '{"x": NaN}')), SCHEMA)
+    got = drift.ingest(raw, "payload", {"s": "string", "d": "long"}, ["batch_no"]).orderBy("batch_no").collect()
+    assert (got[0].s, got[0].d) == (None, 2) and "\\ud800" in got[0]._rescued and json.loads(got[1]._rescued) == {"_corrupt": '{"x": NaN}'}

@@ -188,3 +188,10 @@ def test_arguments_arity_and_own_object():
     assert json.loads(call["metadata_json"]) == {"arg_count": 3, "arg_names": ["key"], "arg_spread": True, "receiver": "self"}
     told = {p["target_terminal_name"]: json.loads(p["metadata_json"]) for p in fam["pending_relationships"]}
     assert told == {"gone": {"arity": 0, "receiver_type": "A"}, "far": {"arity": 2}}
+
+
+def test_half_surrogates_in_literals_are_replaced(spark):
+    from strataloom.extract.engine import extract, family
+
+    df = spark.createDataFrame([("f", "a.json", "json", '{"k": "a\\ud800b", "l": "ok"}')], "file_id string, path string, language string, text string")
+    assert sorted(r.literal_text for r in family(extract(df), "literals").collect()) == ["a\ufffdb", "ok"]
