@@ -53,12 +53,15 @@ class Vocabulary:
         self.longest = max(map(len, self.ranks))
         self.suffixes = {t[i:] for t in self.ranks for i in range(len(t))}
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.bound = self.lookahead()
 
     def lookahead(self) -> int:
-        """Bytes after which a token is certainly stable: merges times the longest token, as every unsettled token
-        needs another merge that a later byte can still take away. Emission does not wait for it; it is the bound on
-        what the encoder may hold."""
-        return len(self.ranks) * self.longest
+        """The merge list's sufficient lookahead in bytes: a token that many bytes back is stable, as every unsettled
+        token needs another merge that a later byte can still take away, and each reaches a token's length further.
+        Emission does not wait for it but leaves as soon as the prefixes in reach agree; that they agree within it is
+        checked, so what the encoder holds is bounded by the merge list alone."""
+        merges = sum(len(t) > 1 for t in self.ranks)
+        return merges * self.longest
 
     def apart(self, a: bytes, b: bytes) -> bool:
         """Whether the encoding of ``a + b`` is just these two tokens."""
@@ -120,6 +123,8 @@ class Transducer:
             ends.discard(e)
             ends.add(e - len(last[e - 1]))
         common = ends.pop()
+        if n - common > self.v.bound:
+            raise ValueError("unsettled beyond the sufficient lookahead")
         if common + self.base <= self.sent:
             return []
         out = self._walk(common)

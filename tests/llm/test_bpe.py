@@ -34,6 +34,13 @@ def test_long_runs_with_bounded_memory(unit):
     assert b"".join(V.tokens[i] for i in out) == unit.encode() * 6000
 
 
+def test_the_lookahead_is_enforced(monkeypatch):
+    assert V.bound == V.lookahead() == sum(len(t) > 1 for t in V.ranks) * V.longest
+    monkeypatch.setattr(V, "bound", 0)
+    with pytest.raises(ValueError):
+        bpe.Transducer(V).feed(b"abc" * 3000)
+
+
 def test_tokens_leave_before_the_end():
     t = bpe.Transducer(V)
     assert len(t.feed(b"abc" * 3000)) > 1000
