@@ -206,23 +206,23 @@ def containing_symbol(s, d):
 
 _ASOF = """
 WITH s AS (SELECT DISTINCT symbol_id, file_id, kind, start_byte, end_byte, doc_comment FROM symbols),
-p AS (SELECT symbol_id, file_id, {at} AS at FROM s WHERE kind = 'constant'),
-t AS (SELECT file_id, {to} AS tb, min(symbol_id) AS tid FROM s WHERE doc_comment IS NOT NULL AND kind <> 'constant' GROUP BY 1, 2)
+p AS (SELECT symbol_id, file_id, {at} AS at FROM s),
+t AS (SELECT file_id, {to} AS tb, min(symbol_id) AS tid FROM s WHERE doc_comment IS NOT NULL GROUP BY 1, 2)
 SELECT p.symbol_id, t.tid AS target_id FROM p ASOF LEFT JOIN t ON p.file_id = t.file_id AND p.at {op} t.tb"""
 
 
 @query(_ASOF.format(at="end_byte", to="start_byte", op="<="))
 def documented_symbol_following(s, d):
     sym = _symbols(s, d, "symbol_id", "file_id", "kind", "start_byte", "end_byte", "doc_comment")
-    t = sym.where("doc_comment is not null and kind <> 'constant'")
-    return spans.nearest(sym.where("kind = 'constant'"), t, "symbol_id", "end_byte", "symbol_id", "start_byte")
+    t = sym.where("doc_comment is not null")
+    return spans.nearest(sym, t, "symbol_id", "end_byte", "symbol_id", "start_byte")
 
 
 @query(_ASOF.format(at="start_byte", to="end_byte", op=">="))
 def documented_symbol_preceding(s, d):
     sym = _symbols(s, d, "symbol_id", "file_id", "kind", "start_byte", "end_byte", "doc_comment")
-    t = sym.where("doc_comment is not null and kind <> 'constant'")
-    return spans.nearest(sym.where("kind = 'constant'"), t, "symbol_id", "start_byte", "symbol_id", "end_byte", following=False)
+    t = sym.where("doc_comment is not null")
+    return spans.nearest(sym, t, "symbol_id", "start_byte", "symbol_id", "end_byte", following=False)
 
 
 _CHAINS = """WITH RECURSIVE n AS (SELECT DISTINCT symbol_id AS id, parent_symbol_id AS p, kind, file_id, name FROM symbols),

@@ -129,3 +129,29 @@ def engine_capabilities(s, d):
     rows = e.store.read("language_capabilities").join(used, "language", "left_semi")
     known = F.get_json_object("kind_coverage_json", "$.fact_patterns").cast("int") > 0
     return rows.select("language", "target_symbols", "actual_symbols", known.alias("fact_patterns_known"))
+
+
+@query("""WITH n AS (SELECT count(DISTINCT path) AS n FROM file_snapshots)
+SELECT 'files' AS table_name, n AS rows FROM n UNION ALL SELECT 'revision_file_changes', n FROM n UNION ALL SELECT 'extraction_revisions', 1
+UNION ALL SELECT t, 0 FROM (VALUES ('identifiers'), ('relationships'), ('literals'), ('structural_facts'), ('reference_sites')) v(t)""")
+def engine_info_totals(s, d):
+    """The info verb's totals after a scan at the lowest level: tables whose size the sources tell, the higher families empty."""
+    e = _engine(s)
+    e.scan(_sources(s, d), level="symbols")
+    told = ("files", "revision_file_changes", "extraction_revisions", "identifiers", "relationships", "literals", "structural_facts", "reference_sites")
+    return e.info(top=None)["totals"].where(F.col("table_name").isin(*told))
+
+
+@query("""SELECT f.path, f.language, count(DISTINCT s.symbol_id) AS callables FROM (SELECT path, max(language) AS language FROM file_snapshots GROUP BY 1) f
+JOIN (SELECT DISTINCT path, symbol_id FROM symbols WHERE language = 'python' AND kind IN ('class', 'constant')) s USING (path) GROUP BY 1, 2""")
+def engine_updates(s, d):
+    """Python files written again by updates of a batch: their classes and constants come once, from the newest text."""
+    e = _engine(s)
+    src = _sources(s, d)
+    longer = F.when(F.col("language") == "python", F.concat("content", F.lit("\n# later\n"))).otherwise(F.col("content"))
+    e.scan(src, level="symbols")
+    e.scan(_sources(s, d, longer), level="symbols")
+    e.scan(src, level="symbols")
+    rows = e.store.read("symbols").where("language = 'python' and kind in ('class', 'constant')")
+    given = table(s, d, "symbols").where("language = 'python' and kind in ('class', 'constant')").select("path").distinct()
+    return rows.join(given, "path", "left_semi").groupBy("path", "language").agg(F.count("*").alias("callables"))
