@@ -591,7 +591,7 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
             after = code[b : b + 1]
             dotted = code[a - 1 : a] == "." or code[a - 2 : a] in ("::", "->")
             kind = "call" if after == "(" or (after == "!" and code[b + 1 : b + 2] == "(") else "member_access" if dotted else "type_usage" if name[:1].isupper() and _NAMED_TYPE.search(before(a)) else "variable_ref"
-            if kind in ("variable_ref", "member_access") and name[:1].isupper() and a not in declared and brackets.typed(b):
+            if kind in ("variable_ref", "member_access") and name[:1].isupper() and a not in declared and (brackets.typed(b) or (language != "python" and brackets.square(b, m.bare))):
                 kind = "type_usage"
             inside = container(a)
             receiver = None
@@ -620,7 +620,7 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
                 sid = stable("site", file_id, lines.byte(a), lines.byte(b))
                 fam["identifiers"].append({"identifier_id": stable("identifier", file_id, lines.byte(a), name), "reference_site_id": sid if kind == "call" else None, **head, "name": name, "kind": kind, "containing_symbol_id": inside, **lines.span(a, b), "confidence": 0.9, "metadata_json": json.dumps(meta, sort_keys=True) if meta else None})
                 opener = b + 2 if after == ":" else b
-                if kind == "type_usage" and a not in declared and opener in brackets.close and code[opener] == "<" and opener not in nested:
+                if kind == "type_usage" and a not in declared and opener in brackets.close and (code[opener] == "<" or brackets.square(opener, m.bare)) and opener not in nested:
                     arguments, within = type_arguments(brackets, m.bare, opener)
                     nested |= within
                     if arguments:

@@ -80,6 +80,31 @@ def _nested_end(text: str, at: int, a: str, b: str) -> int:
     return len(text)
 
 
+_IN_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{|[{}]|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'")
+
+
+def _template_end(text: str, start: int) -> int | None:
+    """Where a template ends whose holes may hold templates; None where it does not end."""
+    stack, at = ["`"], start + 1
+    while m := _IN_TEMPLATE.search(text, at):
+        t, at = m[0], m.end()
+        inside = stack[-1] == "`"
+        if t[0] in "\"'" and inside:
+            at = m.start() + 1  # a quote in a template is text
+        elif t == "`":
+            if inside:
+                stack.pop()
+                if not stack:
+                    return at
+            else:
+                stack.append("`")
+        elif t == "${" and inside or t in ("{", "${") and not inside:
+            stack.append("{")
+        elif t == "}" and not inside:
+            stack.pop()
+    return None
+
+
 def _blank(t: str) -> str:
     return re.sub(r"[^\n]", " ", t)
 
@@ -99,6 +124,8 @@ def mask(text: str, language: str) -> Masked:
             continue
         if kind[0] == "b" and lang.nested:
             end = _nested_end(text, start, *lang.block[int(kind[1:])])
+        elif kind[0] == "s" and text[start] == "`" and language in PATTERNS_BETWEEN_SLASHES:
+            end = _template_end(text, start) or end
         pos = max(end, start + 1)
         plain = text[at:start]
         piece = text[start:end]

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 #: Languages that write type arguments in angle brackets; in the others ``<`` only compares.
 ANGLE = frozenset("rust zig typescript tsx javascript jsx vue java csharp razor swift kotlin dart cpp fsharp php".split())
+#: Languages that write them in square brackets, as they do indices.
+SQUARE = frozenset(("python", "go", "scala"))
+# Go's own types, by which an argument in lower case is a type and no index.
+GO_TYPES = frozenset(
+    "any bool byte comparable complex64 complex128 error float32 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr".split()
+)
 #: Of these, the languages where ``f(a<b, c>d)`` always compares.
 COMPARES = frozenset(("javascript", "jsx", "vue", "php", "zig"))
 _TOKENS = re.compile(r"\\.|'[()\[\]{}<>,;]'|[-=]>|<[<=-]|&&|\|\||[()\[\]{}<>,;+/%^]")
@@ -76,6 +82,8 @@ class Brackets:
                     held[kind] -= 1
                     if kind == _OPENER[c]:
                         self.close[start] = at
+                        if kind == "[" and language in SQUARE and stack:
+                            self.inner.setdefault(stack[-1][1], []).append(start)
                         break
                 mark(at)
             elif c == ",":
@@ -130,6 +138,24 @@ class Brackets:
         at = end + 2 if self.code[end : end + 3] == "::<" else end
         return at in self.close and self.code[at] == "<"
 
+    def square(self, opener: int, text: str) -> bool:
+        """Whether a square bracket after a name in capitals holds types and no index: in Scala always, elsewhere by its items."""
+        if self.language not in SQUARE or self.code[opener : opener + 1] != "[" or opener not in self.close:
+            return False
+        if self.language == "scala":
+            return True
+        cuts = [opener, *sorted(self.commas.get(opener, ())), self.close[opener]]
+        for a, z in zip(cuts, cuts[1:]):
+            arg = text[a + 1 : z].strip()
+            if not arg and z == self.close[opener]:
+                continue
+            if self.language == "python":
+                if not re.match(r"[A-Za-z_\[\"'.]", arg) or ":" in arg or "(" in arg:
+                    return False
+            elif not (arg.startswith(("*", "[]", "map[", "func(", "chan ", "struct{", "interface{")) or re.split(r"[\[{.]", arg)[0] in GO_TYPES or re.match(r"(?:\w+\.)?[A-Z]", arg)):
+                return False
+        return len(cuts) > 2 or bool(text[opener + 1 : self.close[opener]].strip())
+
     def items(self, opener: int) -> int | None:
         """The number of items in a bracket (a trailing separator adds none), or None where it is not closed."""
         end = self.close.get(opener)
@@ -140,7 +166,7 @@ class Brackets:
 
 
 def type_arguments(b: Brackets, text: str, opener: int) -> tuple[list[tuple[str | None, str, int, str]], set[int]]:
-    """The arguments of the angle bracket at ``opener`` in pre-order, and the nested brackets among them.
+    """The arguments of the angle (or square) bracket at ``opener`` in pre-order, and the nested brackets among them.
 
     Each is (path of the parent or None, path, ordinal, type name). A generic argument is named without its own
     arguments, which follow it; any other argument is its whole text. Lifetimes are no types and have no ordinal.

@@ -170,6 +170,12 @@ def test_policies_are_a_parameter(tmp_path):
     assert [(l["kind"], l["literal_text"]) for l in fam["literals"]] == [("url", "u")]
 
 
+def test_templates_within_templates():
+    src = "function f(a) {\n  return `x ${a ? `y ${g({b: '}'})} \\`` : \"`\"} don't {`;\n}\nfunction g() {\n  return `}`;\n}\n"
+    fam = extract_file("a.js", "javascript", src)
+    assert {s["name"]: src[s["start_byte"] : s["end_byte"]].count("\n") for s in fam["symbols"]} == {"f": 2, "g": 2} and not fam["parse_diagnostics"]
+
+
 def test_patterns_between_slashes_hide_their_brackets():
     src = "function f(a) {\n  const r = /[({\\/\"']+/g;\n  return a / 2 / b;\n}\nfunction g() {\n  return 1;\n}\n"
     fam = extract_file("a.js", "javascript", src)

@@ -29,6 +29,9 @@ def tree(fam, usage):
         ("typescript", "let x: Map<string, { a: number; b: string }>;\n", [[("string", []), ("{ a: number; b: string }", [])]]),
         ("rust", "fn f(x: Ref<'a, Vec<u8>>) -> Result<HashMap<String, u8>, E> {\n}\n", [[("Vec", [("u8", [])])], [("HashMap", [("String", []), ("u8", [])]), ("E", [])]]),
         ("rust", "fn f() { let x = Vec::<Option<u8>>::new(); }\n", [[("Option", [("u8", [])])]]),
+        ("python", "def f(x: Dict[str, List[int]], y=A[0]) -> Optional[User]:\n    z = {'k': Table[i:j]}\n", [[("str", []), ("List", [("int", [])])], [("User", [])]]),
+        ("go", "package p\nfunc f(x Map[string, List[*User]]) Set[int] {\n\treturn Names[i]\n}\n", [[("string", []), ("List", [("*User", [])])], [("int", [])]]),
+        ("scala", "class A {\n  val m: Map[String, Seq[Int]] = x\n}\n", [[("String", []), ("Seq", [("Int", [])])]]),
         ("java", "class A { boolean f(int N, int c) { return N<3 && c>2; } }\n", []),
         ("typescript", f"let x: Map<{'L' * 300}, B>;\n", [[("L" * 300, []), ("B", [])]]),
     ],
