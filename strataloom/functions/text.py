@@ -172,6 +172,7 @@ def semantic_line(line: Column) -> Column:
 
 def marker(line: Column) -> Column:
     """(marker, owner, description) of a comment line that begins with a marker, else nulls."""
+    # The marker words
     pattern = r"^(TODO|FIXME|HACK|XXX|RAZORBACK)(?:\(([^)]*)\))?(?:[:\s-]\s*(.*))?$"
     hit = line.rlike(pattern)
     part = lambda i: F.when(hit, F.nullif(F.regexp_extract(line, pattern, i), F.lit("")))
@@ -179,7 +180,9 @@ def marker(line: Column) -> Column:
 
 
 #: Words, quoted texts and single signs, once comments are gone.
-TOKEN = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+#: Loops are possessive: the JVM's regular expressions go one call deeper for every turn of a loop over alternatives.
+QUOTED = r"\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
+TOKEN = QUOTED + r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[\p{L}\p{N}_]++|[^\s\p{L}\p{N}_]"
 COMMENTS = r"(?s)/\*.*?\*/|(?-s://.*|(?<=^|\s)#.*)"
 
 

@@ -307,10 +307,10 @@ _TOK = r"""'"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}
 
 
 @query(rf"""
-SELECT DISTINCT file_id, md5(array_to_string(regexp_extract_all(regexp_replace(content, '(?s)/\*.*?\*/', ' ', 'g'), {_TOK}), chr(31))) AS token_hash FROM file_snapshots WHERE language = 'json'""")
+SELECT DISTINCT file_id, md5(array_to_string(regexp_extract_all(regexp_replace(content, '(?s)/\*.*?\*/', ' ', 'g'), {_TOK}), chr(31))) AS token_hash FROM file_snapshots""")
 def token_hashes(s, d):
     c = F.regexp_replace("content", r"(?s)/\*.*?\*/", " ")
-    return table(s, d, "file_snapshots").where("language = 'json'").select(
+    return table(s, d, "file_snapshots").select(
         "file_id", F.md5(F.array_join(F.regexp_extract_all(c, F.lit(text.TOKEN), F.lit(0)), "\x1f")).alias("token_hash")
     ).distinct()
 
@@ -358,12 +358,13 @@ def url_kinds(s, d):
 
 
 @query(r"""
-WITH l AS (SELECT DISTINCT file_id, unnest(string_split(content, chr(10))) AS t FROM file_snapshots WHERE language IN ('go', 'java', 'rust', 'python')),
+WITH f AS (SELECT DISTINCT file_id, content FROM file_snapshots), l AS (SELECT file_id, unnest(string_split(content, chr(10))) AS t FROM f),
 c AS (SELECT file_id, regexp_replace(trim(t, ' ' || chr(9) || chr(13)), '^(///?|//!|/\*\*?|#+)\s*', '') AS b FROM l WHERE regexp_matches(trim(t, ' ' || chr(9) || chr(13)), '^(//|#|/\*)'))
 SELECT file_id, regexp_extract(b, '^(TODO|FIXME|HACK|XXX)', 1) AS marker, count(*) AS n FROM c WHERE regexp_matches(b, '^(TODO|FIXME|HACK|XXX)(\(|[:\s-]|$)') GROUP BY 1, 2""")
 def comment_markers(s, d):
-    src = table(s, d, "file_snapshots").where(F.col("language").isin("go", "java", "rust", "python")).select("file_id", "content")
-    ls = src.select("file_id", F.explode(F.split("content", "\n")).alias("t")).distinct().select("file_id", F.trim(F.translate("t", "\t\r", "  ")).alias("t"))
+    """Markers in lines that begin like a comment, in all files; equal lines of a file count each."""
+    src = table(s, d, "file_snapshots").select("file_id", "content").distinct()
+    ls = src.select("file_id", F.explode(F.split("content", "\n")).alias("t")).select("file_id", F.trim(F.translate("t", "\t\r", "  ")).alias("t"))
     c = ls.where(F.col("t").rlike(r"^(//|#|/\*)")).select("file_id", F.regexp_replace("t", r"^(///?|//!|/\*\*?|#+)\s*", "").alias("b"))
     c = c.where(F.col("b").rlike(r"^(TODO|FIXME|HACK|XXX)(\(|[:\s-]|$)"))
     return c.groupBy("file_id", F.regexp_extract("b", r"^(TODO|FIXME|HACK|XXX)", 1).alias("marker")).agg(F.count("*").alias("n"))
@@ -712,7 +713,7 @@ SELECT raw, json_extract_string(raw, '$') AS value FROM r""")
 def string_values(s, d):
     """The distinct string literals of JSON texts that parse, decoded."""
     good = table(s, d, "file_snapshots").where("language = 'json' and try_parse_json(content) is not null").select("content").distinct()
-    raw = good.select(F.explode(F.regexp_extract_all("content", F.lit(r'"(?:[^"\\]|\\.)*"'), F.lit(0))).alias("raw")).distinct()
+    raw = good.select(F.explode(F.regexp_extract_all("content", F.lit(text.QUOTED), F.lit(0))).alias("raw")).distinct()
     return raw.select("raw", text.string_value(F.col("raw")).alias("value"))
 
 

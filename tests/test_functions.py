@@ -80,3 +80,10 @@ def test_decoding(spark):
     assert got["u8.py"][0] == got["le.py"][0] == got["be.py"][0] == "é" and got["e.py"] == ("", "indexed", "utf8")
     assert got["odd.py"][1:] == ("failed_preserved", "odd_utf16") and got["bad.py"][1:] == ("failed_preserved", "invalid_utf8") and got["x.bin"][1] == "unsupported"
     assert df.select(decode_status(F.col("content")).alias("s")).count() == len(rows)
+
+
+def test_tokens_of_very_long_strings(spark):
+    """A quote that spans a megabyte, closed or not, with escapes throughout, is one token and overflows no stack."""
+    rows = [('"' + "a\\n" * 300_000 + '"',), ("'" + "b" * 1_000_000,), ("x = 'it' + \"q\\\"\"",)]
+    df = spark.createDataFrame(rows, "t string").select(F.transform(text.body_tokens(F.col("t")), F.length).alias("n"))
+    assert [r.n for r in df.collect()] == [[900_002], [1, 1_000_000], [1, 1, 4, 1, 5]]
