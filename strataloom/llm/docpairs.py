@@ -314,7 +314,7 @@ def description(doc: str | None, name: str | None) -> str:
 # what is protected while braces are balanced: %s is what the family has besides (quotes and, in scripts, patterns)
 _PARTS = rb"""(?(DEFINE)
   (?<str>\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|\br\#"(?:[^"]|"(?!\#))*+"\#|"(?:[^"\\\n]|\\.)*+"|`(?:[^`\\]|\\.)*+`|%s)
-  (?<com>/\*(?:[^*]|\*(?!/))*+\*/|//[^\n]*+)
+  (?<com>/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|//[^\n]*+)
   (?<par>\((?:[^()"'`/]++|(?&com)|(?&str)|["'`/]|(?&par))*+\))
   (?<blk>\{(?:[^{}"'`/]++|(?&com)|(?&str)|["'`/]|(?&blk))*+\})
 )"""
@@ -331,6 +331,11 @@ _CHAR = rb"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 _QUOTED = rb"'(?:[^'\\\n]|\\.)*+'|(?<=[=(,:\[!&|?{};>]\s?)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/"
 _BRACES = regex.compile(_PARTS % _CHAR + _WHOLE, regex.S | regex.X | regex.M)
 _SCRIPT = regex.compile(_PARTS % _QUOTED + _WHOLE, regex.S | regex.X | regex.M)
+_HIDDEN_BRACES = regex.compile(_PARTS % _CHAR + rb"(?:(?<c>(?&com))|(?&str))", regex.S | regex.X)
+_HIDDEN_SCRIPT = regex.compile(_PARTS % _QUOTED + rb"(?:(?<c>(?&com))|(?&str))", regex.S | regex.X)
+_HIDDEN_INDENT = regex.compile(
+    rb"""\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\#[^\n]*+""", regex.S | regex.X
+)
 _INDENT = regex.compile(
     rb"""(?(DEFINE)
   (?<str>[rRbBuUfF]{0,2}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))
@@ -341,16 +346,98 @@ _INDENT = regex.compile(
 )
 
 
+def _bare(data: bytes, hidden: regex.Pattern) -> tuple[bytes, list[tuple[int, int]]]:
+    """A text with comments blanked and strings made quotes alone, and where these lie: one pass."""
+    out, parts, at = [], [], 0
+    for m in hidden.finditer(data):
+        comment = data[m.start() : m.start() + 1] == b"#" or data[m.start() : m.start() + 2] in (b"//", b"/*")
+        out += [data[at : m.start()], (b" " if comment else b'"') * (m.end() - m.start())]
+        at = m.end()
+        parts.append((m.start(), at))
+    return b"".join([*out, data[at:]]), parts
+
+
+def _partners(bare: bytes) -> dict[int, int]:
+    """Every opening bracket's closing one; what does not close is not there."""
+    out: dict[int, int] = {}
+    stack: list[tuple[bytes, int]] = []
+    for m in regex.finditer(rb"[(){}]", bare):
+        if m[0] in b"({":
+            stack.append((m[0], m.start()))
+        elif stack and stack[-1][0] + m[0] in (b"()", b"{}"):
+            out[stack.pop()[1]] = m.start()
+        elif m[0] == b"}":  # an open parenthesis ends with the block around it
+            while stack and stack[-1][0] == b"(":
+                stack.pop()
+            if stack:
+                out[stack.pop()[1]] = m.start()
+    return out
+
+
+_STOP = regex.compile(rb"[(){};\n]")
+_GOES_ON = regex.compile(rb"\s*+(?:where\b|throws\b|->|=>|[:{,&|])")
+_GOING_ON = regex.compile(rb"(?:[,=:>|&]|\bwhere)\Z")
+_DEF = regex.compile(rb"^[ \t]*+(?:async[ \t]++)?def[ \t]++\w++[ \t]*+(?:\[[^\]\n]*+\])?\(", regex.M)
+
+
 def functions(data: bytes, language: str) -> dict[int, regex.Match]:
     """The functions that the language's pattern finds in a text, by where their bodies start.
 
     Every line is tried as the beginning of a comment, signature and balanced body; of several beginnings of one body
-    the first, with the whole run of comments, counts. Functions within functions are found too.
+    the first, with the whole run of comments, counts. Functions within functions are found too. A pass over the
+    brackets tells beforehand which lines lead to a body that closes, so the pattern never runs to the end of a
+    damaged text in vain, and each body is matched once.
     """
-    pattern = _INDENT if language == "python" else _SCRIPT if language in ("javascript", "typescript", "jsx", "tsx") else _BRACES
     found: dict[int, regex.Match] = {}
-    for m in pattern.finditer(data, overlapped=True):
-        found.setdefault(m.start("body"), m)
+    if language == "python":
+        bare, _ = _bare(data, _HIDDEN_INDENT)
+        close = _partners(bare)
+        for d in _DEF.finditer(bare):
+            if d.end() - 1 not in close:
+                continue
+            at = d.start()
+            while at:  # comments and decorators right before it
+                line = data.rfind(b"\n", 0, at - 1) + 1
+                if not data[line:at].lstrip().startswith((b"#", b"@")):
+                    break
+                at = line
+            while at <= d.start():
+                if m := _INDENT.match(data, at):
+                    found.setdefault(m.start("body"), m)
+                    break
+                at = data.find(b"\n", at) + 1 or len(data) + 1
+        return found
+    script = language in ("javascript", "typescript", "jsx", "tsx")
+    pattern = _SCRIPT if script else _BRACES
+    bare, hidden = _bare(data, _HIDDEN_SCRIPT if script else _HIDDEN_BRACES)
+    close = _partners(bare)
+    starts = [0, *(m.end() for m in regex.finditer(rb"\n", data))]
+    done: set[int] = set()
+    h = 0
+    for line in starts:
+        while h < len(hidden) and hidden[h][1] <= line:
+            h += 1
+        if h < len(hidden) and hidden[h][0] < line:
+            continue  # within a comment or string
+        at = begin = row = line
+        while m := _STOP.search(bare, at):
+            if m[0] == b"(" and m.start() in close:
+                at = close[m.start()] + 1
+            elif m[0] == b"\n":
+                head = bare[begin : m.start()].strip()
+                if not head or head.startswith((b"@", b"#[")):
+                    begin = m.end()  # comments and annotations before the signature
+                elif not _GOES_ON.match(bare, m.end()) and not _GOING_ON.search(bare[row : m.start()].rstrip()[-6:]):
+                    break
+                at = row = m.end()
+            else:
+                break
+        if not m or m[0] != b"{" or m.start() not in close or m.start() in done:
+            continue
+        got = pattern.match(data, line, close[m.start()] + 1)
+        if got:
+            found.setdefault(got.start("body"), got)
+            done.add(m.start())
     return found
 
 

@@ -106,3 +106,17 @@ def test_pairs(spark):
     assert got["1"].cut_by == "pattern" and got["1"].body == "{\n\treturn\n}" and got["1"].description == "é says it all"
     assert got["5"].body is None and got["7"].body is None
     assert docpairs.pairs(spark.createDataFrame([], SYM), snaps).count() == 0
+
+
+@pytest.mark.parametrize(
+    "language,text,n",
+    [
+        ("java", b"void f(int a) {\n" * 3000, 0), ("java", b"foo(bar(\n" * 3000, 0), ("javascript", b"a(`x\n" * 4001, 0), ("go", b"/* a\n" * 4000, 0),
+        ("go", b"func F() {\n" + b'\tx := "}"\n' * 4000 + b"}\n", 1), ("typescript", b"x = a / b / c\n" * 4000, 0), ("python", b"def f(a, (\n" * 3000, 0), ("rust", b"fn f() {\n" + b"{" * 9000 + b"}" * 9000 + b"\n}\n", 1),
+    ],
+)
+def test_damaged_texts_take_no_longer_than_others(language, text, n):
+    import time
+
+    began = time.process_time()
+    assert len(functions(text, language)) == n and time.process_time() - began < 5
