@@ -9,6 +9,7 @@ name are taken away.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -331,9 +332,16 @@ _CHAR = rb"'(?:[^'\\\n]|\\[^\n][^'\n]*+)'"
 _QUOTED = rb"'(?:[^'\\\n]|\\.)*+'|(?<=[=(,:\[!&|?{};>]\s?)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/"
 _BRACES = regex.compile(_PARTS % _CHAR + _WHOLE, regex.S | regex.X | regex.M)
 _SCRIPT = regex.compile(_PARTS % _QUOTED + _WHOLE, regex.S | regex.X | regex.M)
-_HIDDEN_BRACES = regex.compile(_PARTS % _CHAR + rb"(?:(?<c>(?&com))|(?&str))", regex.S | regex.X)
-_HIDDEN_SCRIPT = regex.compile(_PARTS % _QUOTED + rb"(?:(?<c>(?&com))|(?&str))", regex.S | regex.X)
-_HIDDEN_INDENT = regex.compile(
+# the same strings and comments for one pass over a text; the standard library is faster where nothing recurs
+_LONG = rb"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\""
+_REST = rb"|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)|//[^\n]*+"
+_HIDDEN_BRACES = re.compile(_LONG + rb"|\br#\"(?:[^\"]|\"(?!#))*+\"#|\"(?:[^\"\\\n]|\\.)*+\"|`(?:[^`\\]|\\.)*+`|" + _CHAR + _REST, re.S)
+_HIDDEN_SCRIPT = re.compile(
+    rb"\"(?:[^\"\\\n]|\\.)*+\"|`(?:[^`\\]|\\.)*+`|'(?:[^'\\\n]|\\.)*+'" + _REST
+    + rb"|(?:(?<=[=(,:\[!&|?{};>])|(?<=[=(,:\[!&|?{};>]\s))/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/", re.S,
+)
+_HIDDEN_INDENT = re.compile(_LONG + rb"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|#[^\n]*+", re.S)
+_INDENT = regex.compile(
     rb"""\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\#[^\n]*+""", regex.S | regex.X
 )
 _INDENT = regex.compile(
@@ -346,7 +354,7 @@ _INDENT = regex.compile(
 )
 
 
-def _bare(data: bytes, hidden: regex.Pattern) -> tuple[bytes, list[tuple[int, int]]]:
+def _bare(data: bytes, hidden: re.Pattern) -> tuple[bytes, list[tuple[int, int]]]:
     """A text with comments blanked and strings made quotes alone, and where these lie: one pass."""
     out, parts, at = [], [], 0
     for m in hidden.finditer(data):
