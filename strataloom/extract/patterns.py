@@ -24,6 +24,7 @@ class Pattern(NamedTuple):
 JS = ("javascript", "jsx", "typescript", "tsx")
 _S = r"(?P<q>[\"'`])(?P<path>[^\"'`\n]*)(?P=q)"
 _VERB = r"(?P<verb>get|post|put|patch|delete|head|options|all|any)"
+# The ids of the patterns, their languages and families; the expressions are this engine's own.
 PATTERNS: list[Pattern] = []
 
 
@@ -157,6 +158,7 @@ FILE_ROUTES = (
     ("nextjs.file_route.v1", JS, r"^(?:.*/)?(?:src/)?(?:app/(?P<app>.*?)/?page|pages/(?P<pages>(?!api/|_).*?))\.(?:jsx?|tsx?)$"),
     ("nuxt.file_route.v1", ("vue", *JS), r"^(?:.*/)?pages/(?P<pages>.*?)\.(?:vue|jsx?|tsx?)$"),
 )
+# The marker words.
 MARKER = r"^(?P<marker>TODO|FIXME|HACK|XXX|RAZORBACK)(?:\((?P<owner>[^)]*)\))?(?=[:\s-]|$)[:\s-]*(?P<text>.*)$"
 
 
