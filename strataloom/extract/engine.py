@@ -460,21 +460,29 @@ def _extract_text(path: str, language: str, text: str, lines: Lines, file_id: st
             at = min(len(text), getattr(e, "pos", 0))
             fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, "error", lines.base + at, str(e)), **head, "kind": "error", "message": str(e)[:500], **lines.span(at, at)})
     elif LANGUAGES[language].family == "braces":
-        stack = []
+        stack: list[tuple[str, int]] = []
+
+        def fault(kind: str, message: str, at: int, end: int) -> None:
+            fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, kind, lines.byte(at)), **head, "kind": kind, "message": message, **lines.span(at, end)})
+
         for b in re.finditer(r"[(){}\[\]]", m.code):
             if b[0] in "({[":
                 stack.append((b[0], b.start()))
-            elif stack and stack[-1][0] + b[0] in ("()", "{}", "[]"):
-                stack.pop()
-            else:
-                fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, "error", b.start()), **head, "kind": "error", "message": f"unmatched {b[0]}", **lines.span(b.start(), b.end())})
-                break
-            if len(stack) > DEPTH:
-                fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, "depth_truncated", 0), **head, "kind": "depth_truncated", "message": f"deeper than {DEPTH}", **lines.span(0, 0)})
-                break
+                if len(stack) > DEPTH:
+                    fault("depth_truncated", f"deeper than {DEPTH}", 0, 0)
+                    break
+                continue
+            opener = {")": "(", "]": "[", "}": "{"}[b[0]]
+            if not any(o == opener for o, _ in reversed(stack)):
+                fault("error", f"unmatched {b[0]}", b.start(), b.end())
+                continue
+            while stack[-1][0] != opener:  # what was opened inside is not closed
+                o, at = stack.pop()
+                fault("missing", f"{o} is not closed", at, at + 1)
+            stack.pop()
         else:
-            for b, at in stack[:1]:
-                fam["parse_diagnostics"].append({"diagnostic_id": stable("diagnostic", path, "missing", at), **head, "kind": "missing", "message": f"{b} is not closed", **lines.span(at, at + 1)})
+            for o, at in stack:
+                fault("missing", f"{o} is not closed", at, at + 1)
 
     # the best container of every stretch between two symbol borders: rank, then size, start and id
     borders = sorted({x for s in found for x in (s["start"], s["end"])})

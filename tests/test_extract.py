@@ -92,7 +92,7 @@ def test_spark(spark):
     got = extract(df, "symbols").cache()
     assert sorted(r.file_id for r in got.select("file_id").collect()) == ["1", "2", "3", "4"]
     assert [r.name for r in family(got, "symbols").select("name").collect() if r.name == "f"][:1] == ["f"]
-    assert family(got, "identifiers").count() == 0 and family(got, "parse_diagnostics").where("file_id = '4'").count() == 1
+    assert family(got, "identifiers").count() == 0 and family(got, "parse_diagnostics").where("file_id = '4'").count() == 2
     assert extract(df.limit(0)).count() == 0
 
 
@@ -201,3 +201,10 @@ def test_half_surrogates_in_literals_are_replaced(spark):
 
     df = spark.createDataFrame([("f", "a.json", "json", '{"k": "a\\ud800b", "l": "ok"}')], "file_id string, path string, language string, text string")
     assert sorted(r.literal_text for r in family(extract(df), "literals").collect()) == ["a\ufffdb", "ok"]
+
+
+def test_every_bracket_fault_is_told():
+    fam = extract_file("a.go", "go", "package p\nfunc f() {\n\tx := g(1\n}\n}\nfunc h() {\n\ty[0\n")
+    assert [(d["kind"], d["message"], d["start_line"]) for d in fam["parse_diagnostics"]] == [
+        ("missing", "( is not closed", 3), ("error", "unmatched }", 5), ("missing", "{ is not closed", 6), ("missing", "[ is not closed", 7)
+    ]
