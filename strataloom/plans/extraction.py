@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.artifact.schema import FAMILIES
-from strataloom.artifact.store import enforce
 from strataloom.extract.comments import marks
-from strataloom.extract.engine import extract, family
+from strataloom.extract.engine import counts, extract, family
 from strataloom.extract.patterns import PATTERNS
 from strataloom.operators import integrity
 from strataloom.operators.reports import LEVELS, level_families
@@ -40,14 +39,7 @@ for _f in FAMILIES:
 
 def extract_table_counts(s: SparkSession, d: str) -> DataFrame:
     """Rows of each family by language, with all foreign keys enforced."""
-    got = extract(_files(s, d), "full").persist()
-    tables = enforce({f: family(got, f) for f in FAMILIES})
-    out = None
-    for f in FAMILIES:
-        if "language" in tables[f].columns:
-            one = tables[f].groupBy("language").agg(F.count("*").alias("rows")).select(F.lit(f).alias("family"), "language", "rows")
-            out = one if out is None else out.unionByName(one)
-    return out
+    return counts(_files(s, d), "full")
 
 
 def extracted_levels(s: SparkSession, d: str) -> DataFrame:
