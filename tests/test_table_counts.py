@@ -29,3 +29,22 @@ def test_as_enforced_tables(spark):
     df = QUERIES["extract_table_counts"](spark, DATA)
     got = {(r.family, r.language): r.rows for r in df.collect()}
     assert df.columns == ["family", "language", "rows"] and {k: got[k] for k in want} == want
+
+
+def test_every_family_counts(spark, tmp_path):
+    java = "@Entity\nclass A extends B {\n\n  Map<String, List<User>> m = f();\n  void g() { h(); }\n  void h() { x.y(); }\n}\n"
+    vue = "<template><p>a</p></template>\n<script lang=\"ts\">\nfunction f(x: Box<Item>) { return g(x) }\nfunction g(x) { return 1 }\n</script>\n"
+    rows = [("1", "A.java", "java", java), ("2", "b.vue", "vue", vue), ("3", "c.py", "python", None)]
+    spark.createDataFrame(rows, "file_id string, path string, language string, content string").write.parquet(f"{tmp_path}/file_snapshots.parquet")
+    got = {(r.family, r.language): r.rows for r in QUERIES["extract_table_counts"](spark, str(tmp_path)).collect()}
+    assert got["type_arguments", "java"] == 3 and got["type_arguments", "typescript"] == 1
+    assert got["relationships", "java"] == 1 and got["relationships", "typescript"] == 1 and got["pending_relationships", "java"] == 3 and got["symbol_annotations", "java"] == 1
+
+
+def test_all_rows_count(spark):
+    files = table(spark, DATA, "file_snapshots").select("file_id", "path", "language", F.col("content").alias("text")).distinct()
+    tables = enforce({f: family(extract(files), f) for f in FAMILIES})
+    got = Counter()
+    for r in QUERIES["extract_table_counts"](spark, DATA).collect():
+        got[r.family] += r.rows
+    assert got == Counter({f: tables[f].count() for f in FAMILIES}) and got["type_arguments"] > 0
